@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import chain_queries, graph_queries, sequence_queries  # noqa: F401  they fill the registry
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
