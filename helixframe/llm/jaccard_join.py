@@ -73,7 +73,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 @lru_cache(maxsize=8)
 def size_classes(percent: int) -> list[tuple[int, int, int]]:
-    """(least size, parts, parts that must agree) of each class; linked sets are in the same or the next class."""
+    """(least size, parts, parts that must agree) of each class; linked sets are in the same or the next class.
+
+    More parts than elements may differ in agree, so that the agreeing ones can't all be empty for
+    nearly every set.  Where sets are too small for that, parts are 0: see :func:`part_hashes`.
+    """
     bounds = [1]
     while bounds[-1] < 1 << 40:
         bounds.append(bounds[-1] * 100 // percent + 1)
@@ -82,14 +86,18 @@ def size_classes(percent: int) -> list[tuple[int, int, int]]:
         most = (high - 1) + (high - 1) * 100 // percent
         apart = most * (100 - percent) // (100 + percent)
         agree = 1
-        for _ in range(50):  # enough agreeing parts that they can't all be empty for nearly every set
+        while apart + agree <= 1.2 * low:
             k = apart + agree
-            empty = k * math.exp(-low / k)
-            wanted = 1 + math.ceil(empty + 4 * math.sqrt(empty)) if apart else 1
+            load = low / k
+            empty = k * math.exp(-load)
+            spread = math.sqrt(max(0.0, k * (math.exp(-load) - (1 + load) * math.exp(-2 * load))))
+            wanted = math.ceil(empty + 4 * spread + 1)
             if wanted <= agree:
                 break
             agree = wanted
-        out.append((low, apart + agree, agree))
+        else:
+            agree = 0
+        out.append((low, apart + agree if agree else 0, agree))
     return out
 
 
@@ -104,99 +112,103 @@ def _bounds(percent: int) -> np.ndarray:
 
 
 def part_hashes(s: np.ndarray, percent: int) -> np.ndarray:
-    """A hash for each part of the set, in its own size class and the one below.
+    """Hashes of which any two linked sets share one, in the set's own size class and the one below.
 
-    Empty parts count only if a set has so many that no other part must agree.
+    A hash for each non-empty part; empty parts count too if a set has so many that no other part
+    must agree.  Small sets use single elements instead: two linked sets share one among the
+    lowest n - ceil(threshold * n) + 1 of each.
     """
-    own = class_of(len(s), percent)
+    n = len(s)
+    own = class_of(n, percent)
     classes = size_classes(percent)
     found = []
     for c in (own, own - 1):
         if c < 0:
             continue
         _, k, agree = classes[c]
+        tag = mix(np.full(1, c, np.uint64) * _M3)
+        if not k:
+            found.append(mix(s[: n + (-n * percent) // 100 + 1] + tag))
+            continue
         part = (s >> np.uint64(20)) % np.uint64(k)
-        sums = np.zeros(k, np.uint64)
-        _add(sums, part, s)
+        order = np.argsort(part.astype(np.uint16 if k < 65536 else np.uint32), kind="stable")
         count = np.bincount(part.astype(np.int64), minlength=k)
-        tag = mix(np.arange(k, dtype=np.uint64) * _M1 + np.full(k, c, np.uint64) * _M3)
-        h = mix(sums + mix(count.astype(np.uint64) + tag))
-        full = count > 0
-        found.append(h if k - full.sum() >= agree else h[full])
+        full = np.flatnonzero(count)
+        starts = np.cumsum(count)[full] - count[full]
+        sums = np.add.reduceat(s[order], starts)
+        h = mix(sums + mix(count[full].astype(np.uint64) + full.astype(np.uint64) * _M1 + tag))
+        if k - len(full) >= agree:
+            h = np.concatenate([h, mix(mix(np.flatnonzero(count == 0).astype(np.uint64) * _M1 + tag))])
+        found.append(h)
     return np.concatenate(found)
 
 
-def _add(sums: np.ndarray, part: np.ndarray, s: np.ndarray) -> None:
-    order = np.argsort(part, kind="stable")
-    p = part[order]
-    starts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-    sums[p[starts].astype(np.int64)] = np.add.reduceat(s[order], starts)
-
-
-def _set_rows(df: DataFrame, size: int) -> DataFrame:
-    """doc, n, h1, h2 (128-bit hash of the whole set)."""
+def _document_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc, n, h1, h2, parts``: set size, 128-bit hash of the set, and its part hashes; one pass over the texts."""
 
     def run(source):
         for b in source:
-            docs = b.column(0)
-            n, h1, h2 = [], [], []
+            n, h1, h2, parts = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, size)
                 h = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 h1.append((h >> 64) - (1 << 63))
                 h2.append((h & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([docs, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["doc", "n", "h1", "h2"])
+                parts.append(part_hashes(s, percent) if len(s) else s)
+            if n:
+                offsets = np.zeros(len(parts) + 1, np.int32)
+                np.cumsum([len(p) for p in parts], out=offsets[1:])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], names=["doc", "n", "h1", "h2", "parts"])
 
-    return df.mapInArrow(run, "doc long, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc long, n long, h1 long, h2 long, parts array<long>")
 
 
-def _part_rows(df: DataFrame, size: int, percent: int, wanted=None) -> DataFrame:
-    """part, doc for each document; with ``wanted`` (a broadcast bit filter), only parts that pass it."""
-
-    def run(source):
-        for b in source:
-            docs, parts = [], []
-            held = 0
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(t, size)
-                if not len(s):
-                    continue
-                p = part_hashes(s, percent)
-                if wanted is not None:
-                    words = wanted.value
-                    at = p & np.uint64(64 * len(words) - 1)
-                    p = p[(words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-                docs.append((doc, len(p)))
-                parts.append(p)
-                held += len(p)
-                if held > 400_000:
-                    yield _pairs_batch(docs, parts)
-                    docs, parts, held = [], [], 0
-            if held:
-                yield _pairs_batch(docs, parts)
-
-    return df.mapInArrow(run, "part long, doc long")
-
-
-def _pairs_batch(docs, parts) -> pa.RecordBatch:
-    ids = np.repeat(np.asarray([d for d, _ in docs], np.int64), [n for _, n in docs])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(ids)], names=["part", "doc"])
-
-
-def _bit_filter(spark, repeated: DataFrame):
-    """Broadcast bitmap of the low bits of all repeated parts, of MOST_FILTER_BITS at most."""
+def _bit_filter(spark, values: DataFrame):
+    """Broadcast bitmap of the low bits of a column ``v`` of hashes, of MOST_FILTER_BITS at most."""
     bits = 1 << 16
-    count = repeated.count()
+    count = values.count()
     while bits < min(MOST_FILTER_BITS, 16 * count):
         bits *= 2
-    at = F.col("part").bitwiseAND(F.lit(bits - 1))
-    made = repeated.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(part & 63 as int))")).alias("bits")).toArrow()
+    at = F.col("v").bitwiseAND(F.lit(bits - 1))
+    made = values.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(v & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[made.column("w").to_numpy()] = made.column("bits").to_numpy()
     return spark.sparkContext.broadcast(out.view(np.uint64))
 
 
+def _passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(64 * len(words) - 1)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _wanted_parts(rows: DataFrame, wanted) -> DataFrame:
+    """``part, doc`` of the parts that pass a bit filter."""
+
+    def run(source):
+        for b in source:
+            lists = b.column(1)
+            flat = np.asarray(lists.flatten()).view(np.uint64)
+            keep = _passes(wanted.value, flat)
+            lengths = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+            docs = np.repeat(np.asarray(b.column(0)), lengths)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view(np.int64)), pa.array(docs)], names=["part", "doc"])
+
+    return rows.select("doc", "parts").mapInArrow(run, "part long, doc long")
+
+
+def _wanted_texts(docs: DataFrame, wanted) -> DataFrame:
+    """``doc, text`` of the documents whose hashed id passes a bit filter."""
+
+    def run(source):
+        for b in source:
+            keep = pa.array(_passes(wanted.value, np.asarray(b.column(0)).view(np.uint64)))
+            yield b.select(["doc", "text"]).filter(keep)
+
+    return docs.select(F.xxhash64("doc").alias("h"), "doc", "text").mapInArrow(run, "doc long, text string")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """a, b, both, either: exact intersection and union sizes."""
 
@@ -229,73 +241,96 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     and all of them share the id's component.  A null id is treated as the smallest id.
     """
     docs = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text_column).alias("text"))
-    spark = df.sparkSession
-    sets = stored(_set_rows(docs, size), "sets")
+    rows = stored(_document_rows(docs, size, percent), "sets")
+    sets = rows.select("doc", "n", "h1", "h2")
     filled = sets.filter("n > 0")
     classes = stored(filled.groupBy("h1", "h2").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("rows")), "classes")
     members = classes.filter("rows > 1").join(filled.select("doc", "h1", "h2"), ["h1", "h2"]).select("doc", "class_id").distinct()
-    ids = classes.select(F.col("class_id").alias("doc")).distinct()
-    links = stored(members.filter("doc <> class_id").select(F.col("doc").alias("a"), F.col("class_id").alias("b")), "class-links").unionByName(_links(spark, docs, ids, size, percent))
-    found = components(links)
+    same = stored(members.filter("doc <> class_id").select(F.col("doc").alias("a"), F.col("class_id").alias("b")), "class-links")
+    near = _links(docs, rows, classes.select(F.col("class_id").alias("doc")).distinct(), size, percent)
+    found = components(same.unionByName(near))
     out = sets.join(classes.select("h1", "h2", "class_id"), ["h1", "h2"], "left").join(found, sets["doc"] == found["node"], "left")
     return out.select("doc", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), F.col("doc")).alias("class_id"), F.coalesce("component", "doc").alias("component"))
 
 
-def _links(spark, docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: verified links between class representatives that connect all linked ones."""
-    counted = _part_rows(docs, size, percent).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    repeated = stored(counted.filter("rows > 1").select("part"), "repeated")
-    wanted = _bit_filter(spark, repeated)
-    drop_stored(repeated)
-    release(spark)
-    everyone = _part_rows(docs, size, percent, wanted).join(ids, "doc", "left_semi").distinct()
-    regions = stored(everyone, "regions")
-    distances = None
-    links = None
+def _links(docs: DataFrame, rows: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: verified links between class representatives that connect all linked ones."""
+    spark = docs.sparkSession
+    regions = _first_regions(rows, ids)
+    texts = None
+    links = tested = labels = None
     while True:
-        pivots = stored(_pivots(regions), "pivots")
+        members = _labelled(regions, labels)
+        pivots = stored(_pivots(members), "pivots")
         if pivots.isEmpty():
             break
-        asked = regions.join(pivots, "part").filter("doc <> pivot").select("part", "doc", "pivot")
-        pairs = asked.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        if distances is not None:
-            pairs = pairs.join(distances, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        some = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-        texts = stored(docs.join(some, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+        if texts is None:
+            suspects = regions.select("doc").distinct()
+            texts = stored(_wanted_texts(docs, _bit_filter(spark, suspects.select(F.xxhash64("doc").alias("v")))).join(suspects, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+        asked = members.join(pivots, "part").filter("doc <> pivot and component <> pivot_component").select("part", "doc", "pivot", F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+        pairs = asked.select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         new = stored(_verified(pairs, texts, size).select("a", "b", F.expr("1 - both / either").alias("d"), F.expr(f"100 * both >= {percent} * either").alias("linked")), "distances")
-        drop_stored(texts)
-        drop_stored(pairs)
-        distances = new if distances is None else distances.unionByName(new)
+        tested = new if tested is None else tested.unionByName(new)
         hits = new.filter("linked").select("a", "b")
         links = hits if links is None else links.unionByName(hits)
-        regions = _unsettled(regions, pivots, distances, percent)
+        labels = components(links)
+        before, regions = regions, stored(_unsettled(regions, pivots, asked.join(tested, ["a", "b"]), labels, percent), "regions")
+        drop_stored(before)
         release(spark)
     return links if links is not None else spark.createDataFrame([], "a long, b long")
 
 
-def _pivots(regions: DataFrame) -> DataFrame:
-    """Up to four pivots of each region that has two documents or more, all by partial aggregates."""
-    h = F.xxhash64("doc")
-    made = regions.groupBy("part").agg(F.min("doc").alias("p1"), F.max("doc").alias("p2"), F.min_by("doc", h).alias("p3"), F.max_by("doc", h).alias("p4"))
-    return made.filter("p1 <> p2").select("part", F.explode(F.array_distinct(F.array("p1", "p2", "p3", "p4"))).alias("pivot"))
+def _first_regions(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``part, doc``: class representatives that share a part; parts with the same documents are one region."""
+    spark = rows.sparkSession
+    parts = rows.select("h1", F.explode("parts").alias("part"))
+    shared = parts.groupBy("part").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y")  # by unlike sets
+    repeated = stored(shared.select(F.col("part").alias("v")), "repeated")
+    wanted = _bit_filter(spark, repeated)
+    drop_stored(repeated)
+    release(spark)
+    held = stored(_wanted_parts(rows, wanted).join(ids, "doc", "left_semi"), "held")
+    shape = held.groupBy("part").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("doc"), 24)).alias("h")).filter("x <> y")
+    one = shape.groupBy("x", "y", "n", "h").agg(F.min("part").alias("part")).select("part")
+    regions = stored(held.join(one, "part", "left_semi").distinct(), "regions")
+    drop_stored(held)
+    return regions
+
+
+def _labelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return regions.withColumn("component", F.col("doc"))
+    return regions.join(labels, regions["doc"] == labels["node"], "left").select("part", "doc", F.coalesce("component", "doc").alias("component"))
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """``part, pivot, pivot_component``: up to four pivots of each region that isn't one component yet, by partial aggregates.
+
+    Large components have small labels, so the greatest label picks a document that few others reach.
+    """
+    one = F.struct("doc", "component")
+    h = F.xxhash64("component")
+    made = members.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(one, F.col("doc")).alias("p1"), F.max_by(one, F.struct("component", "doc")).alias("p2"), F.min_by(one, F.struct(h, "doc")).alias("p3"), F.max_by(one, F.struct(h, "doc")).alias("p4"))
+    return made.filter("low <> high").select("part", F.explode(F.array_distinct(F.array("p1", "p2", "p3", "p4"))).alias("p")).select("part", F.col("p.doc").alias("pivot"), F.col("p.component").alias("pivot_component"))
 
 
-def _unsettled(regions: DataFrame, pivots: DataFrame, distances: DataFrame, percent: int) -> DataFrame:
+def _unsettled(regions: DataFrame, pivots: DataFrame, met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The regions' documents that may still have links no pivot shows.
 
-    Pivots have met everyone.  A document x in the ball of pivot p is settled if no document
-    outside the ball is within the window d(y, p) <= d(x, p) + e: all that x can link to is
-    then in the ball, connected through p.
+    Pivots have met everyone outside their components.  A document x in the ball of pivot p is
+    settled if no document outside the ball is within the window d(y, p) <= d(x, p) + e: all that x
+    can link to is then connected through p.  Regions that have become one component are done.
     """
     e = 1 - percent / 100
-    met = regions.join(pivots, "part").filter("doc <> pivot").select("part", "doc", "pivot", F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).join(distances, ["a", "b"])
     met = stored(met.select("part", "doc", "pivot", "d", "linked"), "met")
     outside = met.filter("not linked").groupBy("part", "pivot").agg(F.min("d").alias("nearest"))
-    judged = met.join(outside, ["part", "pivot"], "left").withColumn("settles", F.expr(f"linked and (nearest is null or d + {e} + 1e-9 < nearest)"))
-    left = judged.groupBy("part", "doc").agg(F.max("settles").alias("settled")).filter("not settled").select("part", "doc")
-    rest = left.join(pivots.withColumnRenamed("pivot", "doc"), ["part", "doc"], "left_anti")
-    return stored(rest, "regions")
+    settled = met.filter("linked").join(outside, ["part", "pivot"], "left").filter(f"nearest is null or d + {e} + 1e-9 < nearest").select("part", "doc")
+    done = settled.unionByName(pivots.select("part", F.col("pivot").alias("doc")))
+    left = _labelled(regions.join(done, ["part", "doc"], "left_anti"), labels)
+    open_parts = left.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("part")
+    return left.select("part", "doc").join(open_parts, "part", "left_semi")
 
 
 def keep_one_per_group(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
