@@ -32,7 +32,7 @@ from .common import stored
 CAPACITY = 2048
 #: Exchanges that the local search may take.
 SEARCH_STEPS = 1500
-CACHE_ITEMS = 600_000
+CACHE_ITEMS = 800_000
 ROWS_PER_CELL = 1_000_000
 
 
@@ -61,49 +61,42 @@ def _rank_encoder(spec: str):
     return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
+class _Pieces(dict):
+    """ids of each pre-token, as little-endian unsigned 32-bit numbers, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = array("I", self.encode(piece)).tobytes()
+        return found
+
+
 class BulkTokenizer:
-    """ids of whole texts by the tokenizers library, each distinct pre-token encoded once."""
+    """ids of whole texts by the tokenizers library's vocabulary, each distinct pre-token encoded once."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.fast = _rank_encoder(spec)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        fast = _rank_encoder(spec)
+        self.cache = _Pieces(self._encode if fast is None else lambda p: fast(p.encode("utf-8", "replace")))
 
-    def _encode_pieces(self, pre_tokens: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return self._encode(pre_tokens)
-        return [array("I", self.fast(p.encode("utf-8", "replace"))).tobytes() for p in pre_tokens]
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > CACHE_ITEMS:
             self.cache.clear()
-        cache, whole, cut, missing = self.cache, [], [], set()
-        ids_of = cache.__getitem__
-        out: list[bytes] = [b""] * len(texts)
-        for i, t in enumerate(texts):
+        ids_of, out = self.cache.__getitem__, []
+        for t in texts:
             if _ODD_SPACE.search(t) or any(s in t for s in self.specials):
-                whole.append(i)
-                continue
-            found = (_ASCII_PRE_TOKEN if t.isascii() else _PRE_TOKEN).findall(t)
-            try:
-                out[i] = b"".join(map(ids_of, found))
-            except KeyError:
-                cut.append((i, found))
-                missing.update([p for p in found if p not in cache])
-        if missing:
-            missing = list(missing)
-            cache.update(zip(missing, self._encode_pieces(missing)))
-        for i, found in cut:
-            out[i] = b"".join(map(ids_of, found))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
+                out.append(array("I", self._encode(t)).tobytes())
+            else:
+                out.append(b"".join(map(ids_of, (_ASCII_PRE_TOKEN if t.isascii() else _PRE_TOKEN).findall(t))))
         return out
 
 
