@@ -31,6 +31,8 @@ from .components import components
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _WORD_CACHE = 300_000
+#: Pivots of a region in the first round; twice as many in each later one, for the few regions left.
+PIVOTS, MOST_PIVOTS = 4, 64
 #: Most bits of the filter of part hashes that occur twice or more (8 MB); fuller, it only passes more.
 MOST_FILTER_BITS = 1 << 26
 
@@ -259,9 +261,11 @@ def _links(docs: DataFrame, rows: DataFrame, ids: DataFrame, size: int, percent:
     regions = _first_regions(rows, ids)
     texts = None
     links = tested = labels = None
+    number = PIVOTS
     while True:
         members = _labelled(regions, labels)
-        pivots = stored(_pivots(members), "pivots")
+        pivots = stored(_pivots(members, number), "pivots")
+        number = min(2 * number, MOST_PIVOTS)
         if pivots.isEmpty():
             break
         if texts is None:
@@ -305,15 +309,16 @@ def _labelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
     return regions.join(labels, regions["doc"] == labels["node"], "left").select("part", "doc", F.coalesce("component", "doc").alias("component"))
 
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """``part, pivot, pivot_component``: up to four pivots of each region that isn't one component yet, by partial aggregates.
+def _pivots(members: DataFrame, number: int) -> DataFrame:
+    """``part, pivot, pivot_component``: up to ``number`` pivots of each region that isn't one component yet.
 
-    Large components have small labels, so the greatest label picks a document that few others reach.
+    Each is the least by another hash of its component, then of itself, so small components are as
+    likely as large ones; all are partial aggregates.
     """
-    one = F.struct("doc", "component")
-    h = F.xxhash64("component")
-    made = members.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(one, F.col("doc")).alias("p1"), F.max_by(one, F.struct("component", "doc")).alias("p2"), F.min_by(one, F.struct(h, "doc")).alias("p3"), F.max_by(one, F.struct(h, "doc")).alias("p4"))
-    return made.filter("low <> high").select("part", F.explode(F.array_distinct(F.array("p1", "p2", "p3", "p4"))).alias("p")).select("part", F.col("p.doc").alias("pivot"), F.col("p.component").alias("pivot_component"))
+    draws = [F.min(F.struct(F.xxhash64("component", F.lit(i)).alias("h"), F.xxhash64("doc", F.lit(i)).alias("g"), "doc", "component")) for i in range(number)]
+    made = members.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.array(*draws).alias("p"))
+    picked = made.filter("low <> high").select("part", F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(x["doc"].alias("doc"), x["component"].alias("component"))))).alias("p"))
+    return picked.select("part", F.col("p.doc").alias("pivot"), F.col("p.component").alias("pivot_component"))
 
 
 def _unsettled(regions: DataFrame, pivots: DataFrame, met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
