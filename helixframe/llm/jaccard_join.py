@@ -1,10 +1,10 @@
 """Exact Jaccard similarity join on word n-grams, as a metric-space join (operator 4).
 
-Method: the Jaccard distance is a metric.  Pivots are chosen in each region, every
-document of the region gets its exact distance to them, documents inside a pivot's
-ball are linked to it, triangle-inequality windows carry boundary documents on, and
-what a ball does not settle is joined recursively with new pivots until no region
-is left.
+Method: the Jaccard distance is a metric.  Each region has a pivot, every document of
+the region gets its exact distance to it, documents inside the pivot's ball are linked
+to it, triangle-inequality windows decide which documents go on, replicated into every
+ring of distance that they reach, and what a ball does not settle is joined recursively
+around new pivots until no region is left.
 
 Regions: with random pivots alone nearly all distances between texts are 1, so every
 window would hold every document.  The first regions therefore come from an exact
@@ -31,8 +31,8 @@ from .components import components
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _WORD_CACHE = 300_000
-#: Pivots of a region in the first round; twice as many in each later one, for the few regions left.
-PIVOTS, MOST_PIVOTS = 4, 64
+#: Rings of distance to the pivot, as a share of the greatest allowed difference.
+RINGS = 4
 #: Most bits of the filter of part hashes that occur twice or more (8 MB); fuller, it only passes more.
 MOST_FILTER_BITS = 1 << 26
 
@@ -219,7 +219,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         for b in source:
             both, either = [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if y is not last_text:
+                if y != last_text:
                     last_text, last_set = y, shingles(y, size)
                 s = shingles(x, size)
                 i = len(np.intersect1d(s, last_set, assume_unique=True))
@@ -256,22 +256,23 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def _links(docs: DataFrame, rows: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b``: verified links between class representatives that connect all linked ones."""
+    """``a, b``: verified links between class representatives that connect all linked ones.
+
+    Each round gives every open region a pivot that all its documents meet; regions that have become
+    one component close, and the others are joined again around their pivot (:func:`centred`).
+    """
     spark = docs.sparkSession
-    regions = _first_regions(rows, ids)
+    regions, weights = _first_regions(rows, ids)
     texts = None
     links = tested = labels = None
-    number = PIVOTS
     while True:
-        members = _labelled(regions, labels)
-        pivots = stored(_pivots(members, number), "pivots")
-        number = min(2 * number, MOST_PIVOTS)
+        pivots = stored(_pivots(_labelled(regions, labels), weights), "pivots")
         if pivots.isEmpty():
             break
         if texts is None:
             suspects = regions.select("doc").distinct()
             texts = stored(_wanted_texts(docs, _bit_filter(spark, suspects.select(F.xxhash64("doc").alias("v")))).join(suspects, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-        asked = members.join(pivots, "part").filter("doc <> pivot and component <> pivot_component").select("part", "doc", "pivot", F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+        asked = regions.join(pivots, "part").filter("doc <> pivot").select("part", "doc", "pivot", F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
         pairs = asked.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -280,62 +281,116 @@ def _links(docs: DataFrame, rows: DataFrame, ids: DataFrame, size: int, percent:
         hits = new.filter("linked").select("a", "b")
         links = hits if links is None else links.unionByName(hits)
         labels = components(links)
-        before, regions = regions, stored(_unsettled(regions, pivots, asked.join(tested, ["a", "b"]), labels, percent), "regions")
-        drop_stored(before)
+        still = stored(_unsettled(asked.join(tested, ["a", "b"]), labels, percent), "open")
+        drop_stored(regions)
+        regions, weights = _regions(_centred_rows(still, texts, size, percent), labels)
+        drop_stored(still)
         release(spark)
     return links if links is not None else spark.createDataFrame([], "a long, b long")
 
 
-def _first_regions(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``part, doc``: class representatives that share a part; parts with the same documents are one region."""
+def _first_regions(rows: DataFrame, ids: DataFrame):
+    """Regions of class representatives that share a part, by a bit filter of the parts that occur twice."""
     spark = rows.sparkSession
-    parts = rows.select("h1", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y")  # by unlike sets
+    shared = rows.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = stored(shared.select(F.col("part").alias("v")), "repeated")
     wanted = _bit_filter(spark, repeated)
     drop_stored(repeated)
     release(spark)
-    held = stored(_wanted_parts(rows, wanted).join(ids, "doc", "left_semi"), "held")
-    shape = held.groupBy("part").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("doc"), 24)).alias("h")).filter("x <> y")
+    return _regions(_wanted_parts(rows, wanted).join(ids, "doc", "left_semi"), None)
+
+
+def _regions(rows: DataFrame, labels: DataFrame | None):
+    """(``part, doc`` of regions with several components, ``doc, weight``) from rows of part and document.
+
+    Parts with the same documents are one region.  A document's weight sums the sizes of its parts'
+    groups: those in the middle of many near copies weigh most.
+    """
+    held = stored(_labelled(rows, labels), "held")
+    shape = stored(held.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("doc"), 24)).alias("h")).filter("low <> high"), "shapes")
     one = shape.groupBy("x", "y", "n", "h").agg(F.min("part").alias("part")).select("part")
-    regions = stored(held.join(one, "part", "left_semi").distinct(), "regions")
+    regions = stored(held.select("part", "doc").join(one, "part", "left_semi").distinct(), "regions")
+    weights = stored(held.join(shape.select("part", "n"), "part").groupBy("doc").agg(F.sum("n").alias("weight")), "weights")
     drop_stored(held)
-    return regions
+    drop_stored(shape)
+    return regions, weights
 
 
 def _labelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return regions.withColumn("component", F.col("doc"))
+        return regions.select("part", "doc", F.col("doc").alias("component"))
     return regions.join(labels, regions["doc"] == labels["node"], "left").select("part", "doc", F.coalesce("component", "doc").alias("component"))
 
 
-def _pivots(members: DataFrame, number: int) -> DataFrame:
-    """``part, pivot, pivot_component``: up to ``number`` pivots of each region that isn't one component yet.
-
-    Each is the least by another hash of its component, then of itself, so small components are as
-    likely as large ones; all are partial aggregates.
-    """
-    draws = [F.min(F.struct(F.xxhash64("component", F.lit(i)).alias("h"), F.xxhash64("doc", F.lit(i)).alias("g"), "doc", "component")) for i in range(number)]
-    made = members.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.array(*draws).alias("p"))
-    picked = made.filter("low <> high").select("part", F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(x["doc"].alias("doc"), x["component"].alias("component"))))).alias("p"))
-    return picked.select("part", F.col("p.doc").alias("pivot"), F.col("p.component").alias("pivot_component"))
+def _pivots(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """``part, pivot``: the heaviest document of each region, so that overlapping regions share pivots; by partial aggregates."""
+    ranked = members.join(weights, "doc")
+    return ranked.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "doc")).alias("p")).filter("low <> high").select("part", F.col("p.doc").alias("pivot"))
 
 
-def _unsettled(regions: DataFrame, pivots: DataFrame, met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The regions' documents that may still have links no pivot shows.
+def _unsettled(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``doc, pivot`` of documents that may still have links their region's pivot doesn't show.
 
-    Pivots have met everyone outside their components.  A document x in the ball of pivot p is
-    settled if no document outside the ball is within the window d(y, p) <= d(x, p) + e: all that x
-    can link to is then connected through p.  Regions that have become one component are done.
+    A document x in the ball of pivot p is settled if no document outside the ball is within the
+    window d(y, p) <= d(x, p) + e: all that x can link to is then connected through p.  Regions whose
+    other documents are one component are closed.
     """
     e = 1 - percent / 100
     met = stored(met.select("part", "doc", "pivot", "d", "linked"), "met")
-    outside = met.filter("not linked").groupBy("part", "pivot").agg(F.min("d").alias("nearest"))
-    settled = met.filter("linked").join(outside, ["part", "pivot"], "left").filter(f"nearest is null or d + {e} + 1e-9 < nearest").select("part", "doc")
-    done = settled.unionByName(pivots.select("part", F.col("pivot").alias("doc")))
-    left = _labelled(regions.join(done, ["part", "doc"], "left_anti"), labels)
+    nearest = met.filter("not linked").groupBy("part").agg(F.min("d").alias("nearest"))
+    judged = met.join(nearest, "part", "left").filter(f"not linked or d + {e} + 1e-9 >= nearest")
+    left = judged.join(labels, judged["doc"] == labels["node"], "left").select("part", "doc", "pivot", F.coalesce("component", "doc").alias("component"))
     open_parts = left.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("part")
-    return left.select("part", "doc").join(open_parts, "part", "left_semi")
+    return left.join(open_parts, "part", "left_semi").select("doc", "pivot").distinct()
+
+
+def centred(s: np.ndarray, pivot: np.ndarray, percent: int) -> np.ndarray:
+    """Region hashes of a set around a pivot: any two linked sets share one.
+
+    Sets become their symmetric differences D with the pivot, which keeps their own differences:
+    |x ^ y| = |Dx ^ Dy|.  Linked sets differ in t elements at most (t = n * (1 / threshold - 1)), so
+    Dx and Dy share o >= (|Dx| + |Dy| - t) / 2 elements, and the first |D| - o + 1 of each, in one
+    common order, share one.  Elements that the pivot lacks come first: they are rare.  |D| is cut
+    into rings; a set takes part with each ring that its window reaches, so that pairs of rings have
+    the shortest prefixes.  Where no element need be shared, both sets are around the centre.
+    """
+    own = np.concatenate([np.setdiff1d(s, pivot, assume_unique=True), np.setdiff1d(pivot, s, assume_unique=True)])
+    n = len(own)
+    apart = len(s) * (100 - percent) // percent
+    width = max(1, len(pivot) * (100 - percent) // percent // RINGS)
+    root = mix(np.asarray([xxhash.xxh3_64_intdigest(pivot.tobytes())], np.uint64))
+    found = []
+    if n <= apart:
+        found.append(root)
+    ring = n // width
+    for other in range(max(0, n - apart) // width, (n + apart) // width + 1):
+        shared = max(1, -((apart - n - other * width) // 2))
+        length = n - shared + 1
+        if length > 0:
+            key = np.full(1, max(ring, other) * 1_000_003 + min(ring, other), np.uint64)
+            found.append(mix(own[:length] ^ mix(root + mix(key * _M1))))
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def _centred_rows(still: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``part, doc``: the open documents' region hashes around their pivots."""
+
+    def run(source):
+        last_text, last_set = None, None
+        for b in source:
+            docs, parts = [], []
+            for doc, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if y != last_text:
+                    last_text, last_set = y, shingles(y, size)
+                docs.append(doc)
+                parts.append(centred(shingles(x, size), last_set, percent))
+            if docs:
+                ids = np.repeat(np.asarray(docs, np.int64), [len(p) for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(ids)], names=["part", "doc"])
+
+    left = texts.select("doc", F.col("text").alias("text_x"))
+    right = texts.select(F.col("doc").alias("pivot"), F.col("text").alias("text_p"))
+    return still.join(left, "doc").join(right, "pivot").select("doc", "text_x", "text_p").mapInArrow(run, "part long, doc long").distinct()
 
 
 def keep_one_per_group(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -343,7 +398,9 @@ def keep_one_per_group(df: DataFrame, id_column: str = "doc_id", text_column: st
 
     Rows that repeat a kept id exactly are kept once.
     """
-    found = similar_groups(df, id_column, text_column, size, percent)
-    kept = found.groupBy("doc").agg(F.min("component").alias("component")).filter("doc = component").select(F.col("doc").alias("kept_doc__"))
+    found = stored(similar_groups(df, id_column, text_column, size, percent).select("doc", "component"), "groups")
+    kept = found.filter("doc = component").select(F.col("doc").alias("kept_doc__")).distinct()
     own = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
-    return df.join(kept, own == F.col("kept_doc__"), "left_semi").dropDuplicates([id_column])
+    out = df.join(kept, own == F.col("kept_doc__"), "left_semi")
+    repeated = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return out.dropDuplicates([id_column]) if repeated else out
