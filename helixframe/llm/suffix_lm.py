@@ -228,16 +228,17 @@ def score_texts(df: DataFrame, train, id_column: str = "doc_id", text_column: st
     states = tree.retained
 
     def score(key, docs: pa.Table, own: pa.Table) -> pa.Table:
-        known = dict(zip(own.column("word").to_pylist(), own.column("c").to_pylist()))
         divisor = math.log10(n_train + vocabulary + 1)
-        cost = {w: math.log10(c + 1) - divisor for w, c in known.items()}
-        end_cost = cost.get(b"", -divisor)
+        costs = np.log10(own.column("c").to_numpy() + 1.0) - divisor  # a word never trained on costs exactly -divisor
+        cost = dict(zip(own.column("word").to_pylist(), costs.tolist()))
+        cost_of, end_cost = cost.__getitem__, cost[b""]
         base, n_tokens, n_known, streams, scores, size = [], [], [], [], [], 0
         for text in docs.column("text"):
             found = tokens(text.as_py())
-            base.append(math.fsum(map(cost.__getitem__, found)) + end_cost)
-            n_tokens.append(len(found) + 1)
-            n_known.append(sum(1 for c in map(known.__getitem__, found) if c) + (known.get(b"", 0) > 0))
+            each = [*map(cost_of, found), end_cost]
+            base.append(math.fsum(each))
+            n_tokens.append(len(each))
+            n_known.append(len(each) - each.count(-divisor))
             streams.append(stream_of(found))
             size += len(streams[-1])
             if size > 4 << 20:
