@@ -116,7 +116,7 @@ def extend_seed(graph: LocalGraph, read: str, chain: list[int], node_first: int,
     full = _flip(l_chain)[: len(l_chain) - len(back)] + r_chain
     corrected = _rc(l_text) + body + r_text
     state = EXHAUSTED if EXHAUSTED in (r_state, l_state) else MULTIPLE if MULTIPLE in (r_state, l_state) else OPTIMAL
-    start = node_first - len(l_text) if len(l_chain) == len(back) else len(graph.nodes[full[0]]) - _taken(graph, l_text, l_chain, back, first_len - node_first)
+    start = node_first - len(l_text) if len(l_chain) == len(back) else len(graph.nodes[l_chain[-1]]) - _taken(graph, l_text, l_chain, back, first_len - node_first)
     end = last_pos + k + len(r_text) if len(r_chain) == len(chain) else _taken(graph, r_text, r_chain, chain, last_pos + k)
     return align(read, corrected).score, full, start, end, corrected, state
 

@@ -55,7 +55,7 @@ def branching_only(spark, sf):
 # path lengths for the decisions: node n is 10 * |n| k-mers long, k = 21
 LEN_SQL = "22 + list_sum(list_transform(chain[2:], lambda v: 10 * abs(v)))"
 DECIDED = f"""{TRANS}, le AS (SELECT *, ({LEN_SQL})::DOUBLE AS avg_len FROM tr),
-ex AS (SELECT *, greatest(0, 40.0::DOUBLE / 400.0::DOUBLE * (400.0::DOUBLE - avg_len + 1)) AS expected FROM le),
+ex AS (SELECT *, greatest(0, 11.0::DOUBLE / 400.0::DOUBLE * (400.0::DOUBLE - avg_len + 1)) AS expected FROM le),
 od AS (SELECT *, CASE WHEN expected > 0 THEN (freq * (ln(1.0::DOUBLE) - ln(expected)) - 1 + expected) / ln(10.0::DOUBLE) END AS odds FROM ex),
 de AS (SELECT *, NOT coalesce(expected >= 10 AND odds > 5 AND freq < expected, FALSE) AS accepted FROM od)"""
 
@@ -63,7 +63,7 @@ de AS (SELECT *, NOT coalesce(expected >= 10 AND odds > 5 AND freq < expected, F
 def decided(spark, sf):
     t = markov.transitions(event_chains(spark, sf), ORDERS)
     nodes = spark.range(1, 6).select(F.col("id").cast("int").alias("node_id"), (F.col("id") * 10).alias("marg_len"))
-    return markov.decide(markov.with_lengths(t, nodes, 21), 40.9, 400.5)
+    return markov.decide(markov.with_lengths(t, nodes, 21), 11.9, 400.5)
 
 
 @query("m03_chain_lengths", f"WITH {TRANS} SELECT ord, {Q.join_text('chain')} AS chain, next_node, ({LEN_SQL})::DOUBLE AS avg_len FROM tr")

@@ -16,7 +16,7 @@ from .tables import benchmark_graph, sequences
 #: Small enough for the benchmark's sequences to branch.
 K = 11
 #: For mapping reads.
-ALIGN_K = 15
+ALIGN_K = 11
 G = Q.graph(k=K)
 
 
@@ -58,7 +58,7 @@ def arc_symmetry(spark, sf):
     return graph.asymmetric_arcs(a).agg(F.count(F.lit(1)).alias("asymmetric")).join(graph.overlap_breaks(nodes, a, K).agg(F.count(F.lit(1)).alias("breaks")), F.lit(True))
 
 
-@query("g05_kmers_in_one_node", f"WITH {Q.seqs('benchmark', 'item_id')}, {Q.overlaps('item_id')} SELECT count(*) AS kmers, count(*) AS placed, 1::BIGINT AS most FROM ov")
+@query("g05_kmers_in_one_node", f"WITH {Q.seqs('benchmark', 'item_id')}, {Q.overlaps('item_id', K)} SELECT count(*) AS kmers, count(*) AS placed, 1::BIGINT AS most FROM ov")
 def kmers_in_one_node(spark, sf):
     overlaps, nodes, _ = benchmark_graph(spark, sf, K)
     rows = kmers.kmer_rows(nodes.select("node_id", "seq"), K, ["node_id"]).groupBy(S.canonical(F.col("kmer")).alias("canon")).agg(F.count(F.lit(1)).alias("places"))
