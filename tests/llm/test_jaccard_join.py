@@ -73,26 +73,6 @@ def test_parts_never_miss_a_link():
                         assert np.intersect1d(jj.part_hashes(a, percent), jj.part_hashes(b, percent)).size
 
 
-def test_centred_regions_never_miss_a_link():
-    r = np.random.default_rng(6)
-    for percent in (80, 90):
-        for n in (3, 12, 40, 150, 700):
-            base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
-
-            def edited(s, most):
-                k = int(r.integers(0, most + 1))
-                kept = r.permutation(s)[k:] if r.integers(0, 2) else s
-                return np.union1d(kept, r.integers(0, 1 << 63, int(r.integers(0, most + 1)), dtype=np.uint64))
-
-            for _ in range(80):
-                pivot = edited(base, n // 3)
-                a = edited(base, n // 3)
-                b = edited(a, max(1, n * (100 - percent) // 100))
-                both = len(np.intersect1d(a, b))
-                if len(b) and len(a) and 100 * both >= percent * len(np.union1d(a, b)):
-                    assert np.intersect1d(jj.centred(a, pivot, percent), jj.centred(b, pivot, percent)).size
-
-
 def test_empty_and_keep_one(spark):
     assert jj.similar_groups(empty(spark)).count() == 0
     rows = near_copies(3)
