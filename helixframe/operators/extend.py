@@ -105,8 +105,9 @@ def extend_seed(graph: LocalGraph, read: str, chain: list[int], node_first: int,
     The right side is searched on the read, the left side on its reverse complement (L10, L12).
     """
     k = graph.k
-    body = read[read_first : read_end + k - 1]
     chain = tuple(chain)
+    path = graph.nodes[chain[0]] + "".join(graph.nodes[n][k - 1 :] for n in chain[1:])
+    body = path[node_first : node_first + read_end - read_first + k - 1]  # the graph's text, also where the read differs inside the seed
     inner = sum(len(graph.nodes[n]) - k + 1 for n in chain[:-1])
     last_pos = node_first + (read_end - 1 - read_first) - inner
     r_score, r_chain, r_text, r_state = search(graph, read[read_end + k - 1 :], chain, last_pos + k, bound, visits)

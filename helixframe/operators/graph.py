@@ -35,19 +35,20 @@ def branching_kmers(overlaps: DataFrame) -> DataFrame:
 def list_ranks(links: DataFrame, keys: DataFrame) -> DataFrame:
     """``kmer, tail, steps``: the end of each chain by pointer doubling, in a logarithmic number of self-joins.
 
-    A cycle has no end: it is broken at its smallest element, which becomes its head.
+    A cycle has no end: it is broken before its smallest canonical k-mer, and its other strand at the
+    same place, so that both strands spell one node.
     """
     base = keys.join(links, "kmer", "left")
     n = max(2, base.count())
     rounds = math.ceil(math.log2(n)) + 1
-    now = materialise(base.select("kmer", F.coalesce("next", "kmer").alias("tail"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("next").isNull().alias("done"), F.least("kmer", F.coalesce("next", "kmer")).alias("low")), "ranks")
+    now = materialise(base.select("kmer", F.coalesce("next", "kmer").alias("tail"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("next").isNull().alias("done"), F.least(S.canonical(F.col("kmer")), S.canonical(F.coalesce("next", "kmer"))).alias("low")), "ranks")
     for _ in range(rounds):
         ahead = now.select(F.col("kmer").alias("k2"), F.col("tail").alias("t2"), F.col("steps").alias("s2"), F.col("done").alias("d2"), F.col("low").alias("l2"))
         now = materialise(now.join(ahead, now["tail"] == ahead["k2"]).select("kmer", F.col("t2").alias("tail"), F.when(F.col("done"), F.col("steps")).otherwise(F.col("steps") + F.col("s2")).alias("steps"), (F.col("done") | F.col("d2")).alias("done"), F.least("low", "l2").alias("low")), "ranks")
         if now.filter("not done").isEmpty():
             return now.select("kmer", "tail", "steps")
     cyclic = now.filter("not done").select("kmer", "low")
-    cut = links.join(cyclic, "kmer").filter("next <> low").select("kmer", "next")
+    cut = links.join(cyclic, "kmer").filter((F.col("next") != F.col("low")) & (F.col("kmer") != S.revcomp(F.col("low")))).select("kmer", "next")
     return now.filter("done").select("kmer", "tail", "steps").unionByName(list_ranks(cut, cyclic.select("kmer")))
 
 

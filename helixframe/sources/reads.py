@@ -30,14 +30,18 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, lib_id: int = 0) -> DataFrame:
-    """Records start at a '>'; all lines up to the next one are joined; what precedes the first is skipped."""
-    raw = spark.read.option("lineSep", ">").text(path).withColumn("at", F.monotonically_increasing_id())
-    kept = raw.filter(F.length(F.trim("value")) > 0)
-    numbered_rows = numbered(kept, ["at"], "rec_id")
-    lines = F.split("value", r"\r?\n")
-    return numbered_rows.select(
+    """Records start at a '>' that begins a line; all lines up to the next one are joined; what precedes the first is skipped."""
+    raw = spark.read.option("lineSep", "\n>").text(path).withColumns({"file__": F.input_file_name(), "at": F.monotonically_increasing_id()})
+    pieces = numbered(raw, ["at"], "rec_id")
+    first = F.broadcast(pieces.groupBy("file__").agg(F.min("rec_id").alias("first__")))  # a row per file
+    marked = pieces.join(first, "file__").withColumn("lead__", F.col("rec_id") == F.col("first__"))
+    kept = marked.filter(~F.col("lead__") | F.col("value").startswith(">"))
+    body = F.when(F.col("lead__"), F.substring(F.col("value"), 2, 1 << 30)).otherwise(F.col("value"))
+    lines = F.split(body, r"\r?\n")
+    joined = F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.trim), "")
+    return kept.select(
         F.lit(lib_id).alias("lib_id"), (F.col("rec_id") - 1).alias("rec_id"), F.concat(F.lit(">"), lines[0], F.lit("\n")).alias("pre"),
-        F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.trim), "").alias("read"), F.lit("\n").alias("post"), F.lit(None).cast("string").alias("qual"),
+        F.regexp_replace(joined, r"\r", "").alias("read"), F.lit("\n").alias("post"), F.lit(None).cast("string").alias("qual"),
     )
 
 
@@ -94,7 +98,7 @@ def parse_sam(rows: DataFrame, value: str = "value") -> DataFrame:
     return rows.filter(~F.col(value).startswith("@")).select(
         at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("rname"), at(3).cast("int").alias("pos"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"),
         at(6).alias("rnext"), at(7).cast("int").alias("pnext"), at(8).cast("int").alias("tlen"), at(9).alias("seq"), at(10).alias("qual"),
-        F.regexp_extract(pick("NM:i:"), r"NM:i:(\d+)", 1).cast("int").alias("nm"), F.regexp_extract(pick("XA:Z:"), r"XA:Z:(.*)", 1).alias("xa"),
+        F.regexp_extract(pick("NM:i:"), r"NM:i:(\d+)", 1).cast("int").alias("nm"), F.coalesce(F.regexp_extract(pick("XA:Z:"), r"XA:Z:(.*)", 1), F.lit("")).alias("xa"),
     )
 
 
