@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -69,8 +70,11 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of jobs whose frames are gone."""
+    """Let Spark's cleaner remove shuffle files of jobs whose frames are gone, and give the driver's free memory back."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

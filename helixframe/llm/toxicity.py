@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release
+
 MAX_TRAIN = 8_000
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -101,6 +103,8 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
     w, bias = _logistic(np.repeat(np.arange(len(y)), lengths), np.asarray(lists.flatten()), y, ratio)
     weights[feature] = w * ratio
+    del held, lists, lengths, number
+    release(sample.sparkSession)
     return weights, bias
 
 
