@@ -8,11 +8,11 @@ frequent enough to judge and its next-symbol distribution diverges from its pare
 suffixes.
 
 Scale: n-gram counts come from all training texts through partial and final
-aggregation.  The tree is small by construction: at most ``1 / LEAST_SHARE`` contexts
-of each length can reach the least share of all positions, so at most
-``DEPTH / LEAST_SHARE`` nodes are ever collected or broadcast.  Exact word counts,
-which grow with the corpus, are never broadcast: each block of documents receives
-the counts of its own words by a join.
+aggregation.  The least count of a context is absolute, so the tree grows with the
+corpus and is never collected or broadcast: contexts that end alike are judged together
+(``_judge``; only next symbols after at most one byte go through the driver), and each
+block of documents receives the probabilities of its own grams, like the counts of its
+own words, by a join.
 """
 
 from __future__ import annotations
@@ -22,18 +22,22 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, release, stored, text_bytes
 
 DEPTH = 5
-LEAST_SHARE = 2e-6
+#: Occurrences that a context needs to be judged, at any size of the corpus.
+LEAST = 2
 #: Nats that a context's own distribution must gain over its parent's, in all its occurrences and per symbol it predicts.
 GAIN_PER_SYMBOL = 1.0
 BLOCK_BYTES = 12 << 20
 SPACE, END = 0x20, 0x0A
 _PAD = bytes([END]) * DEPTH
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)  # no gram of DEPTH + 1 < 8 bytes
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _COUNTS = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
@@ -48,6 +52,13 @@ def stream_of(words: list[bytes]) -> bytes:
 
 def gram_counts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (DEPTH + 1)-grams that end at each symbol of the streams, newest symbol in the low byte, and counts."""
+    keys = np.sort(gram_keys(streams))
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.diff(np.append(starts, len(keys)))
+
+
+def gram_keys(streams: list[bytes]) -> np.ndarray:
+    """The (DEPTH + 1)-gram that ends at each symbol of the streams, in order."""
     raw = np.frombuffer(b"".join(_PAD + s for s in streams), np.uint8)
     scored = np.ones(len(raw), bool)
     at = 0
@@ -57,9 +68,7 @@ def gram_counts(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keys = raw[DEPTH:].astype(np.uint64)
     for back in range(1, DEPTH + 1):
         keys |= raw[DEPTH - back : len(raw) - back].astype(np.uint64) << np.uint64(8 * back)
-    keys = np.sort(keys[scored[DEPTH:]])
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[starts], np.diff(np.append(starts, len(keys)))
+    return keys[scored[DEPTH:]]
 
 
 def _blocks(df: DataFrame, id_column: str, text_column: str, train) -> tuple[DataFrame, int]:
@@ -69,24 +78,31 @@ def _blocks(df: DataFrame, id_column: str, text_column: str, train) -> tuple[Dat
 
 
 def _count_block(table: pa.Table) -> pa.Table:
-    """Word counts (of training texts; 0 for words only seen elsewhere) and training grams of one block."""
+    """Word and gram counts of one block (of training texts; 0 for words and grams only seen elsewhere)."""
     words: Counter = Counter()
     others: set = set()
-    streams, size, grams = [], 0, []
+    held: dict[bool, list] = {True: [], False: []}
+    size, grams = {True: 0, False: 0}, []
+
+    def flush(train: bool) -> None:
+        if held[train]:
+            g, c = gram_counts(held[train])
+            grams.append((g, c if train else np.zeros_like(c)))
+        held[train], size[train] = [], 0
+
     for text, train in zip(table.column("text"), table.column("train").to_pylist()):
         found = tokens(text.as_py())
-        if not train:
+        if train:
+            words.update(found)
+            words[b""] += 1  # the end token
+        else:
             others.update(found)
-            continue
-        words.update(found)
-        words[b""] += 1  # the end token
-        streams.append(stream_of(found))
-        size += len(streams[-1])
-        if size > 4 << 20:
-            grams.append(gram_counts(streams))
-            streams, size = [], 0
-    if streams:
-        grams.append(gram_counts(streams))
+        held[train].append(stream_of(found))
+        size[train] += len(held[train][-1])
+        if size[train] > 4 << 20:
+            flush(train)
+    flush(True)
+    flush(False)
     block = table.column("block")[0].as_py()
     keys = [*words, *(w for w in others if w not in words)]
     n = np.asarray([words.get(w, 0) for w in keys], np.int64)
@@ -104,18 +120,138 @@ def _rows(block: int, words: pa.Array, grams: pa.Array, n: np.ndarray) -> pa.Tab
     return pa.Table.from_arrays([pa.array(np.full(len(n), block, np.int32)), words, grams, pa.array(n.astype(np.int64))], schema=_COUNTS)
 
 
-def frequent_contexts(grams: DataFrame, least: int) -> DataFrame:
-    """``level, context, next, n`` for contexts of 0 to DEPTH symbols that occur at least ``least`` times."""
-    top = grams.groupBy("gram").agg(F.sum("n").alias("n"))
-    cut = top.select(F.posexplode(F.array(*[F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)) for d in range(DEPTH + 1)])).alias("level", "key"), "n")
-    counted = cut.groupBy("level", "key").agg(F.sum("n").alias("n"))
-    by = counted.select("level", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("next"), "n")
-    held = by.groupBy("level", "context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("next", "n")).alias("nexts"))  # 256 entries at most
-    return held.filter(F.col("total") >= least).select("level", "context", F.inline("nexts"))
+class Shallow:
+    """Next-symbol probabilities after no and one byte, as 256 x 256 tables: all that is worked out on the driver."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        own = np.zeros((256, 256))  # context, next
+        own[gram >> 8, gram & 255] = n
+        root = own.sum(axis=0)
+        self.root = (root + 1) / (root.sum() + 256)
+        total, kinds = own.sum(axis=1), np.count_nonzero(own, axis=1)
+        valid = total >= LEAST
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.smooth = np.where(valid[:, None], (own + kinds[:, None] * self.root) / (total + kinds)[:, None], self.root)
+            gain = np.where(own > 0, own * np.log(own / total[:, None] / self.root), 0).sum(axis=1)
+        self.passed = valid & (gain > GAIN_PER_SYMBOL * kinds)
+        self.near = np.where(self.passed[:, None], self.smooth, self.root)
+
+    def fallback(self, deeper: np.ndarray) -> tuple[np.ndarray, int]:
+        """log10 for grams without a longer retained context, and retained contexts; ``deeper`` tells first symbols with longer ones."""
+        held = self.passed | deeper
+        return np.log10(np.where(held[:, None], self.smooth, self.root)).astype(np.float32), 1 + int(held.sum())
+
+
+def _judge(gram: np.ndarray, n: np.ndarray, shallow: Shallow) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted grams, log10 of their last symbols' probabilities (NaN: no context of two bytes or more is retained), retained contexts.
+
+    The grams are all those whose contexts end in the same two bytes, so they hold whole subtrees.
+    """
+    order = np.argsort(gram)
+    keys, counts, parents = [gram[order]], [n[order].astype(np.float64)], []
+    for d in range(DEPTH - 1, 1, -1):  # counts of shorter contexts' next symbols
+        k, parent = np.unique(keys[-1] & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        parents.append(parent)
+        counts.append(np.bincount(parent, counts[-1], len(k)))
+        keys.append(k)
+    levels = []
+    up = near = None
+    for i in range(len(keys) - 1, -1, -1):  # shorter contexts first
+        k, own = keys[i], counts[i]
+        if up is None:
+            first, nxt = (k >> 8) & 255, k & 255
+            up, near = shallow.smooth[first, nxt], shallow.near[first, nxt]
+        else:
+            up, near = up[parents[i]], near[parents[i]]
+        context = np.cumsum(np.concatenate(([False], (k[1:] >> 8) != (k[:-1] >> 8))))
+        total, kinds = np.bincount(context, own), np.bincount(context, own > 0)
+        valid = total >= LEAST
+        held = own > 0
+        gain = np.bincount(context[held], own[held] * np.log(own[held] / total[context[held]] / near[held]), len(total))
+        passed = valid & (gain > GAIN_PER_SYMBOL * kinds)
+        up = np.where(valid[context], (own + kinds[context] * up) / np.maximum(total + kinds, 1)[context], up)
+        near = np.where(passed[context], up, near)
+        levels.append((context, passed, up))
+    levels.reverse()
+    retained, below = 0, None
+    kept = []
+    for i, (context, passed, _) in enumerate(levels):  # the tree holds every suffix of a retained context
+        if below is not None:
+            passed = passed | (np.bincount(context[parents[i - 1]], below, len(passed)) > 0)
+        below = passed[context]
+        kept.append(below)
+        retained += int(passed.sum())
+    best = np.full(len(keys[-1]), np.nan)
+    for i in range(len(keys) - 1, -1, -1):
+        best = np.where(kept[i], levels[i][2], best if i == len(keys) - 1 else best[parents[i]])
+    return keys[0], np.log10(best).astype(np.float32), retained
+
+
+class GramTable:
+    """Probabilities of one block's grams by an open hash table."""
+
+    def __init__(self, gram: np.ndarray, log_p: np.ndarray):
+        bits = max(4, int(2 * len(gram)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, _EMPTY), np.zeros(1 << bits, np.float32)
+        gram, at = gram.astype(np.uint64), self._slots(gram.astype(np.uint64))
+        while len(gram):
+            free = self.keys[at] == _EMPTY
+            self.keys[at[free]] = gram[free]
+            placed = self.keys[at] == gram
+            self.values[at[placed]] = log_p[placed]
+            gram, log_p, at = gram[~placed], log_p[~placed], (at[~placed] + 1) & self.mask
+
+    def _slots(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram * _MULTIPLIER) >> self.shift).astype(np.int64)
+
+    def score(self, streams: list[bytes]) -> np.ndarray:
+        """log10 probability of each stream; all its grams are in the table."""
+        if not streams:
+            return np.empty(0)
+        gram = gram_keys(streams)
+        at = self._slots(gram)
+        rest = np.flatnonzero(self.keys[at] != gram)
+        while len(rest):
+            if (self.keys[at[rest]] == _EMPTY).any():
+                raise KeyError("gram of a text is not in its block's table")
+            at[rest] = (at[rest] + 1) & self.mask
+            rest = rest[self.keys[at[rest]] != gram[rest]]
+        ends = np.cumsum([len(s) for s in streams])
+        return np.add.reduceat(self.values[at].astype(np.float64), np.concatenate(([0], ends[:-1])))
+
+
+def gram_prices(grams: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """``gram, log_p`` of every gram (null: see the 256 x 256 table, by the last two symbols), that table, retained contexts."""
+    spark = grams.sparkSession
+    totals = stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    pairs = totals.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    shallow = Shallow(pairs.column("pair").to_numpy(), pairs.column("n").to_numpy())
+    held = spark.sparkContext.broadcast(shallow)
+
+    def judge(table: pa.Table) -> pa.Table:
+        gram, log_p, retained = _judge(table.column("gram").to_numpy(), table.column("n").to_numpy(), held.value)
+        stem = int(gram[0] >> 8) & 0xFFFF
+        return pa.table({
+            "gram": pa.array(np.append(gram, 0)), "log_p": pa.array(np.append(log_p, np.float32(0)), from_pandas=True),
+            "stem": pa.array([None] * len(gram) + [stem], pa.int32()), "retained": pa.array([None] * len(gram) + [retained], pa.int64()),
+        })
+
+    stem = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    judged = stored(totals.withColumn("end", stem).groupBy("end").applyInArrow(judge, "gram long, log_p float, stem int, retained long"), "prices")
+    drop_stored(totals)
+    stems = judged.filter("retained > 0").groupBy(F.col("stem").bitwiseAND(F.lit(255)).alias("last")).agg(F.sum("retained").alias("n")).collect()  # 256 rows at most
+    deeper = np.zeros(256, bool)
+    deeper[[r["last"] for r in stems]] = True
+    table, retained = shallow.fallback(deeper)
+    return judged.filter("stem is null").select("gram", "log_p"), table, retained + sum(r["n"] for r in stems)
 
 
 class SuffixTree:
-    """Smoothed next-symbol distributions of retained contexts, and their automaton."""
+    """The model in plain form, on one machine: smoothed distributions of retained contexts, and their automaton.
+
+    Tests hold the distributed form (``gram_prices``) against it.
+    """
 
     def __init__(self, level: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
         seen = np.unique(symbol) if len(symbol) else np.empty(0, int)
@@ -217,17 +353,15 @@ def score_texts(df: DataFrame, train, id_column: str = "doc_id", text_column: st
     lexicon = stored(words.select("block", "word", F.sum("n").over(per_word).alias("c"), (F.min("block").over(per_word) == F.col("block")).alias("first")), "lexicon")
     total = lexicon.filter("first and c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, vocabulary = int(total["n"] or 0), int(total["v"] or 0)
-    grams = counts.filter("gram is not null").select("gram", "n")
-    positions = int(grams.agg(F.sum("n").alias("n")).first()["n"] or 0)
-    least = max(2, math.ceil(positions * LEAST_SHARE))
-    found = frequent_contexts(grams, least).toArrow()  # DEPTH / LEAST_SHARE contexts of 256 symbols at most
-    tree = SuffixTree(*(found.column(c).to_numpy() for c in ("level", "context", "next", "n")))
-    drop_stored(counts)
+    grams = counts.filter("gram is not null").select("block", "gram", "n")
+    prices, table, states = gram_prices(grams)
     release(spark)
-    model = spark.sparkContext.broadcast(tree)
-    states = tree.retained
+    fallback = spark.sparkContext.broadcast(table)
 
-    def score(key, docs: pa.Table, own: pa.Table) -> pa.Table:
+    def score(key, docs: pa.Table, own: pa.Table, priced: pa.Table) -> pa.Table:
+        gram = priced.column("gram").to_numpy()
+        log_p = priced.column("log_p").to_numpy().astype(np.float32)
+        model = GramTable(gram, np.where(np.isnan(log_p), fallback.value[(gram >> 8) & 255, gram & 255], log_p))
         divisor = math.log10(n_train + vocabulary + 1)
         costs = np.log10(own.column("c").to_numpy() + 1.0) - divisor  # a word never trained on costs exactly -divisor
         cost = dict(zip(own.column("word").to_pylist(), costs.tolist()))
@@ -242,9 +376,9 @@ def score_texts(df: DataFrame, train, id_column: str = "doc_id", text_column: st
             streams.append(stream_of(found))
             size += len(streams[-1])
             if size > 4 << 20:
-                scores.append(model.value.score(streams))
+                scores.append(model.score(streams))
                 streams, size = [], 0
-        scores.append(model.value.score(streams))
+        scores.append(model.score(streams))
         rows = docs.num_rows
         return pa.table({
             "doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
@@ -255,12 +389,14 @@ def score_texts(df: DataFrame, train, id_column: str = "doc_id", text_column: st
     ends = lexicon.filter("word = X'' and first").select("c")
     end_row = ends.first()
     end_count = int(end_row["c"]) if end_row else 0
-    own = lexicon.filter("length(word) > 0").select("block", "word", "c")
+    own = lexicon.filter("length(word) > 0").select("block", "word", "c", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("log_p"))
+    own = own.unionByName(grams.drop("n").join(prices, "gram").select("block", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "gram", "log_p"))
     docs = blocks
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double, states long"
 
     def with_end(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        end = pa.table({"block": pa.array([0], right.schema.field("block").type), "word": pa.array([b""], right.schema.field("word").type), "c": pa.array([end_count], pa.int64())}).cast(right.schema)
-        return score(key, left, pa.concat_tables([right, end]))
+        end = pa.table({"block": pa.array([0], right.schema.field("block").type), "word": pa.array([b""], right.schema.field("word").type), "c": pa.array([end_count], pa.int64())}).cast(pa.schema([right.schema.field(c) for c in ("block", "word", "c")]))
+        of_words = pc.is_null(right.column("gram"))
+        return score(key, left, pa.concat_tables([right.filter(of_words).select(["block", "word", "c"]), end]), right.filter(pc.invert(of_words)))
 
     return docs.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(with_end, schema)

@@ -96,3 +96,27 @@ def test_held_out_texts_gain(spark):
 
     rows = op2_suffix_lm(spark, "/root/testdata/sf0.1").filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert rows["s"] > rows["b"]
+
+
+def test_distributed_model_equals_the_plain_one(spark):
+    rows = real_texts(150)
+    streams = [lm.stream_of(lm.tokens(t)) for i, t in rows if i % 3]
+    tree = small_tree(streams, lm.LEAST)
+    got = {r["doc_id"]: r for r in lm.score_texts(documents(spark, rows), F.col("doc_id") % 3 != 0).collect()}
+    want = tree.score([lm.stream_of(lm.tokens(t)) for _, t in rows])
+    for (i, _), x in zip(rows, want):
+        assert got[i]["score"] == pytest.approx(x, rel=1e-4)
+        assert got[i]["states"] == tree.retained
+
+
+def test_rare_contexts_stay_in_a_larger_corpus(spark):
+    """Thirty occurrences of a word teach the same among 0.1 and 20 MB of other text."""
+    rare = [(i, "qzxjvk") for i in range(30)]
+
+    def run(copies):
+        other = [(100 + i, "lorem ipsum dolor sit amet " * 400) for i in range(copies)]
+        got = lm.score_texts(documents(spark, [*rare, *other, (99, "qzxjvk")]), F.col("doc_id") != 99)
+        return got.filter("doc_id = 99").first()["score"]
+
+    small, large = run(10), run(2000)
+    assert large > small - 4  # only the first letter grows rarer
