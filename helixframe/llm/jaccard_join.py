@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, release, stored, words_of
+from .common import clash_free, drop_stored, release, stored, words_of
 from .components import components
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -239,10 +239,33 @@ def similar_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     ``class_id`` is the smallest id with the same set; ``component`` the smallest id reachable by
     links of ``100 * both >= percent * either``.  Sets without shingles (null, empty or blank
     texts) link with nothing, so they are their own component.  Rows that repeat an id are one
-    document each row of which is reported; should their texts differ, each row keeps its own set
-    and all of them share the id's component.  A null id is treated as the smallest id.
+    document each row of which is reported; should their texts differ, each row keeps its own set,
+    links of all its texts count, and all of them share the id's component.  A null id is treated
+    as the smallest id.
     """
-    docs = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text_column).alias("text"))
+    docs = df.select(_own_id(id_column).alias("doc"), F.col(text_column).alias("text"))
+    if not _repeats(docs):
+        return _groups(docs, size, percent)
+    numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = stored(_groups(numbered.select(F.col("row").alias("doc"), "text"), size, percent).withColumnRenamed("doc", "row").join(numbered.select("row", "doc"), "row"), "row-groups")
+    classes = found.groupBy("class_id").agg(F.min("doc").alias("class_doc"))
+    low = found.groupBy("component").agg(F.min("doc").alias("low"))
+    edges = found.join(low, "component").select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct()
+    ids = components(edges)
+    out = found.drop("component").join(classes, "class_id").join(ids, F.col("doc") == F.col("node"), "left")
+    return out.select("doc", "n_shingles", F.col("class_doc").alias("class_id"), F.coalesce("component", "doc").alias("component"))
+
+
+def _own_id(id_column: str):
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
+
+
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).isEmpty()
+
+
+def _groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """:func:`similar_groups` of ``doc, text`` where no ``doc`` repeats."""
     rows = stored(_document_rows(docs, size, percent), "sets")
     sets = rows.select("doc", "n", "h1", "h2")
     filled = sets.filter("n > 0")
@@ -270,7 +293,7 @@ def _links(docs: DataFrame, rows: DataFrame, ids: DataFrame, size: int, percent:
             break
         if texts is None:
             suspects = regions.select("doc").distinct()
-            texts = stored(_wanted_texts(docs, _bit_filter(spark, suspects.select(F.xxhash64("doc").alias("v")))).join(suspects, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+            texts = stored(_wanted_texts(docs, _bit_filter(spark, suspects.select(F.xxhash64("doc").alias("v")))).join(suspects, "doc", "left_semi"), "texts")
         asked = members.join(pivots, "part").filter("doc <> pivot and component <> pivot_component").select("part", "doc", "pivot", F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
         pairs = asked.select("a", "b").distinct()
         if tested is not None:
@@ -340,11 +363,16 @@ def _unsettled(regions: DataFrame, pivots: DataFrame, met: DataFrame, labels: Da
 def keep_one_per_group(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``df`` with one document (the smallest id) of each group of near duplicates; all columns stay.
 
-    Rows that repeat a kept id exactly are kept once.
+    Rows are judged one by one, also those that share an id or have none; of rows that are equal in
+    all columns one is kept.
     """
-    found = stored(similar_groups(df, id_column, text_column, size, percent).select("doc", "component"), "groups")
-    kept = found.filter("doc = component").select(F.col("doc").alias("kept_doc__")).distinct()
-    own = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
-    out = df.join(kept, own == F.col("kept_doc__"), "left_semi")
-    repeated = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    return out.dropDuplicates([id_column]) if repeated else out
+    docs = df.select(_own_id(id_column).alias("doc"), F.col(text_column).alias("text"))
+    if not _repeats(docs):
+        kept = stored(_groups(docs, size, percent).filter("doc = component").select(F.col("doc").alias("kept_doc__")), "groups")
+        return df.join(kept, _own_id(id_column) == F.col("kept_doc__"), "left_semi")
+    row = clash_free(df) + "row"
+    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = _groups(numbered.select(F.col(row).alias("doc"), F.col(text_column).alias("text")), size, percent)
+    ranked = numbered.select(F.col(row).alias("doc"), F.struct(_own_id(id_column).alias("id"), F.xxhash64(text_column).alias("h"), F.col(row).alias("row")).alias("rank"))
+    kept = stored(found.join(ranked, "doc").groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row)), "groups")
+    return numbered.join(kept, row, "left_semi").drop(row).dropDuplicates()

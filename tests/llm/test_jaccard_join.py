@@ -79,3 +79,20 @@ def test_empty_and_keep_one(spark):
     want = {c for _, c in brute(rows, 5, 80).values()}
     assert {r["doc_id"] for r in jj.keep_one_per_group(documents(spark, rows)).collect()} == want
     assert jj.keep_one_per_group(empty(spark)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    third = [f"u{i}" for i in range(60)]
+    rows = [
+        (1, " ".join(base)), (1, " ".join(other)), (2, " ".join(base[:59])), (3, " ".join(other[:59])),
+        (None, " ".join(third)), (None, "no other text is like this one at all"), (None, "no other text is like this one at all"),
+        (4, ""), (4, ""), (4, None),
+    ]
+    kept = jj.keep_one_per_group(documents(spark, rows)).collect()
+    want = [(1, rows[0][1]), (1, rows[1][1]), (None, rows[4][1]), (None, rows[5][1]), (4, ""), (4, None)]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, want))
+    groups = jj.similar_groups(documents(spark, rows)).collect()
+    assert len(groups) == len(rows)
+    assert {r["component"] for r in groups if r["doc"] in (1, 2, 3)} == {1}  # the texts of both rows of id 1 link
