@@ -132,8 +132,11 @@ def _taken(graph: LocalGraph, text: str, chain: tuple, seed: tuple, offset: int)
     return left + graph.k - 1
 
 
-def local_parts(seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, reads: DataFrame, rounds: int = 64) -> DataFrame:
-    """``rec_id, node``: signed nodes that a read's seeds can reach within its length, by frontier joins on both strands."""
+def local_parts(seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, reads: DataFrame) -> DataFrame:
+    """``rec_id, node``: signed nodes that a read's seeds can reach within its length, by frontier joins on both strands.
+
+    Every step takes a base of room at least, so the frontier runs empty by itself.
+    """
     lengths = nodes.select(F.col("node_id"), F.col("marg_len"))
     both = lengths.select(F.col("node_id").alias("node"), "marg_len").unionByName(lengths.select((-F.col("node_id")).alias("node"), "marg_len"))
     steps = materialise(arcs.select("src", F.col("dst").alias("node")).distinct().join(both, "node"), "steps")
@@ -142,7 +145,7 @@ def local_parts(seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, reads: Data
     room = reads.select("rec_id", (F.length("seq") * 2).cast("long").alias("room"))
     seen = materialise(start.join(room, "rec_id").select("rec_id", "node", F.col("room").alias("left")), "reached")
     front = seen
-    for _ in range(rounds):
+    while True:
         ahead = front.filter("left > 0").join(steps, front["node"] == steps["src"]).select("rec_id", steps["node"].alias("node"), (F.col("left") - F.col("marg_len")).alias("left")).groupBy("rec_id", "node").agg(F.max("left").alias("left"))
         front = materialise(ahead.join(seen.select("rec_id", "node", F.col("left").alias("old")), ["rec_id", "node"], "left").filter("old is null or left > old").drop("old"), "front")
         if front.isEmpty():

@@ -233,3 +233,13 @@ def test_streaming_counts(spark, tmp_path):
     q.stop()
     want = Counter(canon(s[i : i + K]) for s in (g, g[:60]) for i in range(len(s) - K + 1))
     assert {r["canon"]: r["n"] for r in spark.sql("select * from live_kmers").collect()} == want
+
+
+def test_local_parts_go_on_while_room_is_left(spark):
+    """A chain of 70 nodes of one k-mer each, all within the read's room."""
+    nodes = spark.createDataFrame([(i, 1) for i in range(1, 71)], "node_id int, marg_len int")
+    arcs = spark.createDataFrame([(i, i + 1) for i in range(1, 70)], "src int, dst int")
+    seeds = spark.createDataFrame([(1, [1])], "rec_id long, chain array<int>")
+    reads = spark.createDataFrame([(1, "A" * 80)], "rec_id long, seq string")
+    found = extend.local_parts(seeds, nodes, arcs, reads)
+    assert {r["node"] for r in found.collect()} == {-1, *range(1, 71)}
