@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -35,11 +36,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 def work_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors: the session's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests in local mode) a temporary folder is made.
+    Only where that setting is absent in local mode (tests) a temporary folder is made; on a
+    cluster without it, a ValueError is raised.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         holder = spark.sparkContext
+        if not re.match(r"local(\[|$)", holder.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(holder, "_helixframe_dir", None)
         if base is None:
             base = holder._helixframe_dir = tempfile.mkdtemp(prefix="helixframe-")
@@ -54,19 +58,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths that :func:`stored` wrote and nothing has dropped yet, by application.
+_made: dict[str, set[str]] = {}
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`stored`, once nothing will read it again."""
+    """Delete the files behind a frame read from one or more :func:`stored` ones, once nothing will read it again."""
     spark = df.sparkSession
-    root = work_dir(spark).split("://")[-1].split(":", 1)[-1]
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.lstrip("/") in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    made = _made.get(spark.sparkContext.applicationId, set())
+    files = [f.rsplit("/", 1)[0] for f in df.inputFiles()]
+    for path in [p for p in made if any(f.endswith(p.rsplit("/", 1)[1]) for f in files)]:
+        _delete(spark, path)
+
+
+def drop_all_stored(spark: SparkSession) -> None:
+    """Delete what :func:`stored` left behind; for pipelines, whose stages' results are tables of their own."""
+    for path in list(_made.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+    release(spark)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made[spark.sparkContext.applicationId].discard(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -107,20 +127,3 @@ def clash_free(df: DataFrame, *wanted: str) -> str:
     while any(n.startswith(prefix) for n in names):
         prefix += "_"
     return prefix
-
-
-def batches(source, size_of, limit: int):
-    """Group items so that the sum of ``size_of`` stays near ``limit``."""
-    held, total = [], 0
-    for item in source:
-        held.append(item)
-        total += size_of(item)
-        if total >= limit:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
-
-
-def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in schema), schema)], schema=schema)

@@ -21,9 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _print(now)
     for _ in range(MAX_ROUNDS):
         before = now
-        now = _star(_star(before, large=True), large=False)
+        half = _star(before, large=True)
+        now = _star(half, large=False)
         found = _print(now)
         drop_stored(before)
+        drop_stored(half)
         if found == seen:
             break
         seen = found
@@ -33,18 +35,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _print(edges: DataFrame):
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
-    return r["n"], r["h"]
+    r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"), F.bit_xor(F.xxhash64("b", "a", F.lit(1))).alias("g")).first()
+    return r["n"], r["h"], r["g"]
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "lowest")  # pre-aggregated, so a hub costs one row a task
-    joined = both.join(lowest, "a")
+    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))  # pre-aggregated, so a hub costs one row a task
     if large:
-        moved = joined.filter("b > a").select(F.col("low").alias("a"), "b")
+        moved = both.filter("b > a").join(lowest, "a").select(F.col("low").alias("a"), "b")
     else:
-        own = lowest.select(F.col("low").alias("x"), F.col("a").alias("b"))
-        moved = joined.filter("b < a").select(F.col("low").alias("x"), "b").unionByName(own).withColumnRenamed("x", "a")
-    out = stored(moved.filter("a <> b").distinct(), "star")
-    return out
+        own = lowest.select(F.col("low").alias("a"), F.col("a").alias("b"))
+        moved = both.filter("b < a").join(lowest, "a").select(F.col("low").alias("a"), "b").unionByName(own)
+    return stored(moved.filter("a <> b").distinct(), "star")
