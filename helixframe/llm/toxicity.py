@@ -1,8 +1,9 @@
 """Toxicity scoring: a character n-gram linear classifier with naive Bayes features (operator 6).
 
-Features are hashed byte n-grams of the lower-cased text (present or not), each scaled
-by its log-count ratio between toxic and other training texts; a logistic regression
-is trained on the scaled features.
+Features are hashed character n-grams of the lower-cased text (present or not), each scaled
+by its log-count ratio between toxic and other training texts, less ``SHRINK`` standard errors of
+that ratio: an n-gram that few texts show counts for little, and no fixed number of texts is asked
+for.  A logistic regression in which both classes weigh the same is trained on the scaled features.
 
 The classifier is fitted on a bounded sample of labelled rows (``max_train``, those
 with the smallest hash of their id); every text is scored whole.
@@ -19,28 +20,28 @@ from pyspark.sql import types as T
 from .common import release
 
 MAX_TRAIN = 8_000
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6, 7)
 BITS = 20
 SMOOTHING = 1.0
-#: Standard errors by which a log-count ratio must differ from 0 for its feature to be kept.
-LEAST_Z = 5.0
+#: Standard errors by which each log-count ratio is drawn towards 0.
+SHRINK = 2.5
 STEPS = 300
-RIDGE = 3e-5
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+RIDGE = 1e-4
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct hashed n-grams of the text's words, white space as one space, with a space at both ends."""
-    raw = b" " + b" ".join((text or "").lower().encode("utf-8", "surrogatepass").split()) + b" "
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    found = []
-    gram = b
+    plain = f" {' '.join((text or '').lower().split())} "
+    h = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    own = h * _M1
+    h, found = own, []
     for order in range(2, max(ORDERS) + 1):
-        if len(b) < order:
+        if len(own) < order:
             break
-        gram = (gram[:-1] << np.uint64(8)) | b[order - 1 :]
+        h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _M2 + own[order - 1 :]
         if order in ORDERS:
-            found.append((((gram + np.uint64(order << 48)) * _MULTIPLIER) >> np.uint64(64 - BITS)).astype(np.uint32))
+            found.append(((h * _M1) >> np.uint64(64 - BITS)).astype(np.uint32))
     if not found:
         return np.empty(0, np.uint32)
     h = np.sort(np.concatenate(found))
@@ -74,8 +75,7 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[0][at], rows[0]).astype(np.int64)), pa.array(np.append(held[1][at], rows[1]).astype(np.int64))], names=["feature", "clean", "toxic"])
 
     counted = sample.mapInArrow(count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    at_least = (F.col("feature") < 0) | (F.col("clean") + F.col("toxic") >= 5)
-    table = counted.filter(at_least).toArrow()  # 2**BITS rows at most
+    table = counted.toArrow()  # 2**BITS rows and a total at most
     feature, clean, toxic = (table.column(c).to_numpy().astype(np.float64) for c in ("feature", "clean", "toxic"))
     weights = np.zeros(1 << BITS)
     total = feature < 0
@@ -86,7 +86,8 @@ def fit(sample: DataFrame) -> tuple[np.ndarray, float]:
     p1, p0 = (toxic + SMOOTHING) / (n1 + 2 * SMOOTHING), (clean + SMOOTHING) / (n0 + 2 * SMOOTHING)
     ratio = np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))
     error = np.sqrt(1 / (toxic + SMOOTHING) + 1 / (clean + SMOOTHING) + 1 / (n1 - toxic + SMOOTHING) + 1 / (n0 - clean + SMOOTHING))
-    kept = np.abs(ratio) / error >= LEAST_Z
+    ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - SHRINK * error)
+    kept = ratio != 0
     feature, ratio = feature[kept], ratio[kept]
     number = np.full(1 << BITS, -1, np.int32)
     number[feature] = np.arange(len(feature))
@@ -112,7 +113,7 @@ def _logistic(row: np.ndarray, col: np.ndarray, y: np.ndarray, scale: np.ndarray
     """Ridge logistic regression on features ``scale[col]`` by Adam; a plain full-batch loop."""
     w, bias = np.full(len(scale), 0.02), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    share = 1 / len(y)  # every row weighs the same: a clean text called toxic costs as much as the reverse
+    share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)  # both classes weigh the same
     for t in range(1, STEPS + 1):
         z = np.bincount(row, (w * scale)[col], len(y)) + bias
         off = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
