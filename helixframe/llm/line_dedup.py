@@ -6,9 +6,9 @@ position; one streaming pass keeps the first document of each hash and marks the
 lines of all later ones.  What leaves the operator is a compressed keep bitmap for
 each document, never text.
 
-Skew: each task first holds its own first document for a line and settles the later
-ones on the spot, so a line that a third of all documents share sends only a few
-rows per task into its range.
+Skew: each task holds the smallest document it has met for a line and settles the others
+on the spot, in whatever order they come, so a line that a third of all documents share
+sends only a few rows per task into its range.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, lower_ascii, parts
+from .common import ASCII_SPACE, clash_free, lower_ascii, parts
 
 #: Keys that a task holds for its own first documents; beyond it, it starts anew and more rows travel.
-HELD_KEYS = 400_000
+HELD_KEYS = 300_000
 MIN_CHARS = 10
 
 _LINE = pa.schema([("range_id", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("pos", pa.int32()), ("lines", pa.int32()), ("state", pa.int8())])
@@ -63,7 +63,21 @@ def keep_bitmaps(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     width = (1 << 64) // ranges + 1
 
     def explode(source):
-        first: dict[int, int] = {}
+        first: dict[int, tuple[int, int, int]] = {}  # key: its smallest document, that row's mark, the line's place
+
+        def dropped(doc, mark, pos):
+            return ((doc * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) // width, 0, 0, doc, mark, pos, None, _DROPPED)
+
+        def candidate(h, doc, mark, pos):
+            high, low = h >> 64, h & 0xFFFFFFFFFFFFFFFF
+            return (high // width, high - (1 << 63), low - (1 << 63), doc, mark, pos, None, _CANDIDATE)
+
+        def flush():
+            held = [candidate(h, *x) for h, x in first.items()]
+            first.clear()
+            for at in range(0, len(held), 10_000):
+                yield _emit(held[at : at + 10_000])
+
         for b in source:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -74,17 +88,19 @@ def keep_bitmaps(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                     if len(line) < min_chars or len(key := line_key(line)) < min_chars:
                         continue
                     h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
-                    high, low = h >> 64, h & 0xFFFFFFFFFFFFFFFF
-                    known = first.get(h)
-                    if known is not None and doc > known:
-                        rows.append(((doc * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) // width, 0, 0, doc, mark, pos, None, _DROPPED))
-                        continue
-                    if len(first) >= HELD_KEYS:
-                        first.clear()
-                    first[h] = doc
-                    rows.append((high // width, high - (1 << 63), low - (1 << 63), doc, mark, pos, None, _CANDIDATE))
+                    known = first.setdefault(h, (doc, mark, pos))
+                    if doc > known[0]:
+                        rows.append(dropped(doc, mark, pos))
+                    elif doc < known[0]:
+                        rows.append(dropped(*known))
+                        first[h] = (doc, mark, pos)
+                    elif (mark, pos) != known[1:]:  # a document that repeats its own line
+                        rows.append(candidate(h, doc, mark, pos))
             if rows:
                 yield _emit(rows)
+            if len(first) >= HELD_KEYS:
+                yield from flush()
+        yield from flush()
 
     def stream(source):
         key, owner = None, None
@@ -132,26 +148,31 @@ def apply_bitmap(text: str | None, keep: bytes | None) -> str:
 def drop_repeated_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS, details: bool = False) -> DataFrame:
     """``df`` with its text rebuilt from the bitmaps; with ``details``, ``n_lines`` and ``n_dropped`` too.
 
-    All other columns and all rows stay.  Nulls and repeats: see :func:`keep_bitmaps`.
+    All other columns and all rows stay, but for own columns named like the details asked for.
+    Nulls and repeats: see :func:`keep_bitmaps`.
     """
-    names = df.columns
-    field = {f.name: f for f in df.schema.fields}
+    extra = ["n_lines", "n_dropped"] if details else []
+    fields = [f for f in df.schema.fields if f.name.lower() not in extra]
+    names = [f.name for f in fields]
+    df = df.select(*[f"`{n}`" for n in names])
+    p = clash_free(df)
+    own_mark, keep = p + "own_mark", p + "keep"
 
     def mark(source):
         for b in source:
             marks = pa.array([text_mark(t) for t in b.column(b.schema.get_field_index(text_column)).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, marks], names=[*b.schema.names, "mark__"])
+            yield pa.RecordBatch.from_arrays([*b.columns, marks], names=[*b.schema.names, own_mark])
 
     def rebuild(source):
         for b in source:
             at = {n: b.schema.get_field_index(n) for n in b.schema.names}
-            texts = pa.array([apply_bitmap(t, k) for t, k in zip(b.column(at[text_column]).to_pylist(), b.column(at["keep__"]).to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([*(texts if n == text_column else b.column(at[n]) for n in names), *(b.column(at[n]) for n in extra)], names=[*names, *extra])
+            texts = pa.array([apply_bitmap(t, k) for t, k in zip(b.column(at[text_column]).to_pylist(), b.column(at[keep]).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([*(texts if n == text_column else b.column(at[n]) for n in names), *(b.column(at[p + n]) for n in extra)], names=[*names, *extra])
 
-    extra = ["n_lines__", "n_dropped__"] if details else []
-    maps = keep_bitmaps(df, id_column, text_column, min_chars).select(F.col("doc").alias("doc__"), F.col("mark").alias("map_mark__"), F.col("n_lines").alias("n_lines__"), F.col("n_dropped").alias("n_dropped__"), F.col("keep").alias("keep__"))
-    marked = df.mapInArrow(mark, T.StructType([*df.schema.fields, T.StructField("mark__", T.LongType())]))
+    maps = keep_bitmaps(df, id_column, text_column, min_chars)
+    maps = maps.select(*[F.col(n).alias(p + n) for n in maps.columns])
+    marked = df.mapInArrow(mark, T.StructType([*fields, T.StructField(own_mark, T.LongType())]))
     own = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
-    joined = marked.join(maps, (own == F.col("doc__")) & (F.col("mark__") == F.col("map_mark__")), "left").select(*[f"`{n}`" for n in names], "keep__", *extra)
-    schema = T.StructType([*(T.StructField(n, T.StringType()) if n == text_column else field[n] for n in names), *(T.StructField(n, T.LongType()) for n in extra)])
+    joined = marked.join(maps, (own == F.col(p + "doc")) & (F.col(own_mark) == F.col(p + "mark")), "left").select(*[f"`{n}`" for n in names], keep, *[p + n for n in extra])
+    schema = T.StructType([*(T.StructField(f.name, T.StringType()) if f.name == text_column else f for f in fields), *(T.StructField(n, T.LongType()) for n in extra)])
     return joined.mapInArrow(rebuild, schema)
