@@ -9,8 +9,8 @@ quadratic, take the same merges from a heap over a linked list.
 Text is cut at white space and at the pattern's word borders, and each distinct word is
 encoded once per worker (a bounded cache), so cost follows the number of distinct words.
 
-Letters that Python's Unicode tables don't know yet are taken as they are; a library with newer
-tables may lower-case them.
+Texts that hold a code point which Python's Unicode tables don't know are normalised and cut into
+words by the tokenizers library, whose tables may be newer; the merges are the same code.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 LONG_WORD = 256
 CACHE_ITEMS = 500_000
@@ -51,6 +52,20 @@ def byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unknown_to_python() -> re.Pattern:
+    """Matches a code point that Python's Unicode tables class as unassigned."""
+    runs, start = [], None
+    for c in range(0x80, 0x110001):
+        odd = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if odd and start is None:
+            start = c
+        elif not odd and start is not None:
+            runs.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(runs)}]")
+
+
 class WordBpe:
     """Encoder and decoder for a word-end BPE vocabulary in the tokenizers JSON format."""
 
@@ -75,6 +90,7 @@ class WordBpe:
         self.spaces = regex.compile(f"[{WHITE_SPACE}]+")
         self.odd_space = re.compile(f"[{PYTHON_ONLY_SPACE}]")
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.spec, self._library, self.bytes = spec, None, {c: b for b, c in enumerate(symbols)}
         self.cached_words: dict[str, bytes] = {}
         self.cache_items = cache_items
 
@@ -85,7 +101,9 @@ class WordBpe:
         return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
     def word_ids(self, word: str) -> list[int]:
-        raw = word.encode("utf-8", "replace")
+        return self._merged(word.encode("utf-8", "replace"))
+
+    def _merged(self, raw: bytes) -> list[int]:
         ids = [self.inner[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
         if None in ids:
@@ -148,7 +166,16 @@ class WordBpe:
             found = self.words.findall(piece)
         return b"".join([self._word(w) for w in found])
 
+    def _by_library(self, text: str) -> bytes:
+        """Words as the library normalises and cuts them, in its byte symbols."""
+        if self._library is None:
+            self._library = Tokenizer.from_str(self.spec)
+        words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        return b"".join([array("i", self._merged(bytes(map(self.bytes.__getitem__, w)))).tobytes() for w, _ in words if w])
+
     def _plain(self, text: str) -> bytes:
+        if not text.isascii() and unknown_to_python().search(text):
+            return self._by_library(text)
         text = self.normalize(text)
         if text.isascii() and not self.odd_space.search(text):
             cached, word = self.cached_words.get, self._word

@@ -32,6 +32,26 @@ def test_any_text_as_the_library(text):
     assert OWN.encode(text).tolist() == library(text)[0]
 
 
+def test_every_code_point_between_letters():
+    import unicodedata
+
+    known, unknown = [], []
+    for c in [*range(1, 0xD800), *range(0xE000, 0x110000)]:
+        (unknown if unicodedata.category(chr(c)) == "Cn" else known).append(chr(c))
+    assert len(known) > 250_000  # private use included
+    for found, step in ((known, 1), (unknown, 23)):  # every text of the second kind takes one path
+        found = found[::step]
+        for i in range(0, len(found), 2000):
+            text = " ".join(f"a{c}B {c}" for c in found[i : i + 2000])
+            assert OWN.encode(text).tolist() == library(text)[0], hex(ord(found[i]))
+
+
+def test_code_points_newer_than_python_tables():
+    for c in (0x0558, 0x058B, 0x088F, 0x10950, 0x1C89, 0xA7CB, 0xA7DC):
+        for text in (chr(c), f"a{chr(c)}b", f"Ab {chr(c)} it's é{chr(c)}"):
+            assert OWN.encode(text).tolist() == library(text)[0], hex(c)
+
+
 def test_long_words_take_the_heap_to_the_same_ids():
     for word in ("abcde" * 200, "zz" * 700, "a" * 999):
         ids = [OWN.inner[b] for b in word.encode()[:-1]] + [OWN.last[ord(word[-1])]]
