@@ -3,8 +3,9 @@
 Method: a payload becomes rows of record identifier and chunk number, each of bounded
 size, with a digest carried from chunk to chunk.  In the archive, chunk 0 is the
 record itself and later chunks are WARC continuation segments, so no reader or writer
-ever holds a whole oversized record.  Archives are text files that Spark's own writer
-puts in the shared folder; equal payloads are stored once and revisited.
+ever holds a whole oversized record.  Archives are gzip files of bounded size that Spark's own
+writer puts in the shared folder, and Spark's own reader streams them back in pieces; equal
+payloads are stored once and revisited.  A record's name holds its page id and payload digest.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import new_path, stored, tuned
 
 CHUNK_BYTES = 256 << 10
-FILE_ROWS = 4_000
+#: Bytes of records in one row of the writer, and rows in one archive: 64 MB before compression, and a chunk more a row.
+BLOCK_BYTES, FILE_ROWS = 1 << 20, 64
 VERSION = "WARC/1.1"
-_ID = re.compile(r"urn:helixframe:page:(-?\d+)")
+_ID = re.compile(r"urn:helixframe:page:(-?\d+|null):([A-Z2-7]{32})")
 
 RECORDS = "record_id long, chunk long, record_type string, refers_to long, target_uri string, payload_bytes long, payload_digest string, body binary, last boolean"
 
@@ -43,27 +44,13 @@ def chunks(text: str | None, size: int = CHUNK_BYTES):
         yield text[at : at + step].encode("utf-8", "surrogatepass"), at + step >= len(text)
 
 
-def digest_of(text: str | None) -> tuple[str, int]:
-    """Base32 SHA-1 and length of the payload, fed chunk by chunk."""
-    sha, n = hashlib.sha1(), 0
-    for piece, _ in chunks(text):
-        sha.update(piece)
-        n += len(piece)
-    return base64.b32encode(sha.digest()).decode(), n
+def _urn(page: int | None, digest: str) -> str:
+    return f"urn:helixframe:page:{'null' if page is None else page}:{digest}"
 
 
-def with_digests(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
-    def run(source):
-        for b in source:
-            found = [digest_of(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for d, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["record_id", "payload_digest", "payload_bytes"])
-
-    return pages.select(F.col(id_column).cast("long").alias("record_id"), F.col(html_column).alias("html")).mapInArrow(run, "record_id long, payload_digest string, payload_bytes long")
-
-
-def _head(kind: str, record: int, fields: list[tuple[str, str]], length: int) -> str:
-    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:helixframe:page:{record}{fields[0][1] if fields and fields[0][0] == '' else ''}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    lines += [f"{k}: {v}" for k, v in fields if k] + ["Content-Type: text/html; charset=utf-8", f"Content-Length: {length}"]
+def _head(kind: str, name: str, fields: list[tuple[str, str]], length: int) -> str:
+    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines += [f"{k}: {v}" for k, v in fields] + ["Content-Type: text/html; charset=utf-8", f"Content-Length: {length}"]
     return "\r\n".join(lines) + "\r\n\r\n"
 
 
@@ -71,58 +58,66 @@ def _clean(uri: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri or "")
 
 
-def record_rows(page: int, uri: str | None, html: str | None, digest: str, size: int, refers_to: int | None, chunk_bytes: int = CHUNK_BYTES):
-    """The record's segments as archive text, each without its last line feed (the writer adds it)."""
+def record_rows(page: int | None, uri: str | None, html: str | None, digest: str, size: int, refers_to: int | None, chunk_bytes: int = CHUNK_BYTES):
+    """The record's segments as archive text, each without its last line feed."""
+    name = _urn(page, digest)
     uri_field = [("WARC-Target-URI", _clean(uri))] if uri else []
     if refers_to is not None:
-        fields = [*uri_field, ("WARC-Refers-To", f"<urn:helixframe:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(size))]
-        yield _head("revisit", page, fields, 0) + "\r\n\r"
+        fields = [*uri_field, ("WARC-Refers-To", f"<{_urn(refers_to, digest)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(size))]
+        yield _head("revisit", name, fields, 0) + "\r\n\r"
         return
     for number, (piece, last) in enumerate(chunks(html, chunk_bytes)):
         body = piece.decode("utf-8", "surrogatepass")
         segment = [] if last and not number else [("WARC-Segment-Number", str(number + 1))]
         if number:
-            fields = [("", f":segment:{number + 1}"), *segment, ("WARC-Segment-Origin-ID", f"<urn:helixframe:page:{page}>")] + ([("WARC-Segment-Total-Length", str(size))] if last else [])
-            yield _head("continuation", page, fields, len(piece)) + body + "\r\n\r"
+            fields = [*segment, ("WARC-Segment-Origin-ID", f"<{name}>")] + ([("WARC-Segment-Total-Length", str(size))] if last else [])
+            yield _head("continuation", f"{name}:segment:{number + 1}", fields, len(piece)) + body + "\r\n\r"
         else:
-            yield _head("response", page, [*uri_field, *segment, ("WARC-Payload-Digest", f"sha1:{digest}")], len(piece)) + body + "\r\n\r"
+            yield _head("response", name, [*uri_field, *segment, ("WARC-Payload-Digest", f"sha1:{digest}")], len(piece)) + body + "\r\n\r"
 
 
 def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write one WARC record per row (and its segments) to gzip files below ``path``.
 
     Of records with equal payloads of ``least_bytes`` or more, the smallest id is the response and
-    the others revisit it.  Null payloads are empty; null urls have no target; rows with a null id
-    are refused; rows that repeat an id with the same payload are one record, with different
-    payloads an error.  An empty table writes an archive without records.
+    the others revisit it.  Null payloads are empty; null urls have no target.  Rows that repeat an
+    id with the same payload are one record, with different payloads one record each.  Null ids
+    are one page without a number: it revisits any page that has one, and nothing revisits it.  An
+    empty table writes archives without records.
     """
-    digests = stored(with_digests(pages, id_column, html_column), "digests")
-    per_id = digests.groupBy("record_id").agg(F.min("payload_digest").alias("x"), F.max("payload_digest").alias("y"), F.count(F.lit(1)).alias("n"))
-    seen = per_id.agg(F.max(F.expr("record_id is null or x <> y")).alias("odd"), F.max("n").alias("most")).first()
-    if seen["odd"]:
-        raise ValueError("page ids must be present and stand for one payload")
-    # pre-aggregated, so a payload that many pages share costs a row per task
-    first = stored(digests.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id")).filter("first_id < last_id").drop("last_id"), "first-pages")
-    marks = digests.join(first, ["payload_digest", "payload_bytes"], "left").select("record_id", "payload_digest", "payload_bytes", F.when(F.col("first_id") < F.col("record_id"), F.col("first_id")).alias("refers_to")).distinct()
+    html = F.coalesce(F.col(html_column), F.lit(""))
+    source = pages.select(F.col(id_column).cast("long").alias("record_id"), F.col(url_column).alias("uri"), html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("payload_bytes"))
+    # pre-aggregated, so a payload that many pages share costs a row per task; equal ids and payloads are one record
+    own = stored(source.groupBy("record_id", "sha").agg(F.min("payload_bytes").alias("payload_bytes"), F.count(F.lit(1)).alias("rows")), "digests")
+    first = stored(own.filter(F.col("payload_bytes") >= least_bytes).groupBy("sha").agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null").select("sha", "first_id"), "first-pages")
+    refers_to = F.when(F.col("record_id").isNull() | (F.col("first_id") < F.col("record_id")), F.col("first_id"))
+    marks = own.join(first, "sha", "left").select(F.col("record_id").alias("mark_id"), F.col("sha").alias("mark_sha"), refers_to.alias("refers_to"))
+    if not own.filter("rows > 1").limit(1).isEmpty():
+        source = source.dropDuplicates(["record_id", "sha"])
 
     def run(source):
         for b in source:
             rows: list[str] = []
-            held = 0
-            for page, uri, html, digest, size, refers_to in zip(*(b.column(i).to_pylist() for i in range(6))):
-                for row in record_rows(page, uri, html, digest, size, refers_to, chunk_bytes):
-                    rows.append(row)
-                    held += len(row)
-                    if held > 8 << 20:
+            held: list[str] = []
+            size = total = 0
+            for page, uri, html, sha, payload_bytes, refers_to in zip(*(b.column(i).to_pylist() for i in range(6))):
+                digest = base64.b32encode(bytes.fromhex(sha)).decode()
+                for row in record_rows(page, uri, html, digest, payload_bytes, refers_to, chunk_bytes):
+                    held.append(row)
+                    size += len(row)
+                    if size >= BLOCK_BYTES:
+                        rows.append("\n".join(held))
+                        total += size
+                        held, size = [], 0
+                    if total > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
-                        rows, held = [], 0
+                        rows, total = [], 0
+            if held:
+                rows.append("\n".join(held))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
 
-    source = pages.select(F.col(id_column).cast("long").alias("record_id"), F.col(url_column).alias("uri"), F.col(html_column).alias("html"))
-    if (seen["most"] or 0) > 1:
-        source = source.dropDuplicates(["record_id"])
-    rows = source.join(marks, "record_id").select("record_id", "uri", "html", "payload_digest", "payload_bytes", "refers_to")
+    rows = source.join(marks, source["record_id"].eqNullSafe(marks["mark_id"]) & (source["sha"] == marks["mark_sha"])).select("record_id", "uri", "html", "sha", "payload_bytes", "refers_to")
     rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path)
 
 
@@ -171,60 +166,41 @@ class Reader:
             yield fields, body
 
 
-def _inflate(raw: bytes, piece: int = 1 << 20):
-    """Pieces of a gzip (or plain) file's content; members may follow each other."""
-    if raw[:2] != b"\x1f\x8b":
-        yield from (raw[i : i + piece] for i in range(0, len(raw), piece))
-        return
-    rest = raw
-    while rest:
-        unpack = zlib.decompressobj(31)
-        while rest and not unpack.eof:
-            out = unpack.decompress(rest, piece)
-            rest = unpack.unconsumed_tail if not unpack.eof else unpack.unused_data
-            if out:
-                yield out
-        if not unpack.eof:
-            if out := unpack.flush():
-                yield out
-            break
-
-
 def read_archives(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
-    """The chunked record table of all archives below ``path`` (see RECORDS), a row per segment.
+    """The chunked record table of all gzip archives below ``path`` (see RECORDS), a row per segment.
 
-    A record in one segment has its digest and length computed here from the bytes read; segments
-    of larger ones carry their bytes on.  Without ``bodies``, single segments' bytes are left out
-    once they are digested.
+    An archive streams through its task line by line, in order, as gzip files are never split.  A
+    record in one segment has its digest and length computed here from the bytes read; segments of
+    larger ones carry their bytes on.  Without ``bodies``, single segments' bytes are left out once
+    they are digested.
     """
 
     def run(source):
-        for b in source:
-            for content in b.column(0):
+        rows, held = [], 0
+        for fields, body in Reader(b"\n".join(b.column(0).to_pylist()) + b"\n" for b in source if b.num_rows):
+            row = _row(fields, body)
+            if not bodies and row[5] is not None:
+                row = (*row[:7], None, row[8])
+            rows.append(row)
+            held += 200 + len(row[7] or b"")
+            if held > 4 << 20:
+                yield _table(rows)
                 rows, held = [], 0
-                for fields, body in Reader(_inflate(content.as_py())):
-                    row = _row(fields, body)
-                    if not bodies and row[5] is not None:
-                        row = (*row[:7], None, row[8])
-                    rows.append(row)
-                    held += 200 + len(row[7] or b"")
-                    if held > 4 << 20:
-                        yield _table(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _table(rows)
-
-    files = tuned(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, RECORDS)
+        if rows:
+            yield _table(rows)
+
+    lines = tuned(spark).read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").option("lineSep", "\n").text(path)
+    return lines.select(F.col("value").cast("binary")).mapInArrow(run, RECORDS)
 
 
 def _row(fields: dict, body: bytes) -> tuple:
     origin = fields.get("warc-segment-origin-id") or fields["warc-record-id"]
-    record = int(_ID.search(origin)[1])
+    page, name_digest = _ID.search(origin).groups()
+    record = None if page == "null" else int(page)
     segment = int(fields.get("warc-segment-number", 0))
     kind = fields["warc-type"]
     refers = _ID.search(fields.get("warc-refers-to", ""))
-    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:") or name_digest
     if kind == "revisit":
         return record, 0, kind, int(refers[1]), fields.get("warc-target-uri"), int(fields["x-payload-length"]), stated, None, True
     if not segment:
@@ -254,9 +230,11 @@ def summaries(records: DataFrame) -> DataFrame:
         record, sha, n, stated = None, None, 0, None
         for b in source:
             done = []
-            for r, _, digest, body, last in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if r != record:
+            for r, chunk, digest, body, last in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if chunk == 0:
                     record, sha, n, stated = r, hashlib.sha1(), 0, digest
+                elif (r, digest) != (record, stated):
+                    raise ValueError(f"record {r}: its first chunk is missing")
                 sha.update(body)
                 n += len(body)
                 if last:
@@ -268,12 +246,12 @@ def summaries(records: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()])], names=names)
 
     large = records.filter("payload_bytes is null").select("record_id", "chunk", "payload_digest", "body", "last")
-    streamed = large.repartition("record_id").sortWithinPartitions("record_id", "chunk").mapInArrow(stream, schema)
+    streamed = large.repartition("record_id", "payload_digest").sortWithinPartitions("record_id", "payload_digest", "chunk").mapInArrow(stream, schema)
     return whole.unionByName(streamed)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Write archives, read them back and summarise each record."""
+    """Write archives, read them back and summarise each record; see :func:`write_archives` for nulls and repeats."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archives(pages, path, id_column, url_column, html_column, least_bytes)

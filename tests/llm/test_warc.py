@@ -49,15 +49,30 @@ def test_round_trip(spark, tmp_path, chunk, least):
             assert bodies[i] == (h or "").encode()
 
 
-def test_empty_and_refused(spark, tmp_path):
+def test_empty_null_and_repeated_ids(spark, tmp_path):
     none = spark.createDataFrame([], PAGES)
     assert warc.round_trip(none, str(tmp_path / "e")).count() == 0
-    with pytest.raises(ValueError):
-        warc.write_archives(spark.createDataFrame([(None, "u", "x")], PAGES), str(tmp_path / "n"))
-    with pytest.raises(ValueError):
-        warc.write_archives(spark.createDataFrame([(1, "u", "x"), (1, "u", "y")], PAGES), str(tmp_path / "d"))
-    same = spark.createDataFrame([(1, "u", "x"), (1, "u", "x")], PAGES)
-    assert warc.round_trip(same, str(tmp_path / "s")).count() == 1
+    rows = [(1, "u", "x"), (1, "u", "x"), (1, "u", "y"), (None, "u", "x"), (None, None, "own"), (None, "u", "own"), (3, "u", "y"), (4, "u", "long " * 90), (None, "u", "long " * 80), (4, "u", "long " * 80)]
+    warc.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "n"), chunk_bytes=64)
+    found = warc.summaries(warc.read_archives(spark, str(tmp_path / "n"))).collect()
+    made = sorted(((r["record_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in found), key=str)
+    want = [(1, 1, "response", None), (1, 1, "response", None), (0, 1, "revisit", 1), (0, 3, "response", None), (3, 1, "revisit", 1), (4, 450, "response", None), (0, 400, "revisit", 4), (4, 400, "response", None)]
+    assert made == sorted(want, key=str)
+
+
+def test_own_names(spark, tmp_path):
+    names = ["record_id", "sha", "mark_id", "mark_sha", "first_id", "refers_to", "payload_bytes", "payload_digest", "uri", "value", "rows", "n"]
+    pages = spark.createDataFrame(ROWS, PAGES).withColumns({n: F.lit("own") for n in names})
+    assert got(warc.round_trip(pages, str(tmp_path / "c"))) == want(ROWS)
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(warc, "FILE_ROWS", 2)
+    rows = [(i, "u", f"{i} " * 300) for i in range(60)]
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "b"), chunk_bytes=500)
+    assert len(list((tmp_path / "b").glob("*.gz"))) > 20
+    assert got(warc.summaries(warc.read_archives(spark, str(tmp_path / "b")))) == want(rows)
 
 
 def test_reader_takes_any_cut():
