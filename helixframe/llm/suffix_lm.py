@@ -22,7 +22,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +33,8 @@ LEAST = 2
 #: Nats that a context's own distribution must gain over its parent's, in all its occurrences and per symbol it predicts.
 GAIN_PER_SYMBOL = 1.0
 BLOCK_BYTES = 12 << 20
+#: Counts or probabilities that a task holds before it sends them to their blocks.
+PACKED_ROWS = 500_000
 SPACE, END = 0x20, 0x0A
 _PAD = bytes([END]) * DEPTH
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)  # no gram of DEPTH + 1 < 8 bytes
@@ -358,13 +359,11 @@ def score_texts(df: DataFrame, train, id_column: str = "doc_id", text_column: st
     release(spark)
     fallback = spark.sparkContext.broadcast(table)
 
-    def score(key, docs: pa.Table, own: pa.Table, priced: pa.Table) -> pa.Table:
-        gram = priced.column("gram").to_numpy()
-        log_p = priced.column("log_p").to_numpy().astype(np.float32)
+    def score(docs: pa.Table, counts: dict, gram: np.ndarray, log_p: np.ndarray) -> pa.Table:
         model = GramTable(gram, np.where(np.isnan(log_p), fallback.value[(gram >> 8) & 255, gram & 255], log_p))
         divisor = math.log10(n_train + vocabulary + 1)
-        costs = np.log10(own.column("c").to_numpy() + 1.0) - divisor  # a word never trained on costs exactly -divisor
-        cost = dict(zip(own.column("word").to_pylist(), costs.tolist()))
+        costs = np.log10(np.fromiter(counts.values(), np.int64, len(counts)) + 1.0) - divisor  # a word never trained on costs exactly -divisor
+        cost = dict(zip(counts, costs.tolist()))
         cost_of, end_cost = cost.__getitem__, cost[b""]
         base, n_tokens, n_known, streams, scores, size = [], [], [], [], [], 0
         for text in docs.column("text"):
@@ -386,17 +385,55 @@ def score_texts(df: DataFrame, train, id_column: str = "doc_id", text_column: st
             "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(scores)), "states": pa.array([states] * rows, pa.int64()),
         })
 
-    ends = lexicon.filter("word = X'' and first").select("c")
-    end_row = ends.first()
+    end_row = lexicon.filter("word = X'' and first").select("c").first()
     end_count = int(end_row["c"]) if end_row else 0
-    own = lexicon.filter("length(word) > 0").select("block", "word", "c", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("log_p"))
-    own = own.unionByName(grams.drop("n").join(prices, "gram").select("block", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "gram", "log_p"))
-    docs = blocks
+    own = _packed(lexicon.filter("length(word) > 0").select("block", "word", "c"), "word", np.int64)
+    own = own.unionByName(_packed(grams.drop("n").join(prices, "gram").select("block", "gram", "log_p"), "gram", np.float32))
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, vocabulary long, base_score double, score double, states long"
 
-    def with_end(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        end = pa.table({"block": pa.array([0], right.schema.field("block").type), "word": pa.array([b""], right.schema.field("word").type), "c": pa.array([end_count], pa.int64())}).cast(pa.schema([right.schema.field(c) for c in ("block", "word", "c")]))
-        of_words = pc.is_null(right.column("gram"))
-        return score(key, left, pa.concat_tables([right.filter(of_words).select(["block", "word", "c"]), end]), right.filter(pc.invert(of_words)))
+    def with_own(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        cost, gram, log_p = {b"": end_count}, [], []
+        for words, grams, values in zip(*(right.column(c).to_pylist() for c in ("words", "grams", "measures"))):
+            if words is not None:
+                cost.update(zip(words.split(b" "), np.frombuffer(values, np.int64).tolist()))
+            else:
+                gram.append(np.frombuffer(grams, np.int64))
+                log_p.append(np.frombuffer(values, np.float32))
+        return score(left, cost, np.concatenate([np.empty(0, np.int64), *gram]), np.concatenate([np.empty(0, np.float32), *log_p]))
 
-    return docs.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(with_end, schema)
+    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(with_own, schema)
+
+
+def _packed(rows: DataFrame, key: str, kind) -> DataFrame:
+    """``block, words, grams, measures``: the rows ``block, key, number`` of a task by block, as bytes.
+
+    Words are joined by a space, as no token holds one.
+    """
+
+    def flush(held):
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        block = t.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        block, keys, numbers = block[order], t.column(1).take(pa.array(order)), t.column(2).to_numpy()[order].astype(kind)
+        starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        made = []
+        for low, high in zip(starts, [*starts[1:], len(block)]):
+            own = keys.slice(low, high - low)
+            made.append(b" ".join(own.to_pylist()) if key == "word" else own.to_numpy().astype(np.int64).tobytes())
+        none, cells = pa.nulls(len(made), pa.binary()), pa.array(made, pa.binary())
+        values = pa.array([numbers[low:high].tobytes() for low, high in zip(starts, [*starts[1:], len(block)])], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int32()), *((cells, none) if key == "word" else (none, cells)), values], names=["block", "words", "grams", "measures"])
+
+    def run(source):
+        held, n = [], 0
+        for b in source:
+            held.append(b)
+            n += b.num_rows
+            if n >= PACKED_ROWS:
+                yield from flush(held)
+                held, n = [], 0
+        yield from flush(held)
+
+    return rows.mapInArrow(run, "block int, words binary, grams binary, measures binary")
