@@ -7,7 +7,7 @@ the sum of squared fill, so that bins empty.
 Scale: lengths are whole numbers up to the capacity, so the search works on the
 histogram of lengths and on bin patterns with multiplicities; its state is bounded
 by the capacity.  Pieces find their bin by their rank among pieces of equal length,
-which is counted in cells and never gathered in one task.
+which is counted in cells and never gathered in one task or on the driver.
 """
 
 from __future__ import annotations
@@ -27,11 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_symbols
-from .common import stored
+from .common import clash_free, stored
 
 CAPACITY = 2048
-#: Exchanges that the local search may take.
-SEARCH_STEPS = 1500
 CACHE_ITEMS = 800_000
 ROWS_PER_CELL = 1_000_000
 
@@ -177,16 +175,16 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> Counter:
     return done
 
 
-def improve(bins: Counter, capacity: int, steps: int = SEARCH_STEPS) -> Counter:
+def improve(bins: Counter, capacity: int) -> Counter:
     """Local search on patterns: moves, one-for-one and two-for-one exchanges that raise squared fill most.
 
     The emptiest bins give, fuller ones take; a step is taken for as many pairs of bins as both
-    patterns have.  It ends when no exchange helps, at the lower bound, or after ``steps``.
+    patterns have.  It ends when no exchange helps, or at the lower bound.
     """
     bins = _sorted(bins)
     floor = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
     stuck: set = set()
-    for _ in range(steps):
+    while True:
         if sum(bins.values()) <= floor:
             break
         under = [p for p in bins if sum(p) < capacity]
@@ -228,7 +226,7 @@ def _best_step(giver: tuple, under: list[tuple], bins: Counter, capacity: int):
     """The (taker, given pieces, returned pieces) that raises the sum of squares most, or None."""
     fill = sum(giver)
     ones = sorted(set(giver))
-    outs = [(x,) for x in ones] + list({(x, y) if x >= y else (y, x) for i, x in enumerate(giver[:12]) for y in giver[i + 1 : 12]})
+    outs = [(x,) for x in ones] + [(x, y) for x in ones for y in ones if x > y or x == y and giver.count(x) > 1]
     best, gain = None, 0
     for taker in under:
         if taker == giver and bins[giver] < 2:
@@ -247,26 +245,23 @@ def _best_step(giver: tuple, under: list[tuple], bins: Counter, capacity: int):
     return best
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("doc_id", "piece"), length_column: str = "length", steps: int = SEARCH_STEPS) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("doc_id", "piece"), length_column: str = "length") -> DataFrame:
     """``rows`` with ``sequence_id`` and ``offset``: lengths of 1 to ``capacity`` packed into few sequences.
 
     ``rows`` should be cheap to read again (a stored table).  Ties and repeated rows each get a
     place; rows whose length is null or out of range raise an error; an empty table stays empty.
     """
     spark = rows.sparkSession
-    n = rows.count()
-    cells = max(1, -(-n // ROWS_PER_CELL))
-    cell = F.pmod(F.xxhash64(*keys), F.lit(cells))
-    # at most capacity * cells rows, and cells is rows / ROWS_PER_CELL
-    counted = rows.groupBy(F.col(length_column).alias("l"), cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
+    p = clash_free(rows)
+    cells = max(1, -(-rows.count() // ROWS_PER_CELL))
+    held = rows.withColumn(p + "cell", F.pmod(F.xxhash64(*keys), F.lit(cells)))
+    counted = held.groupBy(F.col(length_column).alias(p + "length"), p + "cell").agg(F.count(F.lit(1)).alias(p + "n"))
     histogram: Counter = Counter()
-    first: dict[tuple[int, int], int] = {}
-    for r in sorted(counted, key=lambda r: (r["l"] is None, r["l"], r["c"])):
-        if r["l"] is None or not 1 <= r["l"] <= capacity:
-            raise ValueError(f"length {r['l']} isn't between 1 and {capacity}")
-        first[r["l"], r["c"]] = histogram[r["l"]]
-        histogram[r["l"]] += r["n"]
-    bins = improve(best_fit_decreasing(histogram, capacity), capacity, steps) if histogram else Counter()
+    for length, n in counted.groupBy(p + "length").agg(F.sum(p + "n")).collect():  # as many rows as the capacity, at most
+        if length is None or not 1 <= length <= capacity:
+            raise ValueError(f"length {length} isn't between 1 and {capacity}")
+        histogram[length] = n
+    bins = improve(best_fit_decreasing(histogram, capacity), capacity) if histogram else Counter()
     # slots[length]: rank from which a pattern serves this length, its first sequence, how many it holds in each, their offsets
     slots: dict[int, list] = defaultdict(list)
     used: Counter = Counter()
@@ -282,24 +277,26 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("do
             used[length] += number * len(places)
         sequence += number
     assert used == histogram, "every piece has one place"
-    plan = spark.sparkContext.broadcast((dict(slots), first))  # bounded by the capacity, not by the data
+    plan = spark.sparkContext.broadcast(dict(slots))  # bounded by the capacity, not by the data
     names = rows.columns
 
     def place(source):
-        slots, first = plan.value
+        slots = plan.value
         starts = {k: [s[0] for s in v] for k, v in slots.items()}
         for b in source:
             at = {c: b.schema.get_field_index(c) for c in b.schema.names}
             seqs, offs = [], []
-            for length, c, rank in zip(*(b.column(at[x]).to_pylist() for x in (length_column, "cell__", "rank__"))):
-                rank += first[length, c]
+            for length, rank in zip(b.column(at[length_column]).to_pylist(), b.column(at[p + "rank"]).to_pylist()):
                 start, seq, each, places = slots[length][bisect.bisect_right(starts[length], rank) - 1]
                 seqs.append(seq + (rank - start) // each)
                 offs.append(places[(rank - start) % each])
             yield pa.RecordBatch.from_arrays([*(b.column(at[x]) for x in names), pa.array(seqs, pa.int64()), pa.array(offs, pa.int64())], names=[*names, "sequence_id", "offset"])
 
-    order = Window.partitionBy(length_column, "cell__").orderBy(*keys)
-    ranked = rows.withColumn("cell__", cell).withColumn("rank__", F.row_number().over(order).cast("long") - 1)
+    earlier = Window.partitionBy(p + "length").orderBy(p + "cell").rowsBetween(Window.unboundedPreceding, -1)  # a row per cell
+    before = counted.select(p + "length", F.col(p + "cell").alias(p + "of"), F.coalesce(F.sum(p + "n").over(earlier), F.lit(0)).alias(p + "first"))
+    order = Window.partitionBy(length_column, p + "cell").orderBy(*keys)
+    ranked = held.withColumn(p + "at", F.row_number().over(order)).join(before, (F.col(length_column) == F.col(p + "length")) & (F.col(p + "cell") == F.col(p + "of")))
+    ranked = ranked.select(*[f"`{n}`" for n in names], (F.col(p + "first") + F.col(p + "at") - 1).alias(p + "rank"))
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, schema)
 
