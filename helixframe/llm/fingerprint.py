@@ -7,15 +7,13 @@ whole, and two sketches estimate resemblance, containment and distinct counts.
 
 from __future__ import annotations
 
-import base64
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words_of
+from .common import parts, words_of
 from .jaccard_join import mix, shingles
 
 K = 128
@@ -67,10 +65,6 @@ def from_bytes(raw: bytes | None) -> np.ndarray:
     return np.frombuffer(raw or b"", ">u8").astype(np.uint64)
 
 
-def to_string(s: np.ndarray) -> str:
-    return base64.b64encode(to_bytes(s)).decode()
-
-
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = K) -> DataFrame:
     """``doc_id, n_chars, sketch (binary), n_distinct`` per row; null and empty texts have an empty sketch."""
 
@@ -119,21 +113,19 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n] if n else text
 
 
-def with_next(df: DataFrame, run, schema: str, id_column: str = "doc_id", text_column: str = "text", per_partition: int = 4000) -> DataFrame:
+def with_next(df: DataFrame, run, schema: str, id_column: str = "doc_id", text_column: str = "text", ranges: int | None = None) -> DataFrame:
     """Apply ``run(rows)`` to an iterator of (id, text, next text) in ascending id; the last is followed by the first.
 
-    Ids are cut into ranges at quantiles; each range also gets the first row of the next range, so
-    one shuffle of the texts is enough and no task sees more than its range.  Rows with the same id
-    follow each other by text; null ids come first.
+    Ids are cut at quantiles into as many ranges as the session has shuffle partitions; each range also
+    gets the first row of the next range, so one shuffle of the texts is enough and no task sees more
+    than its range.  Rows with the same id follow each other by text; null ids come first.
     """
     spark = df.sparkSession
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63)))
     keys = df.select(key.alias("key"))
-    n = keys.count()
-    ranges = max(1, -(-n // per_partition))
+    ranges = ranges or parts(spark)
     bounds = sorted(set(keys.approxQuantile("key", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
     bounds = [int(b) for b in bounds]
-    cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
 
     def number(source):
         for b in source:

@@ -18,8 +18,8 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("per", [3, 50, 4000])
-def test_edits_follow_the_next_document(spark, per):
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_edits_follow_the_next_document(spark, ranges):
     rows = [(i, t or "") for i, t in AWKWARD] + [(i + 1000, t) for i, t in real_texts(120)]
 
     def run(items):
@@ -27,7 +27,7 @@ def test_edits_follow_the_next_document(spark, per):
         if held:
             yield __import__("pyarrow").RecordBatch.from_arrays([__import__("pyarrow").array(c) for c in zip(*held)], names=["doc_id", "text", "following"])
 
-    got = fp.with_next(documents(spark, rows), run, "doc_id long, text string, following string", per_partition=per).collect()
+    got = fp.with_next(documents(spark, rows), run, "doc_id long, text string, following string", ranges=ranges).collect()
     assert {r["doc_id"]: fp.edited_text(r["text"], r["following"]) for r in got} == {i: e for i, (_, e) in brute(rows).items()}
     assert len(got) == len(rows)
 
@@ -83,3 +83,9 @@ def test_query(spark):
         assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
         prints.setdefault(dict(rows)[r["doc_id"]], set()).add(r["fingerprint"])
     assert all(len(p) == 1 for p in prints.values())
+
+
+def test_one_text_of_megabytes(spark):
+    rows = [(1, "few words here"), (2, " ".join(f"w{i % 5000}" for i in range(3_000_000))), (3, "x" * 20_000_000), (4, None)]
+    got = {r["doc_id"]: r["n_chars"] for r in fp.fingerprint_edits(documents(spark, rows)).select("doc_id", "n_chars").collect()}
+    assert got == {i: len(t or "") for i, t in rows}
