@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 BASES = "ACGT"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTER_BASES = "".join(BASES[i % 4] for i in range(26)) * 2
-#: Starts per window when a sequence is cut before its k-mers are exploded; substr is linear in the offset.
-WINDOW = 256
 
 
 def sequence_of(text: Column) -> Column:
@@ -64,10 +62,6 @@ def peek_right(kmer: Column) -> Column:
     return F.substring(kmer, -1, 1)
 
 
-def kmer_hash(kmer: Column) -> Column:
-    return F.xxhash64(kmer)
-
-
 def marginal_first(seq: Column, k: int) -> Column:
     """First base of a node that isn't part of the overlap with its left neighbour."""
     return F.substring(seq, k, 1)

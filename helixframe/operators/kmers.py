@@ -1,39 +1,111 @@
-"""k-mer tables."""
+"""k-mer tables.
+
+k-mers of up to 31 bases are counted as 2-bit codes, worked out by batches; a batch's repeats are
+added up before they leave it, then partial and final aggregation follow.  Letters are restored
+only for the rows of a result that asks for them.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import codes
 from ..functions import seq as S
 
+#: Codes a task adds up before it sends them on.
+HELD_CODES = 2_000_000
 
-def windows(reads: DataFrame, k: int, keys: list[str], seq: str = "seq", margin: int = 0) -> DataFrame:
-    """Sequences cut into windows of ``S.WINDOW`` starts that overlap by k - 1 (+ margin) bases; reads below k are dropped.
 
-    ``keys, at, w, has_left``: ``at`` is the window's first start (from 0).  No shuffle.
-    """
-    s = F.col(seq)
-    long_enough = reads.filter(F.length(s) >= k)
-    cut = long_enough.select(*keys, s.alias("s__"), F.explode(F.sequence(F.lit(0), F.length(s) - k, F.lit(S.WINDOW))).alias("at"))
-    first = F.greatest(F.col("at") - margin, F.lit(0))
-    return cut.select(*keys, "at", F.substring(F.col("s__"), first + 1, F.lit(S.WINDOW + k - 1) + (F.col("at") - first) + margin).alias("w"), (F.col("at") - first).alias("lead"), (F.length("s__") - k).alias("last_start"))
+def spread(reads: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores, such as one small file, dealt over all of them."""
+    if reads.isStreaming:
+        return reads
+    cores = reads.sparkSession.sparkContext.defaultParallelism
+    return reads.repartition(cores) if reads.rdd.getNumPartitions() < cores else reads
+
+
+def _expanded(reads: DataFrame, keys: list[str], seq: str, made: list[T.StructField], run) -> DataFrame:
+    """``keys`` and new columns for each k-mer that ``run`` finds in an Arrow column of sequences: row numbers first."""
+    kept = [reads.schema[c] for c in keys]
+    names = [*keys, *(f.name for f in made)]
+
+    def expand(source):
+        for b in source:
+            for row, *columns in run(b.column(len(keys))):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(keys))), *columns], names=names)
+
+    return spread(reads.select(*keys, F.col(seq).alias("seq__"))).mapInArrow(expand, T.StructType([*kept, *made]))
 
 
 def kmer_rows(reads: DataFrame, k: int, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
-    """``keys, pos, kmer`` for every valid k-mer (ACGT only), by windows and one explode."""
-    keys = keys or []
-    w = windows(reads, k, keys, seq)
-    n = F.length("w") - k + 1
-    starts = F.sequence(F.lit(1), n)
-    exploded = w.select(*keys, "at", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("w"), i, F.lit(k)))).alias("i", "kmer"))
-    return exploded.filter(S.is_valid(F.col("kmer"))).select(*keys, (F.col("at") + F.col("i")).alias("pos"), "kmer")
+    """``keys, pos, kmer`` for every valid k-mer (ACGT only)."""
+    made = [T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.StringType())]
+
+    def run(texts):
+        for row, pos, text in codes.substrings(texts, k):
+            yield row, pa.array(pos.astype(np.int32)), text
+
+    return _expanded(reads, keys or [], seq, made, run)
+
+
+def canonical_rows(reads: DataFrame, k: int, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
+    """``keys, pos, canon, turned`` for every valid k-mer; canon is a code up to k = 31, letters above."""
+    if k > codes.MOST_K:
+        kmer = F.col("kmer")
+        return kmer_rows(reads, k, keys, seq).select(*(keys or []), "pos", S.canonical(kmer).alias("canon"), S.is_reversed(kmer).alias("turned"))
+    made = [T.StructField("pos", T.IntegerType()), T.StructField("canon", T.LongType()), T.StructField("turned", T.BooleanType())]
+
+    def run(texts):
+        for row, pos, code, turned in codes.canonical_codes(texts, k):
+            yield row, pa.array(pos.astype(np.int32)), pa.array(code), pa.array(turned)
+
+    return _expanded(reads, keys or [], seq, made, run)
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
+    code = np.concatenate([c for c, _ in held])
+    if held[0][1] is None:
+        code, n = np.unique(code, return_counts=True)
+        bits = np.zeros(len(code), np.int32)
+    else:
+        order = np.argsort(code)
+        code, mask = code[order], np.concatenate([m for _, m in held])[order]
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        n, bits, code = np.diff(np.append(starts, len(code))), np.bitwise_or.reduceat(mask, starts).astype(np.int32), code[starts]
+    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64)), pa.array(bits)], names=["code", "n", "bf"])
+
+
+def _code_table(reads: DataFrame, k: int, seq: str, masks: bool) -> DataFrame:
+    """``code, n, bf``: counts, and with ``masks`` the neighbour bits, of canonical codes."""
+
+    def run(source):
+        held, size = [], 0
+        for b in source:
+            found = codes.neighbour_masks(b.column(0), k) if masks else ((c, None) for _, _, c, _ in codes.canonical_codes(b.column(0), k))
+            for code, mask in found:
+                held.append((code, mask))
+                size += len(code)
+                if size >= HELD_CODES:
+                    yield _summed(held)
+                    held, size = [], 0
+        if size:
+            yield _summed(held)
+
+    parts = spread(reads.select(seq)).mapInArrow(run, "code long, n long, bf int")
+    return parts.groupBy("code").agg(F.sum("n").alias("n"), F.bit_or("bf").alias("bf"))
 
 
 def kmer_counts(reads: DataFrame, k: int, least: int = 1, seq: str = "seq") -> DataFrame:
-    """``canon, n`` of k-mers seen ``least`` times or more; partial aggregation before the shuffle."""
-    table = kmer_rows(reads, k, seq=seq).groupBy(S.canonical(F.col("kmer")).alias("canon")).agg(F.count(F.lit(1)).alias("n"))
-    return table.filter(F.col("n") >= least) if least > 1 else table
+    """``canon, n`` of k-mers seen ``least`` times or more."""
+    if k > codes.MOST_K:
+        table = kmer_rows(reads, k, seq=seq).groupBy(S.canonical(F.col("kmer")).alias("canon")).agg(F.count(F.lit(1)).alias("n"))
+        return table.filter(F.col("n") >= least) if least > 1 else table
+    return _code_table(reads, k, seq, False).filter(F.col("n") >= least).select(S.unpack(F.col("code"), k).alias("canon"), "n")
 
 
 def kmer_totals(table: DataFrame) -> DataFrame:
@@ -46,17 +118,13 @@ def spectrum(table: DataFrame, most: int = 65535) -> DataFrame:
 
 
 def neighbour_rows(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """``canon, mask``: for each occurrence, the bits of the adjacent valid k-mers, on the canonical strand."""
-    w = windows(reads, k, [], seq, margin=1)
-    n = F.length("w") - k + 1
-    s = F.col("w")
-    parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.substring(s, i, F.lit(k)).alias("kmer"), F.when(i > 1, F.substring(s, i - 1, F.lit(1))).otherwise("").alias("l"), F.substring(s, i + k, F.lit(1)).alias("r")))
-    rows = w.select("at", "lead", "last_start", F.posexplode(parts).alias("i", "x"))
-    own = (F.col("i") >= F.col("lead")) & (F.col("i") < F.col("lead") + S.WINDOW)
-    k_mer = F.col("x.kmer")
-    mask = S.left_bit(F.col("x.l")).bitwiseOR(S.right_bit(F.col("x.r")))
-    valid = rows.filter(own & S.is_valid(k_mer))
-    return valid.select(S.canonical(k_mer).alias("canon"), F.when(S.is_reversed(k_mer), S.revcomp_mask(mask)).otherwise(mask).alias("mask"))
+    """``canon, mask`` for each occurrence of a k-mer too long for a code: bits of the adjacent valid k-mers, canonical strand."""
+    rows = kmer_rows(reads.select(F.col(seq).alias("whole__")), k, ["whole__"], "whole__")
+    at = lambda i: F.substring(F.col("whole__"), i, F.lit(1))
+    left = F.when(F.col("pos") > 0, at(F.col("pos"))).otherwise("")
+    mask = S.left_bit(left).bitwiseOR(S.right_bit(at(F.col("pos") + k + 1)))
+    k_mer = F.col("kmer")
+    return rows.select(S.canonical(k_mer).alias("canon"), F.when(S.is_reversed(k_mer), S.revcomp_mask(mask)).otherwise(mask).alias("mask"))
 
 
 def overlap_table(reads: DataFrame, k: int, least: int = 1, seq: str = "seq") -> DataFrame:
@@ -64,7 +132,10 @@ def overlap_table(reads: DataFrame, k: int, least: int = 1, seq: str = "seq") ->
 
     With ``least`` above 1, bits of neighbours that did not survive are cleared by a semi-join.
     """
-    table = neighbour_rows(reads, k, seq).groupBy("canon").agg(F.count(F.lit(1)).alias("n"), F.bit_or("mask").alias("bf"))
+    if k > codes.MOST_K:
+        table = neighbour_rows(reads, k, seq).groupBy("canon").agg(F.count(F.lit(1)).alias("n"), F.bit_or("mask").alias("bf"))
+    else:
+        table = _code_table(reads, k, seq, True).filter(F.col("n") >= least).select(S.unpack(F.col("code"), k).alias("canon"), "n", "bf")
     if least <= 1:
         return table
     kept = table.filter(F.col("n") >= least)

@@ -6,27 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import kmer_rows
+from .kmers import canonical_rows, kmer_rows
 
 MEM_LEAST = 16
 MEM_ENOUGH = 100
 KEPT_SEEDS = 10
+#: Reads of so many bases or fewer are broadcast to the index, about 30 bytes a base.
+BROADCAST_BASES = 1_000_000
 
 
 def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
-    """``canon, node_id, pos, marg_len``: where each canonical k-mer lies, in the canonical strand's coordinates."""
-    rows = kmer_rows(nodes.select("node_id", "seq", "marg_len"), k, ["node_id", "marg_len"])
-    kmer = F.col("kmer")
-    return rows.select(S.canonical(kmer).alias("canon"), F.when(S.is_reversed(kmer), -F.col("node_id")).otherwise(F.col("node_id")).alias("node"), F.when(S.is_reversed(kmer), F.col("marg_len") - 1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), "marg_len")
+    """``canon, node, pos, marg_len``: where each canonical k-mer lies, in the canonical strand's coordinates."""
+    rows = canonical_rows(nodes.select("node_id", "seq", "marg_len"), k, ["node_id", "marg_len"])
+    turned = F.col("turned")
+    return rows.select("canon", F.when(turned, -F.col("node_id")).otherwise(F.col("node_id")).alias("node"), F.when(turned, F.col("marg_len") - 1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), "marg_len")
 
 
 def lookup(reads: DataFrame, index: DataFrame, k: int, key: str = "rec_id", how: str = "inner") -> DataFrame:
     """``key, rpos, node, pos, marg_len``: each read k-mer's place in the graph, strand by strand.
 
-    The reverse complement of (node, pos) is (-node, marg_len - 1 - pos).
+    The reverse complement of (node, pos) is (-node, marg_len - 1 - pos).  Reads of few bases (counted
+    first) are broadcast, so that the index isn't shuffled for them.
     """
-    rows = kmer_rows(reads, k, [key])
-    asked = rows.select(key, F.col("pos").alias("rpos"), S.canonical(F.col("kmer")).alias("canon"), S.is_reversed(F.col("kmer")).alias("turned"))
+    asked = canonical_rows(reads, k, [key]).withColumnRenamed("pos", "rpos")
+    if how == "inner" and not reads.isStreaming and (reads.agg(F.sum(F.length("seq"))).first()[0] or 0) <= BROADCAST_BASES:
+        asked = F.broadcast(asked)
     hit = asked.join(index, "canon", how)
     return hit.select(key, "rpos", F.when(F.col("turned"), -F.col("node")).otherwise(F.col("node")).alias("node"), F.when(F.col("turned"), F.col("marg_len") - 1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"), "marg_len")
 
@@ -137,12 +141,15 @@ def find_pattern(nodes: DataFrame, pattern: str) -> DataFrame:
     return nodes.withColumn("at", F.instr("seq", pattern)).filter("at > 0").select("node_id", "at")
 
 
-def match_seeds(matches: DataFrame, lengths: DataFrame, read_lengths: DataFrame, k: int, key: str = "rec_id") -> DataFrame:
-    """Matches as seeds in k-mer offsets; those that begin beyond the last k-mer of node or read are dropped."""
+def match_seeds(matches: DataFrame, lengths: DataFrame, read_lengths: DataFrame, k: int, key: str = "rec_id", trimmed: bool = True) -> DataFrame:
+    """Matches as seeds in k-mer offsets; those that begin beyond the last k-mer of node or read are dropped.
+
+    Not ``trimmed``, a seed ends where its match does, in bases.
+    """
     own = lengths.select(F.col("node").alias("node"), "marg_len")
     both = matches.join(own, "node").join(read_lengths.select(key, F.col("read_marg").alias("read_marg")), key)
     inside = both.filter("node_first < marg_len and read_first < read_marg")
-    count = F.greatest(F.col("length") - (k - 1), F.lit(1))
+    count = F.greatest(F.col("length") - (k - 1), F.lit(1)) if trimmed else F.col("length")
     return inside.select(key, F.array(F.col("node").cast("int")).alias("chain"), F.col("node_first").cast("int").alias("node_first"), F.col("read_first").cast("int").alias("read_first"), (F.col("read_first") + count).cast("int").alias("read_end"))
 
 

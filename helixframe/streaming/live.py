@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..operators.kmers import kmer_rows
+from ..operators.kmers import canonical_rows, kmer_rows
 
 
 def read_lines(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
@@ -21,11 +21,10 @@ def running_counts(reads: DataFrame, k: int) -> DataFrame:
 
 def windowed_counts(reads: DataFrame, k: int, event_time: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """k-mer totals per event-time window; later rows than ``late`` are dropped with their state."""
-    rows = kmer_rows(reads.withWatermark(event_time, late), k, [event_time])
+    rows = kmer_rows(reads, k, [event_time]).withWatermark(event_time, late)  # after the Arrow step, which knows no watermark
     return rows.groupBy(F.window(event_time, window).alias("window")).agg(F.count(F.lit(1)).alias("kmers"))
 
 
 def live_hits(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """Stateless lookup of arriving k-mers in a static index (a stream-static join)."""
-    rows = kmer_rows(reads, k)
-    return rows.select("pos", S.canonical(F.col("kmer")).alias("canon")).join(index, "canon")
+    return canonical_rows(reads, k).select("pos", "canon").join(index, "canon")

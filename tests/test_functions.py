@@ -124,3 +124,34 @@ def test_formats(spark):
     assert (r["d"], r["ok"]) == (0, False)
     assert T.human_time(3725) == "1h 2m 5s" and T.human_time(65) == "1m 5s"
     assert len(T.date_time()) > 10
+
+
+def test_codes_as_plain_kmers():
+    import random
+
+    import pyarrow as pa
+
+    from helixframe.functions import codes
+
+    r = random.Random(1)
+    texts = ["".join(r.choice("ACGTACGTACGTN") for _ in range(r.choice([0, 1, 5, 11, 12, 30, 200]))) for _ in range(50)] + [None, "ACGT" * 30]
+    column, rows = pa.array(texts)[3:], texts[3:]
+    bit = {"A": 8, "C": 4, "G": 2, "T": 1}
+    for step, k in ((7, 1), (64, 5), (1 << 18, 11), (33, 21), (1 << 18, 31)):
+        plain, masks, letters = [], [], []
+        for i, t in enumerate(t or "" for t in rows):
+            for p in range(len(t) - k + 1):
+                w = t[p : p + k]
+                if "N" in w:
+                    continue
+                turn = w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+                turned = turn[::-1] < w[::-1]
+                m = 16 * (bit.get(t[p - 1], 0) if p else 0) | (bit.get(t[p + k], 0) if p + k < len(t) else 0)
+                plain.append((i, p, sum("ACGT".index(c) << 2 * j for j, c in enumerate(turn if turned else w)), turned))
+                masks.append(int(f"{m:08b}"[::-1], 2) if turned else m)
+                letters.append(w)
+        codes.valid_starts.__defaults__ = (step,)
+        assert [x for row, pos, c, t in codes.canonical_codes(column, k) for x in zip(row.tolist(), pos.tolist(), c.tolist(), t.tolist())] == plain
+        assert [x for _, m in codes.neighbour_masks(column, k) for x in m.tolist()] == masks
+        assert [x for _, _, t in codes.substrings(column, k) for x in t.to_pylist()] == letters
+    codes.valid_starts.__defaults__ = (codes.STEP,)
