@@ -1,12 +1,14 @@
 """Mapping reads onto the graph: seed extension, first and second pass.
 
-Scale: the graph is never broadcast.  Each read's own part of the graph (what its seeds
-can reach within the read's length) is gathered by frontier joins, and the bounded
-best-first search runs per read on that part.
+Scale: a graph of at most ``BROADCAST_BASES`` bases (counted first) is sent to every task once.  Of
+a larger one, each read's own part (what its seeds can reach within the read's length) is gathered
+by frontier joins.  The bounded best-first search runs per read on either.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ from .graph import signed_nodes
 from .markov import ORDERS
 
 VISITS = 5000
+#: Graphs with so many bases and arcs or fewer are broadcast, about 100 MB in a task.
+BROADCAST_BASES, BROADCAST_ARCS = 32_000_000, 1_000_000
 OPTIMAL, EXHAUSTED, MULTIPLE = "optimal", "exhausted", "multiple"
 
 
@@ -99,37 +103,62 @@ def _rc(s: str) -> str:
     return s.translate(_TURN)[::-1]
 
 
+def _place(graph: LocalGraph, chain: tuple[int, ...], at: int) -> tuple[int, int]:
+    """Index of the chain's node that holds its ``at``-th k-mer (from the first node's start), and the k-mer's place there."""
+    depth = 0
+    while depth + 1 < len(chain) and at >= (own := len(graph.nodes[chain[depth]]) - graph.k + 1):
+        at -= own
+        depth += 1
+    return depth, at
+
+
+def _grow(graph: LocalGraph, read: str, chain: tuple[int, ...], node_first: int, read_first: int, count: int, cover: int, own: int, bound: bool, visits: int):
+    """A path grown to the right: (chain, k-mers of the path, bases of the read it stands for, of the path's k-mers those without gaps, state).
+
+    Up to k k-mers at its end are given back, as far as they are ``own`` ones (one stays), the last
+    node is followed to its end, and the rest of the read is searched from there.  An exhausted
+    search adds nothing.
+    """
+    k, room = graph.k, len(read) - read_first - cover
+    if room <= 0:
+        return chain, count, cover, own, OPTIMAL
+    back = min(k, own - 1)
+    count, cover, own, room = count - back, cover - back, own - back, room + back
+    depth, at = _place(graph, chain, node_first + count - 1)
+    chain = chain[: depth + 1]
+    more = min(len(graph.nodes[chain[-1]]) - k - at, room)
+    count, cover, own, room = count + more, cover + more, own + more, room - more
+    if not room:
+        return chain, count, cover, own, OPTIMAL
+    _, found, text, state = search(graph, read[read_first + cover :], chain, len(graph.nodes[chain[-1]]), bound, visits)
+    if state == EXHAUSTED or not text:
+        return chain, count, cover, own, EXHAUSTED
+    return found, count + len(text), cover + room, own, state
+
+
 def extend_seed(graph: LocalGraph, read: str, chain: list[int], node_first: int, read_first: int, read_end: int, bound: bool = True, visits: int = VISITS):
-    """(score, chain, position in the first node, position in the last, corrected read, state) of one seed.
+    """(score, chain, position in the first node, position in the last, corrected read, state) of one seed.
 
-    The right side is searched on the read, the left side on its reverse complement (L10, L12).
+    The right side grows on the read, then the left side on its reverse complement.  What the path
+    does not stand for keeps the read's bases, and their number is subtracted from the score.  Where
+    the read has gaps, the corrected read is longer or shorter than it.
     """
     k = graph.k
-    chain = tuple(chain)
+
+    def turned(chain, node_first, read_first, count, cover):
+        depth, at = _place(graph, chain, node_first + count - 1)
+        return _flip(chain[: depth + 1]), len(graph.nodes[chain[depth]]) - k - at, len(read) - read_first - cover
+
+    count = read_end - read_first
+    chain, count, cover, own, right = _grow(graph, read, tuple(chain), node_first, read_first, count, count + k - 1, count, bound, visits)
+    chain, node_first, read_first = turned(chain, node_first, read_first, count, cover)
+    chain, count, cover, _, left = _grow(graph, _rc(read), chain, node_first, read_first, count, cover, own, bound, visits)
+    chain, node_first, read_first = turned(chain, node_first, read_first, count, cover)
     path = graph.nodes[chain[0]] + "".join(graph.nodes[n][k - 1 :] for n in chain[1:])
-    body = path[node_first : node_first + read_end - read_first + k - 1]  # the graph's text, also where the read differs inside the seed
-    inner = sum(len(graph.nodes[n]) - k + 1 for n in chain[:-1])
-    last_pos = node_first + (read_end - 1 - read_first) - inner
-    r_score, r_chain, r_text, r_state = search(graph, read[read_end + k - 1 :], chain, last_pos + k, bound, visits)
-    back = _flip(chain)
-    first_len = len(graph.nodes[chain[0]])
-    l_score, l_chain, l_text, l_state = search(graph, _rc(read[:read_first]), back, first_len - node_first, bound, visits)
-    full = _flip(l_chain)[: len(l_chain) - len(back)] + r_chain
-    corrected = _rc(l_text) + body + r_text
-    state = EXHAUSTED if EXHAUSTED in (r_state, l_state) else MULTIPLE if MULTIPLE in (r_state, l_state) else OPTIMAL
-    start = node_first - len(l_text) if len(l_chain) == len(back) else len(graph.nodes[l_chain[-1]]) - _taken(graph, l_text, l_chain, back, first_len - node_first)
-    end = last_pos + k + len(r_text) if len(r_chain) == len(chain) else _taken(graph, r_text, r_chain, chain, last_pos + k)
-    return align(read, corrected).score, full, start, end, corrected, state
-
-
-def _taken(graph: LocalGraph, text: str, chain: tuple, seed: tuple, offset: int) -> int:
-    """Bases of the chain's last node up to the end of the extension."""
-    left = len(text)
-    first = seed[-1]
-    left -= len(graph.nodes[first]) - offset
-    for n in chain[len(seed) : -1]:
-        left -= len(graph.nodes[n]) - graph.k + 1
-    return left + graph.k - 1
+    corrected = read[:read_first] + path[node_first : node_first + count + k - 1] + read[read_first + cover :]
+    state = EXHAUSTED if EXHAUSTED in (right, left) else MULTIPLE if MULTIPLE in (right, left) else OPTIMAL
+    end = _place(graph, chain, node_first + count - 1)[1] + k
+    return align(read, corrected).score - (len(read) - cover), chain, node_first, end, corrected, state
 
 
 def local_parts(seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, reads: DataFrame) -> DataFrame:
@@ -154,16 +183,84 @@ def local_parts(seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, reads: Data
     return seen.select("rec_id", "node")
 
 
+_graphs: dict[str, LocalGraph] = {}  # the last one of this worker, by name
+
+
+def _whole_graph(nodes: DataFrame, arcs: DataFrame, markov: DataFrame | None):
+    """The graph as a broadcast if it is small enough by count, else None."""
+    size = nodes.agg(F.sum(F.length("seq")).alias("bases")).first()["bases"] or 0
+    if size > BROADCAST_BASES or arcs.limit(BROADCAST_ARCS + 1).count() > BROADCAST_ARCS:
+        return None
+    if markov is not None and markov.limit(BROADCAST_ARCS + 1).count() > BROADCAST_ARCS:
+        return None
+    own = nodes.select("node_id", "seq").toArrow()
+    links = arcs.select("src", "dst").distinct().toArrow()
+    table = None
+    if markov is not None:
+        table = {}
+        for r in markov.select("chain", F.when(F.col("accepted"), F.col("next_node")).alias("next")).toArrow().to_pylist():
+            known = table.setdefault(tuple(r["chain"]), set())
+            if r["next"] is not None:
+                known.add(r["next"])
+    plain = (own.column(0).to_pylist(), own.column(1).to_pylist(), links.column(0).to_pylist(), links.column(1).to_pylist(), table)
+    return nodes.sparkSession.sparkContext.broadcast(plain)
+
+
+def _graph_of(held, key: str, k: int) -> LocalGraph:
+    if key not in _graphs:
+        ids, texts, src, dst, table = held.value
+        both = dict(zip(ids, texts))
+        both.update({-i: _rc(t) for i, t in zip(ids, texts)})
+        right: dict[int, list[int]] = {}
+        for a, b in zip(src, dst):
+            right.setdefault(a, []).append(b)
+        _graphs.clear()
+        _graphs[key] = LocalGraph(k, both, right, table)
+    return _graphs[key]
+
+
+def _best(graph: LocalGraph, read: str, seeds, bound: bool, visits: int):
+    best = None
+    for s in seeds:
+        found = extend_seed(graph, read, list(map(int, s["chain"])), int(s["node_first"]), int(s["read_first"]), int(s["read_end"]), bound, visits)
+        if best is None or found[0] > best[0]:
+            best = found
+    return best
+
+
+_ALIGNED = "rec_id long, score int, chain array<int>, pos_first int, pos_last int, corrected string, state string, seeds int"
+
+
+def _frame(out: list) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["rec_id", "score", "chain", "pos_first", "pos_last", "corrected", "state", "seeds"])
+
+
 def align_reads(reads: DataFrame, seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, markov: DataFrame | None = None, bound: bool = True, visits: int = VISITS) -> DataFrame:
     """``rec_id, score, chain, pos_first, pos_last, corrected, state, seeds``: each read's best extension.
 
     reads: ``rec_id, seq``; candidates score their alignment to the read; the first of equals wins.
     """
+    own = seeds.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("seed_rank", "chain", "node_first", "read_first", "read_end"))).alias("seeds"))
+    rows = reads.select("rec_id", "seq").join(own, "rec_id")
+    held = _whole_graph(nodes, arcs, markov)
+    if held is not None:
+        key = uuid.uuid4().hex
+
+        def run(source):
+            for pdf in source:
+                graph = _graph_of(held, key, k)
+                yield _frame([(rec, (b := _best(graph, read, seeds_, bound, visits))[0], list(b[1]), *b[2:], len(seeds_)) for rec, read, seeds_ in pdf[["rec_id", "seq", "seeds"]].itertuples(index=False)])
+
+        return rows.repartition(reads.sparkSession.sparkContext.defaultParallelism * 4, "rec_id").mapInPandas(run, _ALIGNED)
+    return _align_parts(rows, reads, seeds, nodes, arcs, k, markov, bound, visits)
+
+
+def _align_parts(rows: DataFrame, reads: DataFrame, seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, markov: DataFrame | None, bound: bool, visits: int) -> DataFrame:
+    """The same over each read's own part of a graph too large to broadcast."""
     part = materialise(local_parts(seeds, nodes, arcs, reads), "parts")
     texts = part.join(signed_nodes(nodes), "node").groupBy("rec_id").agg(F.collect_list(F.struct("node", "seq")).alias("nodes"))
     edges = part.withColumnRenamed("node", "src").join(arcs.select("src", "dst").distinct(), "src").join(part.withColumnRenamed("node", "dst"), ["rec_id", "dst"]).groupBy("rec_id").agg(F.collect_list(F.struct("src", "dst")).alias("arcs"))
-    own = seeds.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("seed_rank", "chain", "node_first", "read_first", "read_end"))).alias("seeds"))
-    rows = reads.select("rec_id", "seq").join(own, "rec_id").join(texts, "rec_id").join(edges, "rec_id", "left")
+    rows = rows.join(texts, "rec_id").join(edges, "rec_id", "left")
     if markov is not None:
         last = F.element_at("chain", -1)
         known = markov.withColumn("last", last).groupBy("last", "chain").agg(F.collect_list(F.when(F.col("accepted"), F.col("next_node"))).alias("nexts"))
@@ -180,17 +277,11 @@ def align_reads(reads: DataFrame, seeds: DataFrame, nodes: DataFrame, arcs: Data
                 for a in arcs_ if arcs_ is not None else ():
                     right.setdefault(int(a["src"]), []).append(int(a["dst"]))
                 table = {tuple(map(int, m["chain"])): set(map(int, m["nexts"])) for m in (markov_ if markov_ is not None else ())} if use_markov else None
-                graph = LocalGraph(k, {int(n["node"]): n["seq"] for n in nodes_}, right, table)
-                best = None
-                for s in seeds_:
-                    found = extend_seed(graph, read, list(map(int, s["chain"])), int(s["node_first"]), int(s["read_first"]), int(s["read_end"]), bound, visits)
-                    if best is None or found[0] > best[0]:
-                        best = found
-                score, chain, first, last_, corrected, state = best
-                out.append((rec, score, list(chain), first, last_, corrected, state, len(seeds_)))
-            yield pd.DataFrame(out, columns=["rec_id", "score", "chain", "pos_first", "pos_last", "corrected", "state", "seeds"])
+                best = _best(LocalGraph(k, {int(n["node"]): n["seq"] for n in nodes_}, right, table), read, seeds_, bound, visits)
+                out.append((rec, best[0], list(best[1]), *best[2:], len(seeds_)))
+            yield _frame(out)
 
-    return rows.mapInPandas(run, "rec_id long, score int, chain array<int>, pos_first int, pos_last int, corrected string, state string, seeds int")
+    return rows.mapInPandas(run, _ALIGNED)
 
 
 def kmer_seeds(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
@@ -199,10 +290,32 @@ def kmer_seeds(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int) -> D
 
 
 def mem_seeds(reads: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Exact-match seeds for reads without k-mer seeds (L15); only matches of k bases or more can be extended."""
-    found = seeding.adaptive_matches(seeding.exact_matches(reads, nodes), k).filter(F.col("length") >= k)
+    """Exact matches below k bases as seeds (L15, J15): from k - 1 down to 16 until there are enough, merged, the ten longest.
+
+    A match of fewer than k bases counts as the one k-mer at its start.  With k of 16 or less there are none.
+    """
+    found = seeding.adaptive_matches(seeding.exact_matches(reads, nodes, min(seeding.MEM_LEAST, k)), k)
     lengths = nodes.select(F.col("node_id").alias("node"), "marg_len").unionByName(nodes.select((-F.col("node_id")).alias("node"), "marg_len"))
-    return seeding.match_seeds(found, lengths, reads.select("rec_id", (F.length("seq") - (k - 1)).alias("read_marg")), k)
+    whole = seeding.match_seeds(found, lengths, reads.select("rec_id", (F.length("seq") - (k - 1)).alias("read_marg")), k, trimmed=False)
+    return seeding.top_seeds(seeding.merged_seeds(whole), trim=k)
+
+
+def _mapped(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, markov: DataFrame | None, mem: bool, bound: bool, visits: int) -> DataFrame:
+    """Best extension of k-mer seeds; of exact matches for reads without any, or with a score of half the length at most.
+
+    The second try counts only if its score is above half the length and no search was exhausted.
+    """
+    found = align_reads(reads, seeding.top_seeds(kmer_seeds(reads, nodes, arcs, k)), nodes, arcs, k, markov, bound, visits)
+    if not mem or k <= seeding.MEM_LEAST:
+        return found
+    found = materialise(found, "by-kmers")
+    half = F.floor(F.length("seq") / 2)
+    weak = materialise(reads.join(found.select("rec_id", "score", "state"), "rec_id", "left").filter(F.col("score").isNull() | ((F.col("score") <= half) & (F.col("state") != EXHAUSTED))).select("rec_id", "seq"), "weak")
+    if weak.isEmpty():
+        return found
+    again = align_reads(weak, mem_seeds(weak, nodes, k), nodes, arcs, k, markov, bound, visits)
+    better = materialise(again.join(weak.select("rec_id", half.alias("half")), "rec_id").filter((F.col("score") > F.col("half")) & (F.col("state") != EXHAUSTED)).drop("half"), "by-matches")
+    return found.join(better.select("rec_id"), "rec_id", "left_anti").unionByName(better)
 
 
 def _judged(reads: DataFrame, found: DataFrame) -> DataFrame:
@@ -222,20 +335,13 @@ def align_pass1(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, mem
     ``aligned`` needs a score above half the length and a single optimal path; several optimal
     paths set ``branch`` and leave the read for the second pass.
     """
-    usable = reads.filter(F.length("seq") >= k)
-    seeds = materialise(kmer_seeds(usable, nodes, arcs, k), "seeds")
-    if mem:
-        bare = usable.join(seeds.select("rec_id").distinct(), "rec_id", "left_anti")
-        seeds = seeds.unionByName(mem_seeds(bare, nodes, k).select(*seeds.columns))
-    top = seeding.top_seeds(seeds)
-    return _judged(reads, align_reads(usable, top, nodes, arcs, k, None, bound, visits))
+    return _judged(reads, _mapped(reads.filter(F.length("seq") >= k), nodes, arcs, k, None, mem, bound, visits))
 
 
-def align_pass2(first: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, markov: DataFrame, bound: bool = True, visits: int = VISITS) -> DataFrame:
+def align_pass2(first: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, markov: DataFrame, bound: bool = True, visits: int = VISITS, mem: bool = True) -> DataFrame:
     """Second pass: only branching reads are aligned again, along transitions that the Markov table allows."""
     again = first.filter("branch").select("rec_id", "seq")
-    top = seeding.top_seeds(kmer_seeds(again, nodes, arcs, k))
-    return first.filter("not branch").unionByName(_judged(again, align_reads(again, top, nodes, arcs, k, markov, bound, visits)))
+    return first.filter("not branch").unionByName(_judged(again, _mapped(again, nodes, arcs, k, markov, mem, bound, visits)))
 
 
 def with_info(alignments: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def align_table(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, settings: S
     size = nodes.agg(F.sum("marg_len").alias("s")).first()["s"] or 0
     cover = markov.estimated_coverage(stats["n"], size, stats["l"] or 0.0)
     table = markov.train(first.filter("aligned").select("chain"), nodes, arcs, k, cover, stats["l"] or 0.0)
-    return extend.align_pass2(first, nodes, arcs, k, table, settings.branch_and_bound, settings.search_depth)
+    return extend.align_pass2(first, nodes, arcs, k, table, settings.branch_and_bound, settings.search_depth, settings.mem_seeds)
 
 
 def align(spark: SparkSession, settings: Settings) -> DataFrame:

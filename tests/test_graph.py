@@ -243,3 +243,42 @@ def test_local_parts_go_on_while_room_is_left(spark):
     reads = spark.createDataFrame([(1, "A" * 80)], "rec_id long, seq string")
     found = extend.local_parts(seeds, nodes, arcs, reads)
     assert {r["node"] for r in found.collect()} == {-1, *range(1, 71)}
+
+
+def test_short_match_rescues_a_read(spark):
+    """No 21-mer of the read is in the graph; a match of 18 bases leads to it all the same."""
+    k, g = 21, genome(400, 61)
+    nodes, arcs = jobs.build_graph(table(spark, g), k)
+    read = list(g[100:180])
+    for i in (9, 20, 39, 58, 69):
+        read[i] = "ACGT"["TGCA".index(read[i])] if read[i] in "ACGT" else read[i]
+    read = "".join(read)
+    assert not any(read[i : i + k] in g for i in range(len(read) - k + 1))
+    got = extend.align_pass1(table(spark, read), nodes, arcs, k).first()
+    assert got["aligned"] and got["corrected"] == g[100:180] and got["score"] > 40
+    assert not extend.align_pass1(table(spark, read), nodes, arcs, k, mem=False).first()["aligned"]
+
+
+def test_uncovered_bases_lower_the_score(spark):
+    """The graph ends before the read does: the rest keeps its bases and costs one each."""
+    g = genome(120, 62)
+    nodes, arcs = jobs.build_graph(table(spark, g), K)
+    read = g[60:] + genome(10, 63)
+    seeds = extend.kmer_seeds(table(spark, read), nodes, arcs, K)
+    r = extend.align_reads(table(spark, read), seeds.withColumn("seed_rank", F.lit(1)), nodes, arcs, K).first()
+    assert r["corrected"][:60] == g[60:] and r["state"] == "exhausted"
+    assert r["score"] == len(read) - 10
+
+
+def test_large_graphs_are_gathered_part_by_part(spark, monkeypatch):
+    g = genome(300, 64) + genome(60, 65) + genome(200, 66)
+    nodes, arcs = jobs.build_graph(table(spark, g, genome(200, 67) + genome(60, 65) + genome(100, 68)), K)
+    reads = []
+    for i in range(6):
+        read = list(g[i * 70 : i * 70 + 90])
+        read[45] = "A" if read[45] != "A" else "C"
+        reads.append("".join(read))
+    rows = lambda: sorted(map(tuple, extend.align_pass1(table(spark, *reads), nodes, arcs, K).collect()), key=str)
+    whole = rows()
+    monkeypatch.setattr(extend, "BROADCAST_BASES", 1)
+    assert rows() == whole
