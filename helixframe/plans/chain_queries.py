@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chains as C
@@ -93,24 +94,31 @@ def suffix_join(spark, sf):
     return markov.ending_in(d.filter("ord > 2"), d.filter(~F.col("accepted")), 2, "left_semi").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("j06_markov_backoff", f"WITH {TRANS}, fr AS (SELECT DISTINCT ord, chain FROM tr WHERE freq >= 3), q AS (SELECT user_id, chain[1:6] AS chain FROM ch WHERE len(chain) >= 6), c AS (SELECT user_id, o AS ord, chain[-o:] AS chain FROM q, (VALUES (2), (3), (4)) v(o)), m AS (SELECT user_id, max(c.ord) AS ord FROM c JOIN fr ON c.ord = fr.ord AND c.chain = fr.chain GROUP BY 1) SELECT m.user_id, m.ord, {Q.join_text('c.chain')} AS chain FROM m JOIN c ON m.user_id = c.user_id AND m.ord = c.ord")
+PLACES = "q AS (SELECT user_id, i AS place, chain[i - 3:i] AS chain FROM (SELECT user_id, chain, unnest(range(4, len(chain) + 1)) AS i FROM ch) x)"
+
+
+def _places(c: DataFrame) -> DataFrame:
+    """The last four nodes at every place of every chain from the fourth on."""
+    places = c.filter(F.size("chain") >= 4).select("user_id", "chain", F.explode(F.sequence(F.lit(4).cast("long"), F.size("chain").cast("long"))).alias("place"))
+    return places.select("user_id", "place", F.slice("chain", F.col("place").cast("int") - 3, F.lit(4)).alias("chain"))
+
+
+@query("j06_markov_backoff", f"WITH {TRANS}, fr AS (SELECT DISTINCT ord, chain FROM tr WHERE freq >= 3), {PLACES}, c AS (SELECT user_id, place, o AS ord, chain[-o:] AS chain FROM q, (VALUES (2), (3), (4)) v(o)), m AS (SELECT user_id, place, max(c.ord) AS ord FROM c JOIN fr ON c.ord = fr.ord AND c.chain = fr.chain GROUP BY 1, 2) SELECT m.user_id, m.place, m.ord, {Q.join_text('c.chain')} AS chain FROM m JOIN c ON m.user_id = c.user_id AND m.place = c.place AND m.ord = c.ord")
 def markov_backoff(spark, sf):
     c = event_chains(spark, sf)
     t = markov.transitions(c, ORDERS).filter("freq >= 3")
-    q = c.filter(F.size("chain") >= 6).select("user_id", F.slice("chain", 1, 6).alias("chain"))
-    return markov.longest_context(q, t, ["user_id"], ORDERS).select("user_id", "ord", text("chain").alias("chain"))
+    return markov.longest_context(_places(c), t, ["user_id", "place"], ORDERS).select("user_id", "place", "ord", text("chain").alias("chain"))
 
 
-@query("m06_eligible_next", f"""WITH {DECIDED}, {Q.ARCS}, q AS (SELECT user_id, chain[1:6] AS chain FROM ch WHERE len(chain) >= 6),
-c AS (SELECT user_id, o AS ord, chain[-o:] AS chain FROM q, (VALUES (2), (3), (4)) v(o)),
-k AS (SELECT DISTINCT ord, chain FROM de), m AS (SELECT user_id, max(c.ord) AS ord FROM c JOIN k ON c.ord = k.ord AND c.chain = k.chain GROUP BY 1),
-x AS (SELECT m.user_id, m.ord, c.chain FROM m JOIN c ON m.user_id = c.user_id AND m.ord = c.ord),
-o AS (SELECT q.user_id, ea.dst AS next_node, count(*) OVER (PARTITION BY q.user_id) AS n FROM q JOIN ea ON ea.src = q.chain[-1])
-SELECT o.user_id, o.next_node FROM o LEFT JOIN x ON o.user_id = x.user_id WHERE x.user_id IS NULL OR o.n = 1 OR EXISTS (SELECT 1 FROM de WHERE de.ord = x.ord AND de.chain = x.chain AND de.next_node = o.next_node AND accepted)""")
+@query("m06_eligible_next", f"""WITH {DECIDED}, {Q.ARCS}, {PLACES},
+c AS (SELECT user_id, place, o AS ord, chain[-o:] AS chain FROM q, (VALUES (2), (3), (4)) v(o)),
+k AS (SELECT DISTINCT ord, chain FROM de), m AS (SELECT user_id, place, max(c.ord) AS ord FROM c JOIN k ON c.ord = k.ord AND c.chain = k.chain GROUP BY 1, 2),
+x AS (SELECT m.user_id, m.place, m.ord, c.chain FROM m JOIN c ON m.user_id = c.user_id AND m.place = c.place AND m.ord = c.ord),
+o AS (SELECT q.user_id, q.place, ea.dst AS next_node, count(*) OVER (PARTITION BY q.user_id, q.place) AS n FROM q JOIN ea ON ea.src = q.chain[-1])
+SELECT o.user_id, o.place, o.next_node FROM o LEFT JOIN x ON o.user_id = x.user_id AND o.place = x.place WHERE x.user_id IS NULL OR o.n = 1 OR EXISTS (SELECT 1 FROM de WHERE de.ord = x.ord AND de.chain = x.chain AND de.next_node = o.next_node AND accepted)""")
 def eligible_next(spark, sf):
     c = event_chains(spark, sf)
-    q = c.filter(F.size("chain") >= 6).select("user_id", F.slice("chain", 1, 6).alias("chain"))
-    return markov.eligible_next(q, decided(spark, sf), chain_arcs(c), ["user_id"], ORDERS)
+    return markov.eligible_next(_places(c), decided(spark, sf), chain_arcs(c), ["user_id", "place"], ORDERS)
 
 
 @query("m07_contradicted", f"WITH {DECIDED}, w AS (SELECT user_id, o AS ord, chain[i:i + o - 1] AS chain, chain[i + o] AS next_node FROM (SELECT user_id, chain, o, unnest(range(1, len(chain) - o + 1)) AS i FROM ch, (VALUES (2), (3), (4)) v(o) WHERE len(chain) > o) x) SELECT user_id, count(*) AS steps FROM w WHERE EXISTS (SELECT 1 FROM de WHERE de.ord = w.ord AND de.chain = w.chain AND de.next_node = w.next_node AND NOT accepted) GROUP BY user_id")
@@ -279,16 +287,16 @@ def coverage(spark, sf):
 
 SAMQ = """f AS (SELECT item_id, seq FROM s WHERE length(seq) >= 60),
 x AS (SELECT item_id, seq, (item_id % 7 + 1)::INTEGER AS pos, item_id % 2 = 1 AS turned FROM f),
-o AS (SELECT item_id, turned, 'NNNNN' || substr(seq, pos, 20) || 'NN' || substr(seq, pos + 20 + 3, 23) AS out FROM x)"""
+o AS (SELECT item_id, turned, 'NNNNN' || substr(seq, pos, 20) || 'NN' || substr(seq, pos + 20 + 3, length(seq) - 40) AS out FROM x)"""
 
 
 @query("c02_cigar_project", f"WITH {Q.seqs('benchmark', 'item_id')}, {SAMQ} SELECT item_id AS rec_id, TRUE AS mapped, CASE WHEN turned THEN {Q.rc('out')} ELSE out END AS read FROM o")
 def cigar_project(spark, sf):
-    """Reads of 50 bases along 5S20M2I3D23M on the benchmark's sequences, odd ones reversed."""
+    """Reads along 5S20M2I3D and the rest M on the benchmark's whole sequences, odd ones reversed."""
     s = sequences(spark, sf, "benchmark", "item_id").filter(F.length("seq") >= 60)
     name = F.concat(F.lit("q"), "item_id")
-    reads = s.select(F.col("item_id").alias("rec_id"), F.concat(F.lit("@"), name, F.lit("\n")).alias("pre"), F.substring("seq", 1, 50).alias("read"))
-    sam = s.select(name.alias("qname"), F.when(F.col("item_id") % 2 == 1, 16).otherwise(0).alias("flag"), name.alias("rname"), (F.col("item_id") % 7 + 1).cast("int").alias("pos"), F.lit("5S20M2I3D23M").alias("cigar"), F.lit(0).alias("nm"), F.lit("").alias("xa"))
+    reads = s.select(F.col("item_id").alias("rec_id"), F.concat(F.lit("@"), name, F.lit("\n")).alias("pre"), F.substring(F.col("seq"), F.lit(1), F.length("seq") - 13).alias("read"))
+    sam = s.select(name.alias("qname"), F.when(F.col("item_id") % 2 == 1, 16).otherwise(0).alias("flag"), name.alias("rname"), (F.col("item_id") % 7 + 1).cast("int").alias("pos"), F.concat(F.lit("5S20M2I3D"), F.length("seq") - 40, F.lit("M")).alias("cigar"), F.lit(0).alias("nm"), F.lit("").alias("xa"))
     return evaluate.sam_to_reads(reads, sam, s.select(name.alias("rname"), "seq"))
 
 

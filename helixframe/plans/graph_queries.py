@@ -115,10 +115,11 @@ def parallel_paths(spark, sf):
     return graph.parallel_paths(benchmark_graph(spark, sf, K)[2])
 
 
-@query("g10_neighbourhood", f"WITH RECURSIVE {G}, bo AS (SELECT DISTINCT src, dst FROM ar UNION SELECT dst, src FROM ar), bf AS (SELECT DISTINCT src AS node, 0 AS depth FROM ar WHERE src % 7 = 0 UNION SELECT bo.dst, bf.depth + 1 FROM bf JOIN bo ON bo.src = bf.node WHERE bf.depth < 3) SELECT node, min(depth)::INTEGER AS depth FROM bf GROUP BY node")
+@query("g10_neighbourhood", f"WITH RECURSIVE {G}, bo AS (SELECT DISTINCT src, dst FROM ar UNION SELECT dst, src FROM ar), bf AS (SELECT DISTINCT src AS node, 0 AS depth FROM ar WHERE src NOT IN (SELECT dst FROM ar) UNION SELECT bo.dst, bf.depth + 1 FROM bf JOIN bo ON bo.src = bf.node WHERE bf.depth < 3) SELECT node, min(depth)::INTEGER AS depth FROM bf GROUP BY node")
 def neighbourhood(spark, sf):
     a = benchmark_graph(spark, sf, K)[2]
-    return graph.neighbourhood(a, a.filter("src % 7 = 0").select(F.col("src").alias("node")).distinct(), 3)
+    ends = a.select(F.col("src").alias("node")).distinct().join(a.select(F.col("dst").alias("node")), "node", "left_anti")
+    return graph.neighbourhood(a, ends, 3)
 
 
 UNIQUE = "un1 AS (SELECT src, dst FROM ar WHERE src IN (SELECT src FROM ar GROUP BY 1 HAVING count(*) = 1) AND dst IN (SELECT dst FROM ar GROUP BY 1 HAVING count(*) = 1))"

@@ -249,9 +249,9 @@ def kmer_spectrum(spark, sf):
     return kmers.spectrum(kmers.kmer_counts(sequences(spark, sf), K))
 
 
-@query("a03_overlap_mask", f"WITH {DOCS}, {Q.overlaps('doc_id')} SELECT canon, n, bf::INTEGER AS bf FROM ov WHERE n >= 3")
+@query("a03_overlap_mask", f"WITH {DOCS}, {Q.overlaps('doc_id')} SELECT canon, n, bf::INTEGER AS bf FROM ov")
 def overlap_mask(spark, sf):
-    return kmers.overlap_table(sequences(spark, sf), K).filter("n >= 3").select("canon", "n", F.col("bf").cast("int").alias("bf"))
+    return kmers.overlap_table(sequences(spark, sf), K).select("canon", "n", F.col("bf").cast("int").alias("bf"))
 
 
 @query("p04_surviving_masks", f"""WITH {DOCS}, {Q.overlaps('doc_id')}, kept AS (SELECT * FROM ov WHERE n >= 3),
@@ -373,14 +373,14 @@ def best_candidate(spark, sf):
     return seeds.best_candidates(t, "item_id").select("item_id", F.col("chain")[0].cast("long").alias("node"), F.col("score").cast("long").alias("score"), F.col("ties").cast("long").alias("ties"))
 
 
-MEMS = f"""{BENCH}, {Q.kmers('item_id', 16)}, {Q.seqs('documents', 'doc_id', 'd')}, {Q.kmers('doc_id', 16, 'd', 'dk')},
-mh AS (SELECT item_id, doc_id, a.pos AS rpos, b.pos AS npos FROM km a JOIN dk b ON a.kmer = b.kmer),
-mr AS (SELECT *, rpos - row_number() OVER (PARTITION BY item_id, doc_id, npos - rpos ORDER BY rpos) AS run FROM mh),
-mm AS (SELECT item_id, doc_id + 1 AS node, min(npos) AS node_first, min(rpos) AS read_first, count(*) + 15 AS length FROM mr GROUP BY item_id, doc_id, npos - rpos, run)"""
+MEMS = f"""{BENCH}, {Q.kmers('item_id', 16)}, {Q.seqs('documents', 'doc_id', 'd')}, d2 AS (SELECT doc_id + 1 AS node, seq FROM d UNION ALL SELECT -(doc_id + 1), {Q.rc('seq')} FROM d), {Q.kmers('node', 16, 'd2', 'dk')},
+mh AS (SELECT item_id, node, a.pos AS rpos, b.pos AS npos FROM km a JOIN dk b ON a.kmer = b.kmer),
+mr AS (SELECT *, rpos - row_number() OVER (PARTITION BY item_id, node, npos - rpos ORDER BY rpos) AS run FROM mh),
+mm AS (SELECT item_id, node, min(npos) AS node_first, min(rpos) AS read_first, count(*) + 15 AS length FROM mr GROUP BY item_id, node, npos - rpos, run)"""
 
 
 def mems(spark, sf):
-    return seeds.exact_matches(sequences(spark, sf, "benchmark", "item_id"), document_nodes(spark, sf), 16, "item_id", both_strands=False)
+    return seeds.exact_matches(sequences(spark, sf, "benchmark", "item_id"), document_nodes(spark, sf), 16, "item_id")
 
 
 @query("j15_mem_seeds", f"WITH {MEMS} SELECT item_id, node::BIGINT AS node, node_first::BIGINT AS node_first, read_first::BIGINT AS read_first, length::BIGINT AS length FROM mm")
@@ -401,10 +401,11 @@ def adaptive_mems(spark, sf):
     return a.groupBy("item_id").agg(F.count(F.lit(1)).alias("kept"), F.min("length").cast("long").alias("least"))
 
 
-@query("p09_mem_borders", f"WITH {MEMS} SELECT mm.item_id, count(*) AS inside FROM mm JOIN d ON d.doc_id + 1 = mm.node JOIN s ON s.item_id = mm.item_id WHERE node_first < length(d.seq) - {K - 1} AND read_first < length(s.seq) - {K - 1} GROUP BY mm.item_id")
+@query("p09_mem_borders", f"WITH {MEMS} SELECT mm.item_id, count(*) AS inside FROM mm JOIN d ON d.doc_id + 1 = abs(mm.node) JOIN s ON s.item_id = mm.item_id WHERE node_first < length(d.seq) - {K - 1} AND read_first < length(s.seq) - {K - 1} GROUP BY mm.item_id")
 def mem_borders(spark, sf):
     reads = sequences(spark, sf, "benchmark", "item_id").select("item_id", S.marginal_length(F.col("seq"), K).alias("read_marg"))
-    lengths = document_nodes(spark, sf).select(F.col("node_id").alias("node"), "marg_len")
+    nodes = document_nodes(spark, sf)
+    lengths = nodes.select(F.col("node_id").alias("node"), "marg_len").unionByName(nodes.select((-F.col("node_id")).alias("node"), "marg_len"))
     return seeds.match_seeds(mems(spark, sf), lengths, reads, K, "item_id").groupBy("item_id").agg(F.count(F.lit(1)).alias("inside"))
 
 
@@ -437,9 +438,9 @@ def fasta_wrap(spark, sf):
 
 
 def _pairs(spark, sf):
+    """Each whole sequence and itself without its 21st base."""
     b = sequences(spark, sf, "benchmark", "item_id")
-    cut = b.select("item_id", F.substring("seq", 1, 60).alias("a"), F.concat(F.substring("seq", 1, 20), F.substring("seq", 22, 40)).alias("b"))
-    return cut
+    return b.select("item_id", F.col("seq").alias("a"), F.concat(F.substring("seq", 1, 20), F.substring("seq", 22, 1 << 30)).alias("b"))
 
 
 @query("l01_nw_score")
@@ -452,9 +453,9 @@ def banded_scores(spark, sf):
     return _pairs(spark, sf).select("item_id", nw_banded(3)("a", "b").alias("score"))
 
 
-@query("l18_match_count", f"WITH {BENCH} SELECT item_id, length(seq)::INTEGER AS common FROM s")
+@query("l18_match_count", f"WITH {BENCH} SELECT item_id, length(substr(seq, 1, 20) || substr(seq, 22))::INTEGER AS common FROM s")
 def match_count(spark, sf):
-    return sequences(spark, sf, "benchmark", "item_id").select("item_id", lcs_score("seq", "seq").alias("common"))
+    return _pairs(spark, sf).select("item_id", lcs_score("a", "b").alias("common"))
 
 
 @query("a13_mixture_fit")

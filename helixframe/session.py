@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset (local tests)."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode (tests) and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_helixframe_dir", None)
         if base is None:
             base = spark.sparkContext._helixframe_dir = tempfile.mkdtemp(prefix="helixframe-")
