@@ -30,6 +30,8 @@ from .bpe import byte_symbols
 from .common import clash_free, stored
 
 CAPACITY = 2048
+#: Exchanges that the local search may take, at any size of the input; each serves as many bins as share both patterns.
+SEARCH_STEPS = 4000
 CACHE_ITEMS = 800_000
 ROWS_PER_CELL = 1_000_000
 
@@ -175,16 +177,16 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> Counter:
     return done
 
 
-def improve(bins: Counter, capacity: int) -> Counter:
+def improve(bins: Counter, capacity: int, steps: int = SEARCH_STEPS) -> Counter:
     """Local search on patterns: moves, one-for-one and two-for-one exchanges that raise squared fill most.
 
     The emptiest bins give, fuller ones take; a step is taken for as many pairs of bins as both
-    patterns have.  It ends when no exchange helps, or at the lower bound.
+    patterns have.  It ends when no exchange helps, at the lower bound, or after ``steps``.
     """
     bins = _sorted(bins)
     floor = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
     stuck: set = set()
-    while True:
+    for _ in range(steps):
         if sum(bins.values()) <= floor:
             break
         under = [p for p in bins if sum(p) < capacity]
@@ -223,25 +225,35 @@ def _swap(pattern: tuple, out: tuple, back: tuple) -> tuple:
 
 
 def _best_step(giver: tuple, under: list[tuple], bins: Counter, capacity: int):
-    """The (taker, given pieces, returned pieces) that raises the sum of squares most, or None."""
+    """The (taker, given pieces, returned pieces) that raises the sum of squares most, or None.
+
+    A taker gains most by the exchange that fills it most, and none gains more than by being filled
+    whole, so takers are tried by falling room until no other can gain more.
+    """
     fill = sum(giver)
-    ones = sorted(set(giver))
-    outs = [(x,) for x in ones] + [(x, y) for x in ones for y in ones if x > y or x == y and giver.count(x) > 1]
+    pieces = Counter(giver)
+    ones = sorted(pieces)
+    given = {x: (x,) for x in ones}
+    for a, x in enumerate(ones):
+        for y in ones[a:]:
+            if x != y or pieces[x] > 1:
+                given.setdefault(x + y, (y, x))
+    sums = sorted(given)
     best, gain = None, 0
-    for taker in under:
+    for room, taker in sorted(((capacity - sum(t), t) for t in under), reverse=True):
+        if 2 * room * (capacity - fill) <= gain:
+            break
         if taker == giver and bins[giver] < 2:
             continue
-        have = sum(taker)
-        room = capacity - have
-        if room + have - fill <= 0:
-            continue
-        backs = [(), *((x,) for x in set(taker))]
-        for out in outs:
-            given = sum(out)
-            for back in backs:
-                diff = given - (back[0] if back else 0)
-                if 0 < diff <= room and not (len(out) == 2 and not back) and (g := 2 * diff * (have - fill + diff)) > gain:
-                    best, gain = (taker, out, back), g
+        have, found = capacity - room, (0, None, None)
+        if (at := bisect.bisect_right(ones, room)) and ones[at - 1] > found[0]:
+            found = (ones[at - 1], given[ones[at - 1]], ())
+        for back in set(taker):
+            if (at := bisect.bisect_right(sums, room + back)) and sums[at - 1] - back > found[0]:
+                found = (sums[at - 1] - back, given[sums[at - 1]], (back,))
+        diff = found[0]
+        if diff and (g := 2 * diff * (have - fill + diff)) > gain:
+            best, gain = (taker, found[1], found[2]), g
     return best
 
 
