@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.align import GAP, MATCH, _codes, align, attainable, next_row
+from ..functions.align import GAP, MATCH, Rows, _codes, align
 from ..functions.text import alignment_info
 from ..session import materialise
 from . import seeds as seeding
@@ -53,8 +53,8 @@ def search(graph: LocalGraph, pattern: str, start: tuple[int, ...], offset: int,
     """
     if not pattern:
         return 0, start, "", OPTIMAL
-    p = _codes(pattern)
-    first = np.arange(len(p) + 1, dtype=np.int64) * GAP
+    rows = Rows(pattern)
+    first = rows.first
     best = (int(first[-1]), start, "")
     ties: set = set()
     stack = [(start, first, graph.nodes[start[-1]][offset:], "")]
@@ -65,7 +65,7 @@ def search(graph: LocalGraph, pattern: str, start: tuple[int, ...], offset: int,
         if seen > visits:
             return (*best, EXHAUSTED)
         for i, base in enumerate(_codes(text).tolist(), 1):
-            row = next_row(row, base, p, int(row[0]) + GAP)
+            row = rows.after(row, base)
             score = int(row[-1])
             if target is not None and chain[-1] != target:
                 continue
@@ -73,7 +73,7 @@ def search(graph: LocalGraph, pattern: str, start: tuple[int, ...], offset: int,
                 best, ties = (score, chain, spelled + text[:i]), {(chain, spelled + text[:i])}
             elif score == best[0] and score > int(first[-1]):
                 ties.add((chain, spelled + text[:i]))
-        top = attainable(row)
+        top = rows.attainable(row)
         if bound and (top < best[0] if guided else top <= best[0]):
             continue
         if len(spelled) + len(text) > len(pattern) + (len(pattern) * MATCH - best[0]) // -GAP + graph.k:
@@ -85,8 +85,9 @@ def search(graph: LocalGraph, pattern: str, start: tuple[int, ...], offset: int,
                 part = more[graph.k - 1 :]
                 near = row
                 for base in _codes(part[:8]).tolist():
-                    near = next_row(near, base, p, int(near[0]) + GAP)
-                children.append((attainable(near) / max(1, len(pattern)), attainable(near), -node, node, part))
+                    near = rows.after(near, base)
+                top = rows.attainable(near)
+                children.append((top / max(1, len(pattern)), top, -node, node, part))
         for _, _, _, node, part in sorted(children):
             stack.append((chain + (node,), row, part, spelled + text))
     return (*best, MULTIPLE if len(ties) > 1 else OPTIMAL)
