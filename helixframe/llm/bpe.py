@@ -52,18 +52,16 @@ def byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
-@lru_cache(maxsize=1)
-def unknown_to_python() -> re.Pattern:
-    """Matches a code point that Python's Unicode tables class as unassigned."""
-    runs, start = [], None
-    for c in range(0x80, 0x110001):
-        odd = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if odd and start is None:
-            start = c
-        elif not odd and start is not None:
-            runs.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(runs)}]")
+_assigned: set[str] = set()  # characters seen so far that Python's Unicode tables know
+
+
+def has_unknown(text: str) -> bool:
+    """Whether a text holds a code point that Python's Unicode tables class as unassigned."""
+    for c in set(text) - _assigned:
+        if unicodedata.category(c) == "Cn":
+            return True
+        _assigned.add(c)
+    return False
 
 
 class WordBpe:
@@ -174,7 +172,7 @@ class WordBpe:
         return b"".join([array("i", self._merged(bytes(map(self.bytes.__getitem__, w)))).tobytes() for w, _ in words if w])
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii() and unknown_to_python().search(text):
+        if not text.isascii() and has_unknown(text):
             return self._by_library(text)
         text = self.normalize(text)
         if text.isascii() and not self.odd_space.search(text):
