@@ -52,7 +52,7 @@ def graph_stats(spark, sf):
     return graph.graph_stats(nodes, arcs_)
 
 
-@query("g05_arc_symmetry", "SELECT 0::BIGINT AS asymmetric, 0::BIGINT AS breaks")
+@query("g05_arc_symmetry", f"WITH RECURSIVE {G} SELECT (SELECT count(*) FROM ar a WHERE NOT EXISTS (SELECT 1 FROM ar b WHERE b.src = -a.dst AND b.dst = -a.src)) AS asymmetric, (SELECT count(*) FROM ar a JOIN sn x ON x.node = a.src JOIN sn y ON y.node = a.dst WHERE right(x.seq, {K - 1}) <> left(y.seq, {K - 1})) AS breaks")
 def arc_symmetry(spark, sf):
     _, nodes, a = benchmark_graph(spark, sf, K)
     return graph.asymmetric_arcs(a).agg(F.count(F.lit(1)).alias("asymmetric")).join(graph.overlap_breaks(nodes, a, K).agg(F.count(F.lit(1)).alias("breaks")), F.lit(True))

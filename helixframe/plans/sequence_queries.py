@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..functions import stats
-from ..functions.align import lcs_score, nw_banded, nw_score
+from ..functions.align import free_score, lcs_score, nw_banded, nw_score
 from ..functions.text import FLAG_BITS, alignment_info, chain_of, cigar_tokens, flag, same_read, tag
 from ..operators import graph, kmers, seeds
 from ..session import materialise, table
@@ -443,19 +443,35 @@ def _pairs(spark, sf):
     return b.select("item_id", F.col("seq").alias("a"), F.concat(F.substring("seq", 1, 20), F.substring("seq", 22, 1 << 30)).alias("b"))
 
 
-@query("l01_nw_score")
+def _next_pairs(spark, sf):
+    """Each whole sequence and the next item's; the last item has none, and null scores."""
+    b = sequences(spark, sf, "benchmark", "item_id")
+    return b.select("item_id", F.col("seq").alias("a")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("seq").alias("b")), "item_id", "left")
+
+
+SELF_PAIRS = f"{BENCH}, pr AS (SELECT item_id, seq AS a, substr(seq, 1, 20) || substr(seq, 22) AS b, length(seq) AS n, length(substr(seq, 1, 20) || substr(seq, 22)) AS m FROM s)"
+NEXT_PAIRS = f"{BENCH}, pr AS (SELECT x.item_id, x.seq AS a, y.seq AS b, length(x.seq) AS n, length(y.seq) AS m FROM s x LEFT JOIN s y ON y.item_id = x.item_id + 1)"
+LAST_CELL = "FROM pr LEFT JOIN dp ON dp.item_id = pr.item_id AND d = n + m"
+
+
+@query("l01_nw_score", f"WITH RECURSIVE {NEXT_PAIRS}, {Q.diagonals()} SELECT pr.item_id, p1[n + 1] AS score {LAST_CELL}")
 def nw_scores(spark, sf):
-    return _pairs(spark, sf).select("item_id", nw_score("a", "b").alias("score"), lcs_score("a", "b").alias("common"))
+    return _next_pairs(spark, sf).select("item_id", nw_score("a", "b").alias("score"))
 
 
-@query("l03_banded_score")
+@query("l03_banded_score", f"WITH RECURSIVE {SELF_PAIRS}, {Q.diagonals(band=3)} SELECT pr.item_id, p1[n + 1] AS score {LAST_CELL}")
 def banded_scores(spark, sf):
     return _pairs(spark, sf).select("item_id", nw_banded(3)("a", "b").alias("score"))
 
 
-@query("l18_match_count", f"WITH {BENCH} SELECT item_id, length(substr(seq, 1, 20) || substr(seq, 22))::INTEGER AS common FROM s")
+@query("l04_free_end_score", f"WITH RECURSIVE {NEXT_PAIRS}, {Q.diagonals(free=True)}, en AS (SELECT pr.item_id, max(greatest(CASE WHEN d >= n THEN p1[n + 1] END, CASE WHEN d BETWEEN m AND n + m THEN p1[d - m + 1] END)) AS score FROM pr JOIN dp ON dp.item_id = pr.item_id GROUP BY 1) SELECT pr.item_id, CASE WHEN b IS NOT NULL THEN score END AS score FROM pr LEFT JOIN en ON en.item_id = pr.item_id")
+def free_end_scores(spark, sf):
+    return _next_pairs(spark, sf).select("item_id", free_score("a", "b").alias("score"))
+
+
+@query("l18_match_count", f"WITH RECURSIVE {NEXT_PAIRS}, {Q.diagonals(1, 0, 0)} SELECT pr.item_id, p1[n + 1] AS common {LAST_CELL}")
 def match_count(spark, sf):
-    return _pairs(spark, sf).select("item_id", lcs_score("a", "b").alias("common"))
+    return _next_pairs(spark, sf).select("item_id", lcs_score("a", "b").alias("common"))
 
 
 @query("a13_mixture_fit")

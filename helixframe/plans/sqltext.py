@@ -79,6 +79,17 @@ def graph(table: str = "benchmark", key: str = "item_id", k: int = K) -> str:
     return ", ".join((seqs(table, key), overlaps(key, k), signed(k), links(k), unitigs(k), arcs(k)))
 
 
+def diagonals(match: int = 1, mismatch: int = -1, gap: int = -3, band: int | None = None, free: bool = False) -> str:
+    """dp: the alignment cells of pr (item_id, a, b, n, m) by anti-diagonals d, p1[i + 1] being cell (i, d - i); needs WITH RECURSIVE."""
+    low = -(1 << 28)
+    outside = "d + 1 - i < 0 OR d + 1 - i > m" + ("" if band is None else f" OR abs(2 * i - d - 1) > {band}")
+    edge = "0" if free else f"(d + 1) * {gap}"
+    equal = "substr(a, i, 1) = substr(b, d + 1 - i, 1) OR substr(a, i, 1) = 'N' OR substr(b, d + 1 - i, 1) = 'N'"
+    cell = f"CASE WHEN {outside} THEN {low} WHEN i = 0 OR i = d + 1 THEN {edge} ELSE greatest(p1[i] + {gap}, p1[i + 1] + {gap}, p2[i] + CASE WHEN {equal} THEN {match} ELSE {mismatch} END) END"
+    return f"""dp AS (SELECT item_id, 0 AS d, list_transform(range(0, n + 1), lambda i: (CASE WHEN i = 0 THEN 0 ELSE {low} END)::INTEGER) AS p1, list_transform(range(0, n + 1), lambda i: ({low})::INTEGER) AS p2 FROM pr
+      UNION ALL SELECT dp.item_id, d + 1, list_transform(range(0, n + 1), lambda i: ({cell})::INTEGER), p1 FROM dp JOIN pr ON pr.item_id = dp.item_id WHERE d < n + m)"""
+
+
 # node paths from the events table: each user's event types in order, as signed node numbers
 NODE = "(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END * CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END)::INTEGER"
 STEPS = f"st AS (SELECT user_id, {NODE} AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)"
