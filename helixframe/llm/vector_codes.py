@@ -223,4 +223,4 @@ def decode(coded: DataFrame, books: np.ndarray) -> DataFrame:
                 v = np.concatenate([book[codes[:, p]] for p, book in enumerate(sent.value)], axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v.tolist(), pa.list_(pa.int64()))], names=[*names, "v"])
 
-    return coded.mapInArrow(run, coded.schema.add("v", T.ArrayType(T.LongType())))
+    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("v", T.ArrayType(T.LongType()))]))
