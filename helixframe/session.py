@@ -31,6 +31,20 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files behind frames that :func:`materialise` wrote, once nothing will read them again; other files stay."""
+    for df in frames:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        base = re.sub(r"^\w+:/*", "/", work_dir(spark))
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if re.sub(r"^\w+:/*", "/", folder).startswith(f"{base}/"):
+                p = hadoop.Path(folder)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
