@@ -60,7 +60,7 @@ def between(chains: DataFrame, left: int, right: int) -> DataFrame:
     c = F.col("chain")
     both = chains.select(c.alias("chain"), *(["n"] if "n" in chains.columns else [])).unionByName(chains.select(reverse_chain(c).alias("chain"), *(["n"] if "n" in chains.columns else [])))
     starts = both.select("*", F.posexplode("chain").alias("p", "node")).filter(F.col("node") == left)
-    rest = starts.withColumn("rest", F.slice("chain", F.col("p") + 1, 1 << 20)).withColumn("end", F.array_position("rest", right)).filter("end > 0")
+    rest = starts.withColumn("rest", F.slice("chain", F.col("p") + 1, F.size("chain"))).withColumn("end", F.array_position("rest", right)).filter("end > 0")
     weight = F.sum("n") if "n" in chains.columns else F.count(F.lit(1))
     return rest.groupBy(F.slice("rest", F.lit(1), F.col("end").cast("int")).alias("path")).agg(weight.alias("n"))
 

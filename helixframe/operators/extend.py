@@ -1,8 +1,8 @@
 """Mapping reads onto the graph: seed extension, first and second pass.
 
 Scale: a graph of at most ``BROADCAST_BASES`` bases (counted first) is sent to every task once.  Of
-a larger one, each read's own part (what its seeds can reach within the read's length) is gathered
-by frontier joins.  The bounded best-first search runs per read on either.
+a larger one, the searches of all reads go on together by joins, one level at a time
+(:mod:`.frontier`).
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.align import GAP, MATCH, Rows, _codes, align
 from ..functions.text import alignment_info
 from ..session import materialise
+from . import frontier
 from . import seeds as seeding
-from .graph import signed_nodes
 from .markov import ORDERS
 
 VISITS = 5000
@@ -162,28 +162,6 @@ def extend_seed(graph: LocalGraph, read: str, chain: list[int], node_first: int,
     return align(read, corrected).score - (len(read) - cover), chain, node_first, end, corrected, state
 
 
-def local_parts(seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, reads: DataFrame) -> DataFrame:
-    """``rec_id, node``: signed nodes that a read's seeds can reach within its length, by frontier joins on both strands.
-
-    Every step takes a base of room at least, so the frontier runs empty by itself.
-    """
-    lengths = nodes.select(F.col("node_id"), F.col("marg_len"))
-    both = lengths.select(F.col("node_id").alias("node"), "marg_len").unionByName(lengths.select((-F.col("node_id")).alias("node"), "marg_len"))
-    steps = materialise(arcs.select("src", F.col("dst").alias("node")).distinct().join(both, "node"), "steps")
-    of_seed = seeds.select("rec_id", F.explode("chain").alias("node"))
-    start = of_seed.unionByName(of_seed.select("rec_id", (-F.col("node")).alias("node"))).distinct()
-    room = reads.select("rec_id", (F.length("seq") * 2).cast("long").alias("room"))
-    seen = materialise(start.join(room, "rec_id").select("rec_id", "node", F.col("room").alias("left")), "reached")
-    front = seen
-    while True:
-        ahead = front.filter("left > 0").join(steps, front["node"] == steps["src"]).select("rec_id", steps["node"].alias("node"), (F.col("left") - F.col("marg_len")).alias("left")).groupBy("rec_id", "node").agg(F.max("left").alias("left"))
-        front = materialise(ahead.join(seen.select("rec_id", "node", F.col("left").alias("old")), ["rec_id", "node"], "left").filter("old is null or left > old").drop("old"), "front")
-        if front.isEmpty():
-            break
-        seen = materialise(seen.unionByName(front).groupBy("rec_id", "node").agg(F.max("left").alias("left")), "reached")
-    return seen.select("rec_id", "node")
-
-
 _graphs: dict[str, LocalGraph] = {}  # the last one of this worker, by name
 
 
@@ -253,36 +231,7 @@ def align_reads(reads: DataFrame, seeds: DataFrame, nodes: DataFrame, arcs: Data
                 yield _frame([(rec, (b := _best(graph, read, seeds_, bound, visits))[0], list(b[1]), *b[2:], len(seeds_)) for rec, read, seeds_ in pdf[["rec_id", "seq", "seeds"]].itertuples(index=False)])
 
         return rows.repartition(reads.sparkSession.sparkContext.defaultParallelism * 4, "rec_id").mapInPandas(run, _ALIGNED)
-    return _align_parts(rows, reads, seeds, nodes, arcs, k, markov, bound, visits)
-
-
-def _align_parts(rows: DataFrame, reads: DataFrame, seeds: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, markov: DataFrame | None, bound: bool, visits: int) -> DataFrame:
-    """The same over each read's own part of a graph too large to broadcast."""
-    part = materialise(local_parts(seeds, nodes, arcs, reads), "parts")
-    texts = part.join(signed_nodes(nodes), "node").groupBy("rec_id").agg(F.collect_list(F.struct("node", "seq")).alias("nodes"))
-    edges = part.withColumnRenamed("node", "src").join(arcs.select("src", "dst").distinct(), "src").join(part.withColumnRenamed("node", "dst"), ["rec_id", "dst"]).groupBy("rec_id").agg(F.collect_list(F.struct("src", "dst")).alias("arcs"))
-    rows = rows.join(texts, "rec_id").join(edges, "rec_id", "left")
-    if markov is not None:
-        last = F.element_at("chain", -1)
-        known = markov.withColumn("last", last).groupBy("last", "chain").agg(F.collect_list(F.when(F.col("accepted"), F.col("next_node"))).alias("nexts"))
-        rows = rows.join(part.join(known, part["node"] == known["last"]).groupBy("rec_id").agg(F.collect_list(F.struct("chain", "nexts")).alias("markov")), "rec_id", "left")
-    else:
-        rows = rows.withColumn("markov", F.lit(None).cast("array<struct<chain:array<int>,nexts:array<int>>>"))
-    use_markov = markov is not None
-
-    def run(source):
-        for pdf in source:
-            out = []
-            for rec, read, seeds_, nodes_, arcs_, markov_ in pdf[["rec_id", "seq", "seeds", "nodes", "arcs", "markov"]].itertuples(index=False):
-                right: dict[int, list[int]] = {}
-                for a in arcs_ if arcs_ is not None else ():
-                    right.setdefault(int(a["src"]), []).append(int(a["dst"]))
-                table = {tuple(map(int, m["chain"])): set(map(int, m["nexts"])) for m in (markov_ if markov_ is not None else ())} if use_markov else None
-                best = _best(LocalGraph(k, {int(n["node"]): n["seq"] for n in nodes_}, right, table), read, seeds_, bound, visits)
-                out.append((rec, best[0], list(best[1]), *best[2:], len(seeds_)))
-            yield _frame(out)
-
-    return rows.mapInPandas(run, _ALIGNED)
+    return frontier.extend_seeds(reads, seeds, nodes, arcs, k, markov, bound, visits)
 
 
 def kmer_seeds(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..session import materialise, numbered
+from ..session import discard, materialise, numbered
 
 
 def signed_kmers(overlaps: DataFrame) -> DataFrame:
@@ -150,29 +150,30 @@ def neighbourhood(arcs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def reachable(arcs: DataFrame, lengths: DataFrame, sources: DataFrame, max_len: int, rounds: int = 1000, backward: bool = False) -> DataFrame:
+def reachable(arcs: DataFrame, lengths: DataFrame, sources: DataFrame, max_len: int, backward: bool = False) -> DataFrame:
     """``source, node, dist``: shortest lengths up to ``max_len`` along arcs (G06, and backward G08).
 
     ``lengths`` has ``node, marg_len``; a step costs the length of the node it enters.  A frontier
-    join per round keeps the least distance; it ends when nothing improves.  A source reaches
-    itself again only through a loop.
+    join per round keeps the least distance; as every step costs a base at least, it ends by itself.
+    A source reaches itself again only through a loop.
     """
     steps = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if backward else arcs.select("src", "dst")
     priced = steps.distinct().join(lengths.withColumnRenamed("node", "dst"), "dst").select("src", "dst", F.col("marg_len").cast("long").alias("cost"))
     priced = materialise(priced, "priced")
     front = sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("dist"))
     best = None
-    for _ in range(rounds):
+    while True:
         reached = front.join(priced, front["node"] == priced["src"]).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("cost")).alias("dist")).filter(F.col("dist") <= max_len).groupBy("source", "node").agg(F.min("dist").alias("dist"))
         if best is None:
-            front = materialise(reached, "front")
-            best = front
-        else:
-            better = reached.join(best.withColumnRenamed("dist", "old"), ["source", "node"], "left").filter("old is null or dist < old").drop("old")
-            front = materialise(better, "front")
-            if front.isEmpty():
-                break
-            best = materialise(best.join(front.select("source", "node"), ["source", "node"], "left_anti").unionByName(front), "best")
+            front = best = materialise(reached, "front")
+            continue
+        better = reached.join(best.withColumnRenamed("dist", "old"), ["source", "node"], "left").filter("old is null or dist < old").drop("old")
+        step = materialise(better, "front")
+        if step.isEmpty():
+            break
+        new = materialise(best.join(step.select("source", "node"), ["source", "node"], "left_anti").unionByName(step), "best")
+        discard(best, front)
+        front, best = step, new
     return best
 
 

@@ -51,7 +51,7 @@ def transitions(chains: DataFrame, orders=ORDERS, both_strands: bool = True, bra
 def with_lengths(table: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Transitions with the mean length of their paths (all paths of equal nodes have one length)."""
     rows = table.withColumn("row__", F.xxhash64("chain", "next_node", "ord"))
-    inner = rows.select("row__", "ord", "chain", "next_node", F.explode(F.slice("chain", 2, 1 << 20)).alias("n")).withColumn("node_id", F.abs("n").cast("int")).join(nodes.select("node_id", "marg_len"), "node_id", "left")
+    inner = rows.select("row__", "ord", "chain", "next_node", F.explode(F.slice("chain", F.lit(2), F.size("chain"))).alias("n")).withColumn("node_id", F.abs("n").cast("int")).join(nodes.select("node_id", "marg_len"), "node_id", "left")
     sums = inner.groupBy("ord", "chain", "next_node").agg((F.sum("marg_len") + k + 1).cast("double").alias("avg_len"))
     return table.join(sums, ["ord", "chain", "next_node"], "left")
 

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .kmers import canonical_rows, kmer_rows
+from . import suffixes
+from .kmers import canonical_rows
 
 MEM_LEAST = 16
 MEM_ENOUGH = 100
 KEPT_SEEDS = 10
 #: Reads of so many bases or fewer are broadcast to the index, about 30 bytes a base.
 BROADCAST_BASES = 1_000_000
+#: For exact matches, about a kilobyte a base.
+BROADCAST_MATCH_BASES = 100_000
 
 
 def kmer_index(nodes: DataFrame, k: int) -> DataFrame:
@@ -102,18 +105,15 @@ def located(points: DataFrame, slots: DataFrame, width: int = 4096) -> DataFrame
 def exact_matches(reads: DataFrame, nodes: DataFrame, least: int = MEM_LEAST, key: str = "rec_id", both_strands: bool = True) -> DataFrame:
     """``key, node, node_first, read_first, length``: maximal exact matches of ``least`` bases or more.
 
-    Matching seeds of ``least`` bases are joined and runs on one diagonal are islands; an island is
-    maximal on both sides by construction.
+    Windows of ``least`` bases (at most 21, longer matches are filtered) are joined as codes where a match begins and where one ends,
+    so that only true matches are made.  Reads of few bases (counted first) are broadcast.
     """
-    text = nodes.select(F.col("node_id").alias("node"), "seq")
-    if both_strands:
-        text = text.unionByName(nodes.select((-F.col("node_id")).alias("node"), S.revcomp(F.col("seq")).alias("seq")))
-    a = kmer_rows(reads, least, [key]).select(key, F.col("pos").alias("rpos"), "kmer")
-    b = kmer_rows(text, least, ["node"]).select("node", F.col("pos").alias("npos"), "kmer")
-    hits = a.join(b, "kmer").select(key, "node", "rpos", "npos", (F.col("npos") - F.col("rpos")).alias("diagonal"))
-    w = Window.partitionBy(key, "node", "diagonal").orderBy("rpos")
-    run = hits.withColumn("run", F.col("rpos") - F.row_number().over(w))
-    return run.groupBy(key, "node", "diagonal", "run").agg(F.min("npos").alias("node_first"), F.min("rpos").alias("read_first"), (F.count(F.lit(1)) + (least - 1)).alias("length")).drop("diagonal", "run")
+    window = min(least, suffixes.LETTERS)
+    held = suffixes.places(nodes.select(F.col("node_id").alias("node"), "seq"), window, "node")
+    lengths = nodes.select(F.col("node_id").alias("node"), F.length("seq").alias("length"))
+    few = (reads.agg(F.sum(F.length("seq"))).first()[0] or 0) <= BROADCAST_MATCH_BASES
+    found = suffixes.matches(reads, held, lengths, window, key, both_strands, few)
+    return found.filter(F.col("length") >= least) if least > window else found
 
 
 def adaptive_matches(matches: DataFrame, k: int, key: str = "rec_id", enough: int = MEM_ENOUGH) -> DataFrame:

@@ -239,18 +239,22 @@ def index_places(index: DataFrame, least: int) -> DataFrame:
     return index.filter(~bad).select("node", "pos", code.alias("code"), beside(F.col("prev")).alias("prev"), beside(after).alias("next"))
 
 
-def _met(asked: DataFrame, held: DataFrame, side: str, key: list[str], hot: DataFrame | None) -> DataFrame:
-    """Pairs of equal windows whose letters at ``side`` differ: the key holds the letter that the other must have, so no pair is made in vain."""
+def _met(asked: DataFrame, held: DataFrame, key: list[str], hot: DataFrame | None, few: bool) -> DataFrame:
+    """``key, node, rpos, npos, last``: equal windows whose letters before (``last`` 0) or after them (1) differ.
+
+    The join key holds the letter that the other window must have, so no pair is made in vain.
+    """
     four = F.array(*(F.lit(v) for v in (END, 1, 2, 3, 5)))
-    others = F.filter(four, lambda v: (v == END) | (v != F.col(side)))
-    a = asked.select(*key, F.col("pos").alias("rpos"), "code", F.explode(others).alias("beside"))
-    b = held.select("node", F.col("pos").alias("npos"), "code", F.col(side).alias("beside"))
-    on = ["code", "beside"]
+    sides = lambda value: F.explode(F.array(*(F.struct(F.lit(n).alias("last"), value(F.col(c)).alias("beside")) for n, c in enumerate(("prev", "next"))))).alias("x")
+    a = asked.select(*key, F.col("pos").alias("rpos"), "code", sides(lambda own: F.filter(four, lambda v: (v == END) | (v != own))))
+    a = a.select(*key, "rpos", "code", "x.last", F.explode("x.beside").alias("beside"))
+    b = held.select("node", F.col("pos").alias("npos"), "code", sides(lambda own: own)).select("node", "npos", "code", "x.last", "x.beside")
+    on = ["code", "last", "beside"]
     if hot is not None:
         a = a.join(hot, "code", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))).drop("splits")
         b = b.join(hot, "code", "left").withColumn("salt", F.pmod(F.xxhash64("node", "npos"), F.coalesce("splits", F.lit(1))).cast("int")).drop("splits")
         on = [*on, "salt"]
-    return a.join(b, on).select(*key, "node", "rpos", "npos")
+    return (F.broadcast(a) if few else a).join(b, on).select(*key, "node", "rpos", "npos", "last")
 
 
 def pair_ends(asked: DataFrame, held: DataFrame, least: int, key: list[str], few: bool = False) -> DataFrame:
@@ -261,13 +265,12 @@ def pair_ends(asked: DataFrame, held: DataFrame, least: int, key: list[str], few
     tasks by salt.  ``few``: the asked windows are few enough to be broadcast.
     """
     hot = None
-    if few:
-        asked = F.broadcast(asked)
-    else:
-        hot = materialise(held.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("code", F.ceil(F.col("n") / HOT).cast("int").alias("splits")), "hot")
+    if not few:
+        held = materialise(held, "windows")
+        counted = held.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+        hot = materialise(counted.select("code", F.ceil(F.col("n") / HOT).cast("int").alias("splits")), "hot")
         hot = None if hot.isEmpty() else hot
-    side = lambda c, last: _met(asked, held, c, key, hot).select(*key, "node", "rpos", "npos", F.lit(last).alias("last"))
-    both = side("prev", 0).unionByName(side("next", 1))
+    both = _met(asked, held, key, hot, few)
     w = Window.partitionBy(*key, "node", F.col("npos") - F.col("rpos")).orderBy("rpos", "last")
     runs = both.withColumn("end", F.lead("rpos").over(w)).filter("last = 0")
     return runs.select(*key, "node", F.col("npos").alias("node_first"), F.col("rpos").alias("read_first"), (F.col("end") - F.col("rpos") + least).cast("long").alias("length"))

@@ -167,7 +167,7 @@ def save_load(spark, sf):
 def mutated_reads(spark, sf):
     """Reads of 120 bases from the benchmark's sequences, every 37th base turned."""
     s = sequences(spark, sf, "benchmark", "item_id")
-    cut = s.select("item_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 60, F.lit(60))).alias("at")).select((F.col("item_id") * 1000 + F.col("at") / 60).cast("long").alias("rec_id"), F.substring(F.col("seq"), F.col("at") + 1, F.lit(120)).alias("perfect"))
+    cut = s.select("item_id", "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 60, F.lit(0)), F.lit(60))).alias("at")).select((F.col("item_id") * 1000 + F.col("at") / 60).cast("long").alias("rec_id"), F.substring(F.col("seq"), F.col("at") + 1, F.lit(120)).alias("perfect"))
     n = F.length("perfect")
     base = lambda i: F.col("perfect").substr(i, F.lit(1))
     turned = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i % 37 == 0, F.translate(base(i), "ACGT", "CGTA")).otherwise(base(i)))

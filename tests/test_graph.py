@@ -235,16 +235,6 @@ def test_streaming_counts(spark, tmp_path):
     assert {r["canon"]: r["n"] for r in spark.sql("select * from live_kmers").collect()} == want
 
 
-def test_local_parts_go_on_while_room_is_left(spark):
-    """A chain of 70 nodes of one k-mer each, all within the read's room."""
-    nodes = spark.createDataFrame([(i, 1) for i in range(1, 71)], "node_id int, marg_len int")
-    arcs = spark.createDataFrame([(i, i + 1) for i in range(1, 70)], "src int, dst int")
-    seeds = spark.createDataFrame([(1, [1])], "rec_id long, chain array<int>")
-    reads = spark.createDataFrame([(1, "A" * 80)], "rec_id long, seq string")
-    found = extend.local_parts(seeds, nodes, arcs, reads)
-    assert {r["node"] for r in found.collect()} == {-1, *range(1, 71)}
-
-
 def test_short_match_rescues_a_read(spark):
     """No 21-mer of the read is in the graph; a match of 18 bases leads to it all the same."""
     k, g = 21, genome(400, 61)
@@ -270,7 +260,7 @@ def test_uncovered_bases_lower_the_score(spark):
     assert r["score"] == len(read) - 10
 
 
-def test_large_graphs_are_gathered_part_by_part(spark, monkeypatch):
+def test_large_graphs_are_searched_level_by_level(spark, monkeypatch):
     g = genome(300, 64) + genome(60, 65) + genome(200, 66)
     nodes, arcs = jobs.build_graph(table(spark, g, genome(200, 67) + genome(60, 65) + genome(100, 68)), K)
     reads = []
