@@ -16,16 +16,19 @@ from pyspark.sql import types as T
 from ..functions import codes
 from ..functions import seq as S
 
+#: About what Spark reads in one task; files of less aren't split.
+SPLIT_BYTES = 128 << 20
 #: Codes a task adds up before it sends them on.
 HELD_CODES = 2_000_000
 
 
 def spread(reads: DataFrame) -> DataFrame:
-    """A table of fewer partitions than cores, such as one small file, dealt over all of them."""
+    """A table of fewer files than cores, none of them large, dealt over all cores; by what the plan knows, nothing is run."""
     if reads.isStreaming:
         return reads
-    cores = reads.sparkSession.sparkContext.defaultParallelism
-    return reads.repartition(cores) if reads.rdd.getNumPartitions() < cores else reads
+    cores, files = reads.sparkSession.sparkContext.defaultParallelism, reads.inputFiles()
+    size = int(str(reads._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return reads.repartition(cores) if files and len(files) < cores and size < cores * SPLIT_BYTES else reads
 
 
 def _expanded(reads: DataFrame, keys: list[str], seq: str, made: list[T.StructField], run) -> DataFrame:

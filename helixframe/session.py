@@ -6,10 +6,8 @@ import re
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -56,21 +54,13 @@ def numbered(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([*df.schema.fields, T.StructField("part__", T.IntegerType()), T.StructField("rank__", T.LongType())])
-
-    def count(source):
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        for b in source:
-            ranks = pa.array(range(at + 1, at + 1 + b.num_rows), pa.int64())
-            at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), ranks], names=[*b.schema.names, "part__", "rank__"])
-
-    ranked = materialise(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(count, schema), "ranked")
+    ranked = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at__", F.monotonically_increasing_id())
+    ranked = materialise(ranked, "ranked")  # at__ is 2^33 * partition + row of the partition
+    part = F.shiftright("at__", 33)
     offsets, total = [], 0
-    for r in ranked.groupBy("part__").agg(F.count(F.lit(1)).alias("n")).orderBy("part__").collect():
+    for r in ranked.groupBy(part.alias("part__")).agg(F.count(F.lit(1)).alias("n")).orderBy("part__").collect():
         offsets.append((r["part__"], total))
         total += r["n"]
-    before = F.broadcast(spark.createDataFrame(offsets, "part__ int, before__ long"))  # one row per partition
-    return ranked.join(before, "part__").withColumn(name, F.col("rank__") + F.col("before__")).drop("part__", "rank__", "before__")
+    before = F.broadcast(spark.createDataFrame(offsets, "part__ long, before__ long"))  # one row per partition
+    number = F.col("at__").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before__") + 1
+    return ranked.withColumn("part__", part).join(before, "part__").withColumn(name, number).drop("part__", "at__", "before__")

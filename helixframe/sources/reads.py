@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FLAG_BITS, flag
-from ..session import numbered
+from .records import scan
 
 TYPES = {".fasta": "fasta", ".fastq": "fastq", ".sam": "sam", ".raw": "raw"}
 
@@ -23,48 +23,29 @@ def file_type(path: str) -> tuple[str, bool]:
     return kind, zipped
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line (from 0): numbered through per-partition counts, in file order."""
-    raw = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    return numbered(raw, ["at"], "line").select("value", (F.col("line") - 1).alias("line"))
-
-
 def read_fasta(spark: SparkSession, path: str, lib_id: int = 0) -> DataFrame:
     """Records start at a '>' that begins a line; all lines up to the next one are joined; what precedes the first is skipped."""
-    raw = spark.read.option("lineSep", "\n>").text(path).withColumns({"file__": F.input_file_name(), "at": F.monotonically_increasing_id()})
-    pieces = numbered(raw, ["at"], "rec_id")
-    first = F.broadcast(pieces.groupBy("file__").agg(F.min("rec_id").alias("first__")))  # a row per file
-    marked = pieces.join(first, "file__").withColumn("lead__", F.col("rec_id") == F.col("first__"))
-    kept = marked.filter(~F.col("lead__") | F.col("value").startswith(">"))
-    body = F.when(F.col("lead__"), F.substring(F.col("value"), 2, 1 << 30)).otherwise(F.col("value"))
-    lines = F.split(body, r"\r?\n")
-    joined = F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.trim), "")
-    return kept.select(
-        F.lit(lib_id).alias("lib_id"), (F.col("rec_id") - 1).alias("rec_id"), F.concat(F.lit(">"), lines[0], F.lit("\n")).alias("pre"),
-        F.regexp_replace(joined, r"\r", "").alias("read"), F.lit("\n").alias("post"), F.lit(None).cast("string").alias("qual"),
-    )
+    r = scan(spark, path, "fasta")
+    return r.select(F.lit(lib_id).alias("lib_id"), "rec_id", F.concat("head", F.lit("\n")).alias("pre"), "read", F.lit("\n").alias("post"), F.lit(None).cast("string").alias("qual"))
 
 
 def read_fastq(spark: SparkSession, path: str, lib_id: int = 0) -> DataFrame:
     """Four-line records; a header that doesn't start with '@' is an error; records with an empty read are dropped."""
-    lines = _lines(spark, path)
-    rec, part = F.floor(F.col("line") / 4).alias("rec_id"), (F.col("line") % 4).alias("k")
-    one = lambda i: F.max(F.when(F.col("k") == i, F.col("value")))
-    grouped = lines.select(rec, part, "value").groupBy("rec_id").agg(one(0).alias("head"), one(1).alias("read"), one(2).alias("plus"), one(3).alias("qual"))
-    checked = grouped.filter("head <> ''").withColumn("head", F.when(F.col("head").startswith("@"), F.col("head")).otherwise(F.raise_error(F.concat(F.lit("FASTQ header must start with @: "), "head"))))
-    return checked.filter("read <> ''").select(F.lit(lib_id).alias("lib_id"), "rec_id", F.concat("head", F.lit("\n")).alias("pre"), "read", F.concat(F.lit("\n"), "plus", F.lit("\n"), "qual", F.lit("\n")).alias("post"), "qual")
+    r = scan(spark, path, "fastq").filter("head <> '' AND read <> ''")
+    return r.select(F.lit(lib_id).alias("lib_id"), "rec_id", F.concat("head", F.lit("\n")).alias("pre"), "read", F.concat(F.lit("\n"), "plus", F.lit("\n"), "qual", F.lit("\n")).alias("post"), "qual")
 
 
 def read_raw(spark: SparkSession, path: str, lib_id: int = 0) -> DataFrame:
     """One read per line; empty lines are dropped."""
-    return _lines(spark, path).filter("value <> ''").select(F.lit(lib_id).alias("lib_id"), F.col("line").alias("rec_id"), F.lit("").alias("pre"), F.col("value").alias("read"), F.lit("\n").alias("post"), F.lit(None).cast("string").alias("qual"))
+    r = scan(spark, path, "raw").filter("head <> ''")
+    return r.select(F.lit(lib_id).alias("lib_id"), "rec_id", F.lit("").alias("pre"), F.col("head").alias("read"), F.lit("\n").alias("post"), F.lit(None).cast("string").alias("qual"))
 
 
 def read_sam_reads(spark: SparkSession, path: str, lib_id: int = 0) -> DataFrame:
     """The SEQ column of each alignment row, with what precedes and follows it kept for writing it again."""
-    rows = _lines(spark, path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
-    f = F.split("value", "\t")
-    return rows.select(F.lit(lib_id).alias("lib_id"), F.col("line").alias("rec_id"), F.concat(F.array_join(F.slice(f, 1, 9), "\t"), F.lit("\t")).alias("pre"), f[9].alias("read"), F.concat(F.lit("\t"), F.array_join(F.slice(f, 11, 1000), "\t"), F.lit("\n")).alias("post"), f[10].alias("qual"))
+    rows = scan(spark, path, "sam").filter(~F.col("head").startswith("@") & (F.col("head") != ""))
+    f = F.split("head", "\t")
+    return rows.select(F.lit(lib_id).alias("lib_id"), "rec_id", F.concat(F.array_join(F.slice(f, 1, 9), "\t"), F.lit("\t")).alias("pre"), f[9].alias("read"), F.concat(F.lit("\t"), F.array_join(F.slice(f, 11, 1000), "\t"), F.lit("\n")).alias("post"), f[10].alias("qual"))
 
 
 READERS = {"fasta": read_fasta, "fastq": read_fastq, "raw": read_raw, "sam": read_sam_reads}

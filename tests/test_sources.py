@@ -94,3 +94,66 @@ def test_small_sinks(spark, tmp_path):
     assert sinks.load_markov(spark, str(tmp_path / "mk"), 4, 6).count() == 1
     with pytest.raises(ValueError):
         sinks.load_markov(spark, str(tmp_path / "mk"), 4, 7)
+
+
+def records_of(r, n):
+    """A FASTQ and a FASTA text with long and short records, quality lines that begin with any sign."""
+    fastq, fasta, reads = "", "", []
+    for i in range(n):
+        size = r.choice([1, 3, 20, 90, 400])
+        read = "".join(r.choices("ACGTN", k=size))
+        quality = "".join(r.choices("@+>I#A", k=size))
+        fastq += f"@q{i} x\n{read}\n+{r.choice(['', 'q'])}\n{quality}\n"
+        cut = r.choice([7, 60, 1000])
+        fasta += f">q{i} x\n" + "".join(read[a : a + cut] + "\n" for a in range(0, size, cut))
+        reads.append((i, f"q{i} x", read, quality))
+    return fastq, fasta, reads
+
+
+@pytest.mark.parametrize("split", [97, 256, 1000, 100_000])
+def test_any_split_gives_the_same_records(spark, tmp_path, split):
+    import random
+
+    fastq, fasta, want = records_of(random.Random(split), 60)
+    (tmp_path / "a.fastq").write_text(fastq)
+    (tmp_path / "a.fasta").write_text("junk\n" + fasta)
+    (tmp_path / "a.raw").write_text("".join(x + "\n" for _, _, x, _ in want))
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = [tuple(x) for x in R.read_fastq(spark, str(tmp_path / "a.fastq")).orderBy("rec_id").select("rec_id", "pre", "read", "qual").collect()]
+        assert got == [(i, f"@{h}\n", x, q) for i, h, x, q in want]
+        got = [tuple(x) for x in R.read_fasta(spark, str(tmp_path / "a.fasta")).orderBy("rec_id").select("rec_id", "pre", "read").collect()]
+        assert got == [(i, f">{h}\n", x) for i, h, x, _ in want]
+        assert rows(R.read_raw(spark, str(tmp_path / "a.raw"))) == [(i, x) for i, _, x, _ in want]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_a_folder_is_read_by_file_name(spark, tmp_path):
+    (tmp_path / "d.fasta").mkdir()
+    for i, name in enumerate(("b", "a", "c")):
+        (tmp_path / "d.fasta" / name).write_text("".join(f">{name}{j}\n{'ACGT' * (50 if i == 2 else 1)}\n" for j in range(3)))
+    got = R.read_fasta(spark, str(tmp_path / "d.fasta")).orderBy("rec_id").collect()
+    assert [r["rec_id"] for r in got] == list(range(9))
+    assert [r["pre"] for r in got] == [f">{n}{j}\n" for n in "abc" for j in range(3)]
+
+
+def test_no_line_is_shuffled(spark, files):
+    """The scan itself has no exchange; the one of the few lines between splits has been written before."""
+    plan = R.read_fastq(spark, files["fastq"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+
+
+def test_empty_files(spark, tmp_path):
+    for kind in ("fasta", "fastq", "raw", "sam"):
+        (tmp_path / f"e.{kind}").write_text("")
+        assert R.read_library(spark, str(tmp_path / f"e.{kind}")).collect() == []
+    (tmp_path / "n.fasta").write_text("no record\nat all\n")
+    assert R.read_fasta(spark, str(tmp_path / "n.fasta")).collect() == []
+    (tmp_path / "h.fasta").write_text(">only a header\n>x\n")
+    assert rows(R.read_fasta(spark, str(tmp_path / "h.fasta"))) == [(0, ""), (1, "")]
+    (tmp_path / "c.fastq").write_text("@a\nAC\n+\nII\n@b\nGG\n")
+    assert rows(R.read_fastq(spark, str(tmp_path / "c.fastq"))) == [(0, "AC"), (1, "GG")]
