@@ -92,3 +92,54 @@ def substrings(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray
             text = np.ascontiguousarray(cut[at])
             offsets = np.arange(len(at) + 1, dtype=np.int32) * np.int32(k)
             yield row, at - bounds[row], pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(text))
+
+
+#: Bases of a super-k-mer at most: two longs.
+MOST_SUPER = 64
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every window of ``width`` values, by doubling."""
+    size, out, done = 1, None, 0
+    while True:
+        if width & size:
+            n = len(values) - done
+            out = values if out is None else np.minimum(out[:n], values[done : done + len(out[:n])])
+            done += size
+            if done == width:
+                return out
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+
+
+def mixed(code: np.ndarray) -> np.ndarray:
+    """Codes in an order of their own, so that runs of one base aren't the least; 32 bits."""
+    x = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+
+
+def super_kmers(texts: pa.Array, k: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Minimizer, bases 0 to 31 and 32 to 63 as codes, and number of k-mers of each run of valid k-mers with one minimizer.
+
+    A k-mer's minimizer is the least of its m-mers, each taken from whichever strand is less, so both
+    strands of a k-mer have the same.
+    """
+    letters, bounds = letters_of(texts)
+    for row, at in valid_starts(letters, bounds, k):
+        if not len(at):
+            continue
+        low = at[0]
+        bases = _BASE[letters[low : at[-1] + k]] & 3
+        forward, reverse = rolled(bases, m)
+        least = _least(mixed(np.minimum(forward, reverse)), k - m + 1)[at - low]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        new |= (np.arange(len(at)) - first) % (MOST_SUPER - k + 1) == 0
+        starts = np.flatnonzero(new)
+        count = np.diff(np.append(starts, len(at)))
+        packed = rolled(np.concatenate([bases, np.zeros(MOST_SUPER + 32, bases.dtype)]), 32)[0]
+        size, place = count + k - 1, at[starts] - low
+        kept = lambda code, n: np.where(n >= 32, code, code & ((np.uint64(1) << (2 * np.clip(n, 0, 31)).astype(np.uint64)) - np.uint64(1)))
+        yield least[starts].view(np.int64), kept(packed[place], size).view(np.int64), kept(packed[place + 32], size - 32).view(np.int64), count

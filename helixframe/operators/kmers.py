@@ -1,7 +1,8 @@
 """k-mer tables.
 
-k-mers of up to 31 bases are counted as 2-bit codes, worked out by batches; a batch's repeats are
-added up before they leave it, then partial and final aggregation follow.  Letters are restored
+k-mers of up to 31 bases are 2-bit codes.  Counts alone are taken by minimizer: runs of k-mers with one minimizer are
+shuffled as packed bases and counted where they arrive.  Counts with neighbour bits are worked out by
+batches; a batch's repeats are added up before they leave it, then partial and final aggregation follow.  Letters are restored
 only for the rows of a result that asks for them.
 """
 
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from ..functions import codes
 from ..functions import seq as S
 
+#: Bases of a minimizer.
+MINIMIZER = 11
 #: About what Spark reads in one task; files of less aren't split.
 SPLIT_BYTES = 128 << 20
 #: Codes a task adds up before it sends them on.
@@ -83,6 +86,61 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64)), pa.array(bits)], names=["code", "n", "bf"])
 
 
+def _super_batch(held: list) -> pa.RecordBatch:
+    """Equal super-k-mers added up."""
+    least, low, high, count = (np.concatenate([h[i] for h in held]) for i in range(4))
+    order = np.lexsort((count, high, low, least))
+    columns = [c[order] for c in (least, low, high, count)]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    starts = np.flatnonzero(new)
+    times = np.diff(np.append(starts, len(order)))
+    return pa.RecordBatch.from_arrays([*(pa.array(c[starts].astype(np.int64)) for c in columns[:3]), pa.array(columns[3][starts].astype(np.int32)), pa.array(times.astype(np.int64))], names=["minimizer", "low", "high", "kmers", "times"])
+
+
+def super_kmer_rows(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """``minimizer, low, high, kmers, times``: runs of k-mers with one minimizer as up to 64 bases in two longs; a task's repeats added up."""
+
+    def run(source):
+        held, size = [], 0
+        for b in source:
+            for found in codes.super_kmers(b.column(0), k, min(MINIMIZER, k)):
+                held.append(found)
+                size += len(found[0])
+                if size >= HELD_CODES // 4:
+                    yield _super_batch(held)
+                    held, size = [], 0
+        if size:
+            yield _super_batch(held)
+
+    return spread(reads.select(seq)).mapInArrow(run, "minimizer long, low long, high long, kmers int, times long")
+
+
+def _turned_code(df: DataFrame, code: str, k: int, out: str) -> DataFrame:
+    """``df`` with the reverse complement of a code: pairs of bits turned round by halves, then complemented."""
+    df = df.withColumn(out, F.bitwise_not(code))
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        part = F.lit(mask)
+        df = df.withColumn(out, F.shiftrightunsigned(out, shift).bitwiseAND(part).bitwiseOR(F.shiftleft(F.col(out).bitwiseAND(part), shift)))
+    return df.withColumn(out, F.shiftrightunsigned(out, 64 - 2 * k))
+
+
+def counted_codes(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """``code, n`` of all k-mers (k up to 31), by minimizers.
+
+    Super-k-mers are dealt out by minimizer, a fraction of their k-mers' bytes; both strands of a
+    k-mer have one minimizer, so every k-mer is counted where its super-k-mers are, by Spark's own
+    aggregation, without another shuffle.
+    """
+    n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = super_kmer_rows(reads, k, seq).repartition(n, "minimizer")
+    each = dealt.select("minimizer", "low", "high", "times", F.explode(F.sequence(F.lit(0), F.col("kmers") - 1)).alias("i"))
+    low = F.expr("CASE WHEN i = 0 THEN low WHEN i < 32 THEN shiftrightunsigned(low, 2 * i) | shiftleft(high, 64 - 2 * i) ELSE shiftrightunsigned(high, 2 * i - 64) END")
+    each = each.select("minimizer", "times", low.bitwiseAND(F.lit((1 << 2 * k) - 1)).alias("forward"))
+    both = _turned_code(each, "forward", k, "reverse")
+    return both.groupBy("minimizer", F.least("forward", "reverse").alias("code")).agg(F.sum("times").alias("n")).select("code", "n")
+
+
 def _code_table(reads: DataFrame, k: int, seq: str, masks: bool) -> DataFrame:
     """``code, n, bf``: counts, and with ``masks`` the neighbour bits, of canonical codes."""
 
@@ -108,7 +166,7 @@ def kmer_counts(reads: DataFrame, k: int, least: int = 1, seq: str = "seq") -> D
     if k > codes.MOST_K:
         table = kmer_rows(reads, k, seq=seq).groupBy(S.canonical(F.col("kmer")).alias("canon")).agg(F.count(F.lit(1)).alias("n"))
         return table.filter(F.col("n") >= least) if least > 1 else table
-    return _code_table(reads, k, seq, False).filter(F.col("n") >= least).select(S.unpack(F.col("code"), k).alias("canon"), "n")
+    return counted_codes(reads, k, seq).filter(F.col("n") >= least).select(S.unpack(F.col("code"), k).alias("canon"), "n")
 
 
 def kmer_totals(table: DataFrame) -> DataFrame:

@@ -272,3 +272,21 @@ def test_large_graphs_are_searched_level_by_level(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(extend, "BROADCAST_BASES", 1)
     assert rows() == whole
+
+
+@pytest.mark.parametrize("k", [3, 9, 11, 12, 21, 31])
+def test_counts_by_minimizer(spark, k):
+    """Super-k-mers give the same counts as k-mers one by one: repeats, both strands, other letters, short and empty reads."""
+    r = random.Random(k)
+    seqs = [genome(r.randrange(0, 400), i) for i in range(12)] + ["A" * 300, "AC" * 90, None, "", "N" * 40, "ACGTN" * 30, genome(200, 3) + "N" + genome(70, 4)]
+    seqs += [turn(s) for s in seqs[:4]] + seqs[:3]
+    df = spark.createDataFrame(list(enumerate(seqs)), "rec_id long, seq string")
+    one = {(x["code"], x["n"]) for x in kmers._code_table(df, k, "seq", False).select("code", "n").collect()}
+    got = kmers.counted_codes(df, k)
+    assert {(x["code"], x["n"]) for x in got.collect()} == one and got.count() == len(one)
+    assert sum(n for _, n in one) == sum(set(s[i : i + k]) <= set("ACGT") for s in seqs if s for i in range(len(s) - k + 1))
+
+
+def test_one_exchange_counts_kmers(spark):
+    plan = kmers.counted_codes(table(spark, genome(300)), 21)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(minimizer" in plan
