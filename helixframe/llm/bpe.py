@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .common import clash_free
+
 LONG_WORD = 256
 CACHE_ITEMS = 500_000
 
@@ -244,7 +246,8 @@ def encode_decode(df: DataFrame, text_column: str, vocabulary: str, ids: str = "
 
 def encode(df: DataFrame, text_column: str, vocabulary: str, ids: str = "ids") -> DataFrame:
     """``df`` with token ids only."""
-    return encode_decode(df, text_column, vocabulary, ids, "_decoded").drop("_decoded")
+    decoded = clash_free(df) + "decoded"
+    return encode_decode(df, text_column, vocabulary, ids, decoded).drop(decoded)
 
 
 def decode(df: DataFrame, ids_column: str, vocabulary: str, text: str = "decoded") -> DataFrame:

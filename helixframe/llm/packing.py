@@ -262,7 +262,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("do
 
     ``rows`` should be cheap to read again (a stored table).  Ties and repeated rows each get a
     place; rows whose length is null or out of range raise an error; an empty table stays empty.
+    Input columns ``sequence_id`` and ``offset`` are replaced; the keys and the length have other names.
     """
+    made = ("sequence_id", "offset")
+    if any(c.lower() in made for c in (*keys, length_column)):
+        raise ValueError(f"a key or the length can't be named {' or '.join(made)}")
     spark = rows.sparkSession
     p = clash_free(rows)
     cells = max(1, -(-rows.count() // ROWS_PER_CELL))
@@ -290,7 +294,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("do
         sequence += number
     assert used == histogram, "every piece has one place"
     plan = spark.sparkContext.broadcast(dict(slots))  # bounded by the capacity, not by the data
-    names = rows.columns
+    kept = [f for f in rows.schema.fields if f.name.lower() not in made]
+    names = [f.name for f in kept]
 
     def place(source):
         slots = plan.value
@@ -309,7 +314,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("do
     order = Window.partitionBy(length_column, p + "cell").orderBy(*keys)
     ranked = held.withColumn(p + "at", F.row_number().over(order)).join(before, (F.col(length_column) == F.col(p + "length")) & (F.col(p + "cell") == F.col(p + "of")))
     ranked = ranked.select(*[f"`{n}`" for n in names], (F.col(p + "first") + F.col(p + "at") - 1).alias(p + "rank"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, schema)
 
 

@@ -83,3 +83,9 @@ def test_query(spark):
         assert rows[i]["n_tokens"] == len(ids)
         assert rows[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert rows[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_encode_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "own", "mine")], "doc_id long, text string, _decoded string, _hdecoded string")
+    got = bpe.encode(df, "text", PATH).first()
+    assert (got["_decoded"], got["_hdecoded"]) == ("own", "mine") and got["ids"]

@@ -97,3 +97,12 @@ def test_sequences(spark):
 def test_bad_lengths(spark):
     with pytest.raises(ValueError):
         pk.pack(spark.createDataFrame([(1, 0, 99)], "doc_id long, piece int, length long"), 10)
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(i, 0, 5 + i % 3, "own", "mine") for i in range(20)], "doc_id long, piece int, length long, Sequence_ID string, offset string")
+    got = pk.pack(rows, 16)
+    assert [c.lower() for c in got.columns].count("sequence_id") == 1 and got.columns.count("offset") == 1
+    assert sorted(r["offset"] for r in got.collect())[0] == 0 and got.count() == 20
+    with pytest.raises(ValueError):
+        pk.pack(rows, 16, length_column="offset")

@@ -56,7 +56,7 @@ def test_empty_null_and_repeated_ids(spark, tmp_path):
     warc.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "n"), chunk_bytes=64)
     found = warc.summaries(warc.read_archives(spark, str(tmp_path / "n"))).collect()
     made = sorted(((r["record_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in found), key=str)
-    want = [(1, 1, "response", None), (1, 1, "response", None), (0, 1, "revisit", 1), (0, 3, "response", None), (3, 1, "revisit", 1), (4, 450, "response", None), (0, 400, "revisit", 4), (4, 400, "response", None)]
+    want = [(1, 1, "response", None), (1, 1, "revisit", 1), (1, 1, "response", None), (0, 1, "revisit", 1), (0, 3, "response", None), (0, 3, "response", None), (3, 1, "revisit", 1), (4, 450, "response", None), (0, 400, "revisit", 4), (4, 400, "response", None)]
     assert made == sorted(want, key=str)
 
 
@@ -90,3 +90,17 @@ def test_query(spark):
     rows = [(r["page_id"], None, r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
     found = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in op7_warc(spark, "/root/testdata/sf0.001").collect()}
     assert found == want(rows)
+
+
+def test_every_row_has_a_record(spark, tmp_path):
+    """Rows that repeat id and payload: one is what a single row would be, the others revisit the response."""
+    big = "long " * 90
+    rows = [(5, "u", big)] * 4 + [(7, "u", big)] * 3 + [(None, "u", big)] * 2 + [(None, "u", "alone " * 50)] * 3 + [(9, "u", "q")] * 2
+    warc.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "r"), chunk_bytes=64)
+    records = warc.read_archives(spark, str(tmp_path / "r"))
+    made = sorted(((r["record_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in warc.summaries(records).collect()))
+    want = [(5, "response", 0)] + [(5, "revisit", 5)] * 3 + [(7, "revisit", 5)] * 3 + [(0, "revisit", 5)] * 2 + [(0, "response", 0)] * 3 + [(9, "response", 0), (9, "revisit", 9)]
+    assert made == sorted(want)
+    warc.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "l"), chunk_bytes=64, least_bytes=1000)
+    found = warc.summaries(warc.read_archives(spark, str(tmp_path / "l"))).collect()
+    assert len(found) == len(rows) and {r["record_type"] for r in found} == {"response"}
