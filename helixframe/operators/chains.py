@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import numbered
 from .markov import reverse_chain
 
 
@@ -101,3 +102,9 @@ def pair_report(links: DataFrame, chains: DataFrame, key: str = "chain_id") -> D
     a = chains.select(F.col(key).alias("idx1"), F.col("chain").alias("chain1"))
     b = chains.select(F.col(key).alias("idx2"), F.col("chain").alias("chain2"))
     return links.join(a, "idx1").join(b, "idx2").orderBy(F.desc("n"), "idx1", "idx2")
+
+
+def numbered_report(links: DataFrame, chains: DataFrame, key: str = "chain_id") -> DataFrame:
+    """:func:`pair_report` with ``place``, numbered without one task seeing all pairs."""
+    ordered = pair_report(links, chains, key).withColumn("less__", -F.col("n"))
+    return numbered(ordered, ["less__", "idx1", "idx2"], "place").drop("less__")

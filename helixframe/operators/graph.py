@@ -80,6 +80,13 @@ def arcs_of(nodes: DataFrame, overlaps: DataFrame, k: int) -> DataFrame:
     return found.withColumn("next_canon", S.canonical(F.col("next"))).join(n, "next_canon").select("src", "dst", "base", F.col("n").alias("cov"))
 
 
+def rebuilt_arcs(nodes: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
+    """``arcs`` with ``found``: the node that begins where an arc's source and base lead (S13); null if none does."""
+    ends = signed_nodes(nodes).select("node", F.substring("seq", 1, k).alias("first"), F.expr(f"right(seq, {k - 1})").alias("last"))
+    asked = arcs.join(ends.select(F.col("node").alias("src"), "last"), "src", "left").withColumn("next__", F.concat("last", "base"))
+    return asked.join(ends.select(F.col("node").alias("found"), F.col("first").alias("next__")), "next__", "left").select(*arcs.columns, "found")
+
+
 def degrees(arcs: DataFrame) -> DataFrame:
     """``node, out_degree, in_degree`` over signed ids."""
     out = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out_degree"))

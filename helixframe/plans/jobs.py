@@ -24,11 +24,16 @@ def build_graph(sequences: DataFrame, k: int, least: int = 1) -> tuple[DataFrame
     return nodes, materialise(graph.arcs_of(nodes, overlaps, k), "arcs")
 
 
+def input_sequences(spark: SparkSession, paths: list[str], keep: list[str] | None = None) -> DataFrame:
+    """``seq`` (and columns to keep) of all libraries, in capitals."""
+    return sources.read_libraries(spark, paths).select(*(keep or []), F.upper("read").alias("seq"))
+
+
 def index(spark: SparkSession, settings: Settings) -> str:
     """``index``: read the inputs, write the graph below the work path; an existing graph is kept."""
     out = f"{settings.work_path}/graph"
     if not _exists(spark, f"{out}/meta"):
-        reads = sources.read_libraries(spark, [p for p, _ in settings.inputs]).select(F.upper("read").alias("seq"))
+        reads = input_sequences(spark, [p for p, _ in settings.inputs])
         nodes, arcs = build_graph(reads, settings.k, settings.abundance_min)
         sinks.save_graph(nodes, arcs, out)
     return out
@@ -49,7 +54,7 @@ def align_table(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, settings: S
 
 def align(spark: SparkSession, settings: Settings) -> DataFrame:
     """``align``: reads against the saved graph; writes corrected reads and alignment lines of each library."""
-    nodes, arcs = sinks.load_graph(spark, f"{settings.work_path}/graph")
+    nodes, arcs = sinks.load_graph(spark, f"{settings.work_path}/graph", settings.k)
     out = None
     for i, (path, target) in enumerate(settings.inputs):
         library = sources.read_library(spark, path, i)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import suffixes
-from ..session import materialise, work_dir
+from ..session import discard, materialise, numbered, work_dir
 from . import sqltext as Q
 from .registry import query
 from .sequence_queries import MEMS
@@ -28,12 +28,21 @@ def suffix_array(spark, sf):
     return a.select("rank", F.col("node").alias("item_id"), F.col("pos").cast("long").alias("pos"), F.col("lcp").cast("long").alias("lcp"))
 
 
+#: Saved indexes by application and folder of tables: one is built once and then loaded.
+_saved: dict[tuple[str, str], str] = {}
+
+
 def saved_index(spark, sf):
-    """The documents' index, written and read back."""
-    texts = sequences(spark, sf).select((F.col("doc_id") + 1).alias("node"), "seq")
-    path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
-    suffixes.save_index(suffixes.suffix_array(texts), texts, path)
-    return suffixes.load_index(spark, path)
+    """The documents' index, written once and read back."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _saved:
+        texts = sequences(spark, sf).select((F.col("doc_id") + 1).alias("node"), "seq")
+        path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+        array = suffixes.suffix_array(texts)
+        suffixes.save_index(array, texts, path)
+        discard(array)
+        _saved[key] = path
+    return suffixes.load_index(spark, _saved[key])
 
 
 def index_matches(spark, sf, **kind):
@@ -80,17 +89,18 @@ def all_places(spark, sf):
     return suffixes.find_all(saved_index(spark, sf)[0], PATTERN).select("node", F.col("pos").cast("long").alias("pos"))
 
 
+REPEAT = 9
 # pairs of places whose letters before differ, as long as their texts go on alike
-REPEATS = f"""{BENCH}, w AS (SELECT item_id, i, seq, CASE WHEN i > 0 THEN substr(seq, i, 1) ELSE '' END AS p, substr(seq, i + 1, {LEAST}) AS k FROM (SELECT item_id, seq, unnest(range(0, length(seq) - {LEAST - 1})) AS i FROM s WHERE length(seq) >= {LEAST}) x),
+REPEATS = f"""{BENCH}, w AS (SELECT item_id, i, seq, CASE WHEN i > 0 THEN substr(seq, i, 1) ELSE '' END AS p, substr(seq, i + 1, {REPEAT}) AS k FROM (SELECT item_id, seq, unnest(range(0, length(seq) - {REPEAT - 1})) AS i FROM s WHERE length(seq) >= {REPEAT}) x),
 pr AS (SELECT substr(a.seq, a.i + 1) AS t, substr(b.seq, b.i + 1) AS u FROM w a JOIN w b ON a.k = b.k AND (a.item_id, a.i) < (b.item_id, b.i) AND (a.p <> b.p OR a.p = '')),
 rp AS (SELECT DISTINCT substr(t, 1, ({SHARED})::INTEGER) AS text FROM pr)"""
 
 
-@query("l21_maximal_repeats", f"WITH {REPEATS} SELECT text, count(*) AS places, length(text)::BIGINT AS length FROM rp JOIN w ON k = substr(text, 1, {LEAST}) AND substr(seq, i + 1, length(text)) = text GROUP BY text")
+@query("l21_maximal_repeats", f"WITH {REPEATS} SELECT text, count(*) AS places, length(text)::BIGINT AS length FROM rp JOIN w ON k = substr(text, 1, {REPEAT}) AND substr(seq, i + 1, length(text)) = text GROUP BY text")
 def maximal_repeats(spark, sf):
-    """Texts of 16 letters or more that the benchmark repeats and that can't be longer without losing a place."""
+    """Texts of 9 letters or more that the benchmark repeats and that can't be longer without losing a place."""
     texts = materialise(sequences(spark, sf, "benchmark", "item_id"), "texts")
-    return suffixes.maximal_repeats(suffixes.suffix_array(texts, "item_id"), texts, LEAST, "item_id")
+    return suffixes.maximal_repeats(suffixes.suffix_array(texts, "item_id"), texts, REPEAT, "item_id")
 
 
 @query("l21_common_texts", f"""WITH {BENCH}, o AS (SELECT item_id, seq, lead(seq) OVER (ORDER BY item_id) AS other FROM s),
@@ -103,8 +113,7 @@ SELECT o.item_id, coalesce(max(n), 0)::BIGINT AS length, coalesce(arg_max(text,
 def common_texts(spark, sf):
     """The longest text that each of the benchmark's sequences shares with the next."""
     s = sequences(spark, sf, "benchmark", "item_id")
-    nxt = s.select(F.col("item_id").alias("next_id"), F.col("seq").alias("right"))
-    ids = s.select("item_id").distinct()
-    following = ids.join(ids.select(F.col("item_id").alias("other")), F.col("other") > F.col("item_id")).groupBy("item_id").agg(F.min("other").alias("next_id"))
-    pairs = s.withColumnRenamed("seq", "left").join(following, "item_id").join(nxt, "next_id").select("item_id", "left", "right")
+    placed = numbered(s, ["item_id"], "place")
+    nxt = placed.select((F.col("place") - 1).alias("place"), F.col("seq").alias("right"))
+    pairs = placed.withColumnRenamed("seq", "left").join(nxt, "place").select("item_id", "left", "right")
     return suffixes.longest_common(materialise(pairs, "pairs"), "item_id")

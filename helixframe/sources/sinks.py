@@ -56,16 +56,26 @@ def save_graph(nodes: DataFrame, arcs: DataFrame, path: str) -> None:
 
 
 def load_graph(spark: SparkSession, path: str, k: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The saved graph; with k, arcs are rebuilt from the node ends and a mismatch is an error."""
+    """The saved graph; with k, every arc's target is found anew from the nodes' ends.
+
+    An arc is its source and a base: its target is the node that begins with the source's last k - 1 bases and it.  An arc
+    that leads elsewhere or nowhere, one without its counterpart on the other strand, or a changed
+    number of rows is an error.
+    """
     nodes, arcs = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/arcs")
     meta = spark.read.json(f"{path}/meta").first()
     if (nodes.count(), arcs.count()) != (meta["nodes"], meta["arcs"]):
         raise ValueError("the graph's files don't match its meta data")
     if k:
-        from ..operators.graph import overlap_breaks
-
-        if not overlap_breaks(nodes, arcs, k).isEmpty():
-            raise ValueError("an arc joins nodes that don't overlap")
+        from ..operators.graph import asymmetric_arcs, rebuilt_arcs
+
+        arcs = rebuilt_arcs(nodes, arcs, k)
+        wrong = arcs.filter(F.col("found").isNull() | (F.col("found") != F.col("dst"))).limit(1).collect()
+        if wrong:
+            raise ValueError(f"the arc {wrong[0]['src']} -> {wrong[0]['dst']} doesn't follow from the nodes' ends")
+        arcs = arcs.drop("found")
+        if not asymmetric_arcs(arcs).isEmpty():
+            raise ValueError("an arc lacks its counterpart on the other strand")
     return nodes, arcs
 
 

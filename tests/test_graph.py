@@ -290,3 +290,28 @@ def test_counts_by_minimizer(spark, k):
 def test_one_exchange_counts_kmers(spark):
     plan = kmers.counted_codes(table(spark, genome(300)), 21)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(minimizer" in plan
+
+
+def test_a_loaded_graph_is_rebuilt_and_checked(spark, tmp_path):
+    from helixframe.sources import sinks
+
+    nodes, arcs = jobs.build_graph(table(spark, *branching_genomes()), K)
+    sinks.save_graph(nodes, arcs, str(tmp_path / "good"))
+    assert sinks.load_graph(spark, str(tmp_path / "good"), K)[1].exceptAll(arcs).isEmpty()
+    r = arcs.first()
+    one = (F.col("src") == r["src"]) & (F.col("dst") == r["dst"])
+    other = nodes.filter(F.col("node_id") != abs(r["dst"])).first()["node_id"]
+    broken = {
+        "target": arcs.withColumn("dst", F.when(one, other).otherwise(F.col("dst"))),
+        "base": arcs.withColumn("base", F.when(one, F.when(F.col("base") == "A", "C").otherwise("A")).otherwise(F.col("base"))),
+        "missing": arcs.filter(~one),
+    }
+    for name, wrong in broken.items():
+        sinks.save_graph(nodes, wrong, str(tmp_path / name))
+        with pytest.raises(ValueError):
+            sinks.load_graph(spark, str(tmp_path / name), K)
+
+
+def branching_genomes():
+    mid = genome(40, 71)
+    return [genome(60, 72) + mid + genome(50, 73), genome(60, 74) + mid + genome(50, 75)]
