@@ -70,26 +70,29 @@ def marginal_peek(spark, sf):
     return sequences(spark, sf, "benchmark", "item_id").select("item_id", S.marginal_first(s, K).alias("first_base"), S.marginal_last(s, K).alias("last_base"), S.marginal_length(s, K).cast("long").alias("marg_len"))
 
 
-@query("f08_mask_operations", f"SELECT m::BIGINT AS m, {Q.reversed_byte('m::INTEGER')}::BIGINT AS rc, bit_count((m & 240)::INTEGER)::BIGINT AS left_degree, bit_count((m & 15)::INTEGER)::BIGINT AS right_degree, (m & 15) = 0 OR (m & 240) = 0 AS dead_end, (m | 128)::BIGINT AS marked, (m & (255 - 4))::BIGINT AS unmarked, (m & 2) <> 0 AS right_g FROM (SELECT unnest(range(256)) AS m) x")
+@query("f08_mask_operations", f"WITH {BENCH}, {Q.overlaps('item_id')} SELECT bf::BIGINT AS m, count(*) AS kmers, {Q.reversed_byte('bf::INTEGER')}::BIGINT AS rc, bit_count((bf & 240)::INTEGER)::BIGINT AS left_degree, bit_count((bf & 15)::INTEGER)::BIGINT AS right_degree, (bf & 15) = 0 OR (bf & 240) = 0 AS dead_end, (bf | 128)::BIGINT AS marked, (bf & (255 - 4))::BIGINT AS unmarked, (bf & 2) <> 0 AS right_g FROM ov GROUP BY bf")
 def mask_operations(spark, sf):
+    """The operations on every neighbour mask of the benchmark's k-mers."""
     m = F.col("m")
-    return spark.range(256).select(F.col("id").cast("int").alias("m")).select(
-        m.cast("long").alias("m"), S.revcomp_mask(m).cast("long").alias("rc"), S.left_degree(m).cast("long").alias("left_degree"), S.right_degree(m).cast("long").alias("right_degree"), S.is_dead_end(m).alias("dead_end"),
+    masks = kmers.overlap_table(sequences(spark, sf, "benchmark", "item_id"), K).groupBy(F.col("bf").cast("int").alias("m")).agg(F.count(F.lit(1)).alias("kmers"))
+    return masks.select(
+        m.cast("long").alias("m"), "kmers", S.revcomp_mask(m).cast("long").alias("rc"), S.left_degree(m).cast("long").alias("left_degree"), S.right_degree(m).cast("long").alias("right_degree"), S.is_dead_end(m).alias("dead_end"),
         S.mark(m, S.left_bit(F.lit("A"))).cast("long").alias("marked"), S.unmark(m, S.right_bit(F.lit("C"))).cast("long").alias("unmarked"), S.has(m, S.right_bit(F.lit("G"))).alias("right_g"),
     )
 
 
-@query("f09_poisson_table", "SELECT n, mu, round(exp(n * ln(mu) - mu - lf), 12) AS pdf, round(n * ln(mu) - mu - lf, 9) AS log_pdf FROM (SELECT n, coalesce((SELECT sum(ln(i)) FROM range(2, n + 1) r(i)), 0) AS lf FROM (SELECT unnest(range(0, 120)) AS n) a) x, (VALUES (1.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE), (50.5::DOUBLE)) v(mu)")
+@query("f09_poisson_table", "SELECT n, mu, items, round(exp(n * ln(mu) - mu - lf), 12) AS pdf, round(n * ln(mu) - mu - lf, 9) AS log_pdf FROM (SELECT n, mu, items, coalesce((SELECT sum(ln(i)) FROM range(2, n + 1) r(i)), 0) AS lf FROM (SELECT l_quantity::BIGINT AS n, l_linenumber * 7.5::DOUBLE AS mu, count(*) AS items FROM lineitem GROUP BY 1, 2) a) x")
 def poisson_table(spark, sf):
-    mus = F.array(*[F.lit(float(m)) for m in (1, 5, 10, 50.5)])
-    t = spark.range(120).select(F.col("id").alias("n"), F.explode(mus).alias("mu"))
+    """Poisson values of every quantity with a mean by line number."""
+    t = table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("n"), (F.col("l_linenumber") * F.lit(7.5)).alias("mu")).agg(F.count(F.lit(1)).alias("items"))
     lp = stats.log_poisson(F.col("n"), F.col("mu"))
-    return t.select("n", "mu", F.round(F.exp(lp), 12).alias("pdf"), F.round(lp, 9).alias("log_pdf"))
+    return t.select("n", "mu", "items", F.round(F.exp(lp), 12).alias("pdf"), F.round(lp, 9).alias("log_pdf"))
 
 
-@query("f10_negative_binomial", "SELECT k, round(exp(lgamma(10.0 + k) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1.0) END - lgamma(10.0) + 10 * ln(0.5) + k * ln(0.5)), 9) AS pdf FROM (SELECT unnest(range(0, 60)) AS k) x")
+@query("f10_negative_binomial", "SELECT k, items, round(exp(lgamma(10.0 + k) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1.0) END - lgamma(10.0) + 10 * ln(0.5) + k * ln(0.5)), 9) AS pdf FROM (SELECT l_quantity::BIGINT AS k, count(*) AS items FROM lineitem GROUP BY 1) x")
 def negative_binomial(spark, sf):
-    return spark.range(60).select(F.col("id").alias("k"), F.round(stats.negative_binomial(F.col("id").cast("double"), F.lit(10.0), F.lit(20.0)), 9).alias("pdf"))
+    t = table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("items"))
+    return t.select("k", "items", F.round(stats.negative_binomial(F.col("k").cast("double"), F.lit(10.0), F.lit(20.0)), 9).alias("pdf"))
 
 
 @query("f12_split_fields", "SELECT event_id, string_split(props, ':')[1] AS head, len(string_split(props, ':'))::BIGINT AS fields FROM events")
@@ -153,10 +156,14 @@ def xa_best(spark, sf):
     return each.groupBy("l_orderkey").agg(F.max(match_score(F.col("a.cigar"), F.col("a.nm"))).cast("long").alias("best"), F.count(F.lit(1)).alias("alternatives"))
 
 
-@query("f16_base_score", "SELECT a, b, CASE WHEN a = b OR a = 'N' OR b = 'N' THEN 1 ELSE -1 END AS score FROM (VALUES ('A'), ('C'), ('G'), ('T'), ('N')) x(a), (VALUES ('A'), ('C'), ('G'), ('T'), ('N')) y(b)")
+@query("f16_base_score", f"WITH {BENCH}, p AS (SELECT substr(seq, i, 1) AS a, substr(seq, i + 1, 1) AS b FROM (SELECT seq, unnest(range(1, length(seq))) AS i FROM s) x) SELECT a, b, count(*) AS pairs, CASE WHEN a = b OR a = 'N' OR b = 'N' THEN 1 ELSE -1 END AS score FROM p GROUP BY a, b")
 def base_scores(spark, sf):
-    five = F.array(*[F.lit(b) for b in "ACGTN"])
-    return spark.range(1).select(F.explode(five).alias("a")).select("a", F.explode(five).alias("b")).select("a", "b", S.base_score(F.col("a"), F.col("b")).alias("score"))
+    """Scores of the benchmark's neighbouring bases."""
+    s = sequences(spark, sf, "benchmark", "item_id").filter(F.length("seq") > 1)
+    at = s.select("seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 1)).alias("i"))
+    base = lambda i: F.col("seq").substr(i, F.lit(1))
+    pairs = at.groupBy(base(F.col("i")).alias("a"), base(F.col("i") + 1).alias("b")).agg(F.count(F.lit(1)).alias("pairs"))
+    return pairs.select("a", "b", "pairs", S.base_score(F.col("a"), F.col("b")).alias("score"))
 
 
 @query("f17_relative_score", f"WITH {BENCH} SELECT item_id, length(seq)::BIGINT AS max_score, (length(replace(seq, 'N', '')) / length(seq))::FLOAT AS relative FROM s WHERE length(seq) > 0")
