@@ -315,3 +315,36 @@ def test_a_loaded_graph_is_rebuilt_and_checked(spark, tmp_path):
 def branching_genomes():
     mid = genome(40, 71)
     return [genome(60, 72) + mid + genome(50, 73), genome(60, 74) + mid + genome(50, 75)]
+
+
+def test_streaming_windows_and_hits(spark, tmp_path):
+    """Counts per window of event time, late rows left out; hits of arriving reads in a graph's index."""
+    import datetime
+
+    from helixframe.operators import seeds
+    from helixframe.streaming import live
+
+    g = genome(80, 52)
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+    folder = str(tmp_path / "timed")
+    schema = "at timestamp, seq string"
+    batches = [[(at(1), g), (at(3), g[:40])], [(at(40), g[:K])], [(at(2), g), (at(41), g[:20])]]  # the third batch's first row is late
+    spark.createDataFrame(batches[0], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = live.windowed_counts(stream, K, "at").writeStream.outputMode("update").format("memory").queryName("live_windows").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    for b in batches[1:]:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(folder)
+        q.processAllAvailable()
+    q.stop()
+    rows = spark.sql("select window.start as s, max(kmers) as n from live_windows group by 1").collect()
+    assert {r["s"].minute: r["n"] for r in rows} == {0: len(g) - K + 1 + 40 - K + 1, 40: 1 + 20 - K + 1}
+
+    nodes, _ = jobs.build_graph(table(spark, g), K)
+    index = seeds.kmer_index(nodes, K)
+    arriving = spark.readStream.schema(schema).parquet(folder).select("seq")
+    q = live.live_hits(arriving, index, K).writeStream.format("memory").queryName("live_hits").option("checkpointLocation", str(tmp_path / "h")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = sum(len(x) - K + 1 for b in batches for _, x in b)
+    assert spark.sql("select count(*) as n from live_hits").first()["n"] == want
