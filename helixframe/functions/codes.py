@@ -1,4 +1,8 @@
-"""Rolled 2-bit k-mer codes of whole Arrow batches (W01, F01, F03): two bits a base, base i at bits 2i, k up to 31."""
+"""Rolled 2-bit k-mer codes of whole Arrow batches (W01, F01, F03, F05): two bits a base, base i at bits 2i.
+
+Up to k = 31 a code is a long.  From 32 to 63 it is two: bases 32 and on in ``high``, the first 32 in
+``low``, whose top bit is turned over, so that the order of signed pairs is the codes' order.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 MOST_K = 31
+#: With two longs.
+MOST_LONG_K = 63
+_TOP = np.uint64(1 << 63)
 #: Starts worked on at once, so that arrays stay in a core's cache.
 STEP = 1 << 18
 
@@ -66,18 +73,61 @@ def canonical_codes(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.nd
             yield row, at - bounds[row], np.minimum(forward, reverse).view(np.int64), reverse < forward
 
 
+def _strands(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """High and low longs of each window of k bases (32 to 63), those of its reverse complement, and whether the latter is less."""
+    forward, reverse = rolled(bases, 32)
+    n = len(bases) - k + 1
+    low, turned_low = forward[:n], reverse[k - 32 : k - 32 + n]
+    if k > 32:
+        above, below = rolled(bases, k - 32)
+        high, turned_high = above[32 : 32 + n], below[:n]
+    else:
+        high = turned_high = np.zeros(n, np.uint64)
+    less = (turned_high < high) | ((turned_high == high) & (turned_low < low))
+    return high, low, turned_high, turned_low, less
+
+
+def _canonical_pair(strands, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    high, low, turned_high, turned_low, less = (x[at] for x in strands)
+    return np.where(less, turned_high, high).view(np.int64), (np.where(less, turned_low, low) ^ _TOP).view(np.int64), less
+
+
+def canonical_pairs(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`canonical_codes` for k of 32 to 63: row, place, high and low long, and whether it is the reverse complement's."""
+    letters, bounds = letters_of(texts)
+    for row, at in valid_starts(letters, bounds, k):
+        if len(at):
+            high, low, turned = _canonical_pair(_strands(_BASE[letters[at[0] : at[-1] + k]] & 3, k), at - at[0])
+            yield row, at - bounds[row], high, low, turned
+
+
+def _masks(letters: np.ndarray, bounds: np.ndarray, row: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Bits of the bases beside each k-mer, within its row."""
+    bit = np.asarray([8, 4, 2, 1, 0], np.uint8)
+    left = np.where(at > bounds[row], bit[_BASE[letters[at - 1]]], 0).astype(np.uint8) << 4
+    right = np.where(at + k < bounds[row + 1], bit[_BASE[letters[np.minimum(at + k, len(letters) - 1)]]], 0).astype(np.uint8)
+    return left | right
+
+
+def neighbour_pair_masks(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`neighbour_masks` for k of 32 to 63: high and low long, and the overlap mask."""
+    letters, bounds = letters_of(texts)
+    for row, at in valid_starts(letters, bounds, k):
+        if len(at):
+            high, low, turned = _canonical_pair(_strands(_BASE[letters[at[0] : at[-1] + k]] & 3, k), at - at[0])
+            mask = _masks(letters, bounds, row, at, k)
+            yield high, low, np.where(turned, _REVERSED_BYTE[mask], mask)
+
+
 def neighbour_masks(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Canonical code and overlap mask (bits of the valid k-mers before and after it) of each valid k-mer."""
     letters, bounds = letters_of(texts)
-    bit = np.asarray([8, 4, 2, 1, 0], np.uint8)[_BASE[letters]]
     for row, at in valid_starts(letters, bounds, k):
         if not len(at):
             continue
         forward, reverse = rolled(_BASE[letters[at[0] : at[-1] + k]] & 3, k)
         forward, reverse = forward[at - at[0]], reverse[at - at[0]]
-        left = np.where(at > bounds[row], bit[at - 1], 0).astype(np.uint8) << 4
-        right = np.where(at + k < bounds[row + 1], bit[np.minimum(at + k, len(bit) - 1)], 0).astype(np.uint8)
-        mask = left | right
+        mask = _masks(letters, bounds, row, at, k)
         yield np.minimum(forward, reverse).view(np.int64), np.where(reverse < forward, _REVERSED_BYTE[mask], mask)
 
 
@@ -94,8 +144,12 @@ def substrings(texts: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray
             yield row, at - bounds[row], pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(text))
 
 
-#: Bases of a super-k-mer at most: two longs.
-MOST_SUPER = 64
+#: Bases of a long, and of a super-k-mer at most: two longs, or four for k above 31.
+WORD = 32
+
+
+def super_words(k: int) -> int:
+    return 2 if k <= MOST_K else 4
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -119,13 +173,14 @@ def mixed(code: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
 
 
-def super_kmers(texts: pa.Array, k: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Minimizer, bases 0 to 31 and 32 to 63 as codes, and number of k-mers of each run of valid k-mers with one minimizer.
+def super_kmers(texts: pa.Array, k: int, m: int) -> Iterator[list[np.ndarray]]:
+    """Minimizer, bases as codes of 32 each (:func:`super_words` of them), and number of k-mers of each run of valid k-mers with one minimizer.
 
     A k-mer's minimizer is the least of its m-mers, each taken from whichever strand is less, so both
     strands of a k-mer have the same.
     """
     letters, bounds = letters_of(texts)
+    words = super_words(k)
     for row, at in valid_starts(letters, bounds, k):
         if not len(at):
             continue
@@ -136,10 +191,10 @@ def super_kmers(texts: pa.Array, k: int, m: int) -> Iterator[tuple[np.ndarray, n
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]) | (least[1:] != least[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        new |= (np.arange(len(at)) - first) % (MOST_SUPER - k + 1) == 0
+        new |= (np.arange(len(at)) - first) % (words * WORD - k + 1) == 0
         starts = np.flatnonzero(new)
         count = np.diff(np.append(starts, len(at)))
-        packed = rolled(np.concatenate([bases, np.zeros(MOST_SUPER + 32, bases.dtype)]), 32)[0]
+        packed = rolled(np.concatenate([bases, np.zeros((words + 1) * WORD, bases.dtype)]), WORD)[0]
         size, place = count + k - 1, at[starts] - low
-        kept = lambda code, n: np.where(n >= 32, code, code & ((np.uint64(1) << (2 * np.clip(n, 0, 31)).astype(np.uint64)) - np.uint64(1)))
-        yield least[starts].view(np.int64), kept(packed[place], size).view(np.int64), kept(packed[place + 32], size - 32).view(np.int64), count
+        kept = lambda code, n: np.where(n >= WORD, code, code & ((np.uint64(1) << (2 * np.clip(n, 0, WORD - 1)).astype(np.uint64)) - np.uint64(1)))
+        yield [least[starts].view(np.int64), *(kept(packed[place + WORD * w], size - WORD * w).view(np.int64) for w in range(words)), count]

@@ -46,6 +46,28 @@ def unpack(packed: Column, k: int) -> Column:
     return F.translate(F.reverse(F.lpad(F.conv(packed.cast("string"), 10, 4), k, "0")), "0123", "ACGT")
 
 
+_TOP = -(1 << 63)
+
+
+def pack_long(kmer: Column) -> Column:
+    """``high, low`` of a k-mer of 32 to 63 bases: bases 32 and on, and the first 32 with the top bit turned over; ordered like the codes."""
+    digits = F.translate(kmer, "ACGT", "0123")
+    low = F.conv(F.reverse(F.substring(digits, 1, 32)), 4, -10).cast("long").bitwiseXOR(F.lit(_TOP))
+    high = F.conv(F.concat(F.lit("0"), F.reverse(F.substring(digits, 33, 31))), 4, 10).cast("long")
+    return F.struct(high.alias("high"), low.alias("low"))
+
+
+def unpack_long(packed: Column, k: int) -> Column:
+    low = F.lpad(F.conv(packed["low"].bitwiseXOR(F.lit(_TOP)).cast("string"), 10, 4), 32, "0")
+    letters = F.translate(F.reverse(low), "0123", "ACGT")
+    return letters if k == 32 else F.concat(letters, unpack(packed["high"], k - 32))
+
+
+def unpacked(code: Column, k: int) -> Column:
+    """Letters of a code as k has it: a long up to 31 bases, two up to 63."""
+    return unpack(code, k) if k <= 31 else unpack_long(code, k)
+
+
 def push_right(kmer: Column, base: Column) -> Column:
     return F.concat(F.substring(kmer, 2, 1 << 20), base)
 

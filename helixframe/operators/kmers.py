@@ -1,6 +1,6 @@
 """k-mer tables.
 
-k-mers of up to 31 bases are 2-bit codes.  Counts alone are taken by minimizer: runs of k-mers with one minimizer are
+k-mers of up to 63 bases are 2-bit codes: a long up to 31 bases, a struct of two above.  Counts alone are taken by minimizer: runs of k-mers with one minimizer are
 shuffled as packed bases and counted where they arrive.  Counts with neighbour bits are worked out by
 batches; a batch's repeats are added up before they leave it, then partial and final aggregation follow.  Letters are restored
 only for the rows of a result that asks for them.
@@ -59,47 +59,65 @@ def kmer_rows(reads: DataFrame, k: int, keys: list[str] | None = None, seq: str
     return _expanded(reads, keys or [], seq, made, run)
 
 
+LONG_CODE = T.StructType([T.StructField("high", T.LongType(), False), T.StructField("low", T.LongType(), False)])
+
+
+def _code_type(k: int) -> T.DataType:
+    return T.LongType() if k <= codes.MOST_K else LONG_CODE
+
+
+def _pairs(high: np.ndarray, low: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(high), pa.array(low)], fields=[pa.field("high", pa.int64(), False), pa.field("low", pa.int64(), False)])
+
+
 def canonical_rows(reads: DataFrame, k: int, keys: list[str] | None = None, seq: str = "seq") -> DataFrame:
-    """``keys, pos, canon, turned`` for every valid k-mer; canon is a code up to k = 31, letters above."""
-    if k > codes.MOST_K:
+    """``keys, pos, canon, turned`` for every valid k-mer; canon is a code up to k = 63, letters above."""
+    if k > codes.MOST_LONG_K:
         kmer = F.col("kmer")
         return kmer_rows(reads, k, keys, seq).select(*(keys or []), "pos", S.canonical(kmer).alias("canon"), S.is_reversed(kmer).alias("turned"))
-    made = [T.StructField("pos", T.IntegerType()), T.StructField("canon", T.LongType()), T.StructField("turned", T.BooleanType())]
+    made = [T.StructField("pos", T.IntegerType()), T.StructField("canon", _code_type(k)), T.StructField("turned", T.BooleanType())]
 
     def run(texts):
+        if k > codes.MOST_K:
+            for row, pos, high, low, turned in codes.canonical_pairs(texts, k):
+                yield row, pa.array(pos.astype(np.int32)), _pairs(high, low), pa.array(turned)
+            return
         for row, pos, code, turned in codes.canonical_codes(texts, k):
             yield row, pa.array(pos.astype(np.int32)), pa.array(code), pa.array(turned)
 
     return _expanded(reads, keys or [], seq, made, run)
 
 
-def _summed(held: list[tuple[np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
-    code = np.concatenate([c for c, _ in held])
-    if held[0][1] is None:
-        code, n = np.unique(code, return_counts=True)
-        bits = np.zeros(len(code), np.int32)
-    else:
-        order = np.argsort(code)
-        code, mask = code[order], np.concatenate([m for _, m in held])[order]
-        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        n, bits, code = np.diff(np.append(starts, len(code))), np.bitwise_or.reduceat(mask, starts).astype(np.int32), code[starts]
-    return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64)), pa.array(bits)], names=["code", "n", "bf"])
+def _summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Equal codes (one array, or high and low) added up; the last array of each is the mask."""
+    *code, mask = (np.concatenate([h[i] for h in held]) for i in range(len(held[0])))
+    order = np.argsort(code[0]) if len(code) == 1 else np.lexsort(code[::-1])
+    code, mask = [c[order] for c in code], mask[order]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in code])
+    starts = np.flatnonzero(new)
+    n, bits, code = np.diff(np.append(starts, len(order))), np.bitwise_or.reduceat(mask, starts).astype(np.int32), [c[starts] for c in code]
+    return pa.RecordBatch.from_arrays([pa.array(code[0]) if len(code) == 1 else _pairs(*code), pa.array(n.astype(np.int64)), pa.array(bits)], names=["code", "n", "bf"])
 
 
 def _super_batch(held: list) -> pa.RecordBatch:
     """Equal super-k-mers added up."""
-    least, low, high, count = (np.concatenate([h[i] for h in held]) for i in range(4))
-    order = np.lexsort((count, high, low, least))
-    columns = [c[order] for c in (least, low, high, count)]
+    columns = [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))]
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     starts = np.flatnonzero(new)
     times = np.diff(np.append(starts, len(order)))
-    return pa.RecordBatch.from_arrays([*(pa.array(c[starts].astype(np.int64)) for c in columns[:3]), pa.array(columns[3][starts].astype(np.int32)), pa.array(times.astype(np.int64))], names=["minimizer", "low", "high", "kmers", "times"])
+    words = [f"w{i}" for i in range(len(columns) - 2)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c[starts].astype(np.int64)) for c in columns[:-1]), pa.array(columns[-1][starts].astype(np.int32)), pa.array(times.astype(np.int64))], names=["minimizer", *words, "kmers", "times"])
 
 
 def super_kmer_rows(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """``minimizer, low, high, kmers, times``: runs of k-mers with one minimizer as up to 64 bases in two longs; a task's repeats added up."""
+    """``minimizer, w0, w1, ..., kmers, times``: runs of k-mers with one minimizer as packed bases, 32 a long; a task's repeats added up.
+
+    Two longs up to k = 31, four above.
+    """
 
     def run(source):
         held, size = [], 0
@@ -113,60 +131,87 @@ def super_kmer_rows(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
         if size:
             yield _super_batch(held)
 
-    return spread(reads.select(seq)).mapInArrow(run, "minimizer long, low long, high long, kmers int, times long")
+    return spread(reads.select(seq)).mapInArrow(run, "minimizer long, " + "".join(f"w{i} long, " for i in range(codes.super_words(k))) + "kmers int, times long")
 
 
-def _turned_code(df: DataFrame, code: str, k: int, out: str) -> DataFrame:
-    """``df`` with the reverse complement of a code: pairs of bits turned round by halves, then complemented."""
+def _turned_word(df: DataFrame, code: str, out: str) -> DataFrame:
+    """``df`` with 32 packed bases reversed and complemented: pairs of bits turned round by halves."""
     df = df.withColumn(out, F.bitwise_not(code))
     for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
         part = F.lit(mask)
         df = df.withColumn(out, F.shiftrightunsigned(out, shift).bitwiseAND(part).bitwiseOR(F.shiftleft(F.col(out).bitwiseAND(part), shift)))
-    return df.withColumn(out, F.shiftrightunsigned(out, 64 - 2 * k))
+    return df
+
+
+def _bases_at(words: int, first: int) -> Column:
+    """32 packed bases of a super-k-mer from base ``i + first`` on; beyond its end anything."""
+    cases = []
+    for w in range(words):
+        here, low = f"w{w}", 32 * w - first
+        nxt = f"shiftleft(w{w + 1}, 64 - 2 * (i - {low}))" if w + 1 < words else "0L"
+        cases.append(f"WHEN i = {low} THEN {here} WHEN i < {low + 32} THEN shiftrightunsigned({here}, 2 * (i - {low})) | {nxt}")
+    return F.expr("CASE " + " ".join(cases) + " ELSE 0L END")
+
+
+def canonical_of(df: DataFrame, k: int) -> DataFrame:
+    """``df`` with ``code``, the less of a k-mer (``forward``, or ``high`` and ``low`` above 31 bases) and its reverse complement."""
+    if k <= codes.MOST_K:
+        df = _turned_word(df, "forward", "reverse")
+        return df.withColumn("code", F.least("forward", F.shiftrightunsigned("reverse", 64 - 2 * k)))
+    df = _turned_word(_turned_word(df, "low", "above"), "high", "below")  # the reverse complement of 64 bases
+    out = 128 - 2 * k
+    if out == 64:
+        turned = F.lit(0).cast("long"), F.col("above")
+    else:
+        turned = F.shiftrightunsigned("above", out), F.shiftrightunsigned("below", out).bitwiseOR(F.shiftleft("above", 64 - out))
+    pair = lambda high, low: F.struct(high.alias("high"), low.bitwiseXOR(F.lit(-(1 << 63))).alias("low"))
+    return df.withColumn("code", F.least(pair(F.col("high"), F.col("low")), pair(*turned)))
 
 
 def counted_codes(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """``code, n`` of all k-mers (k up to 31), by minimizers.
+    """``code, n`` of all k-mers (k up to 63), by minimizers.
 
     Super-k-mers are dealt out by minimizer, a fraction of their k-mers' bytes; both strands of a
     k-mer have one minimizer, so every k-mer is counted where its super-k-mers are, by Spark's own
     aggregation, without another shuffle.
     """
     n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = codes.super_words(k)
     dealt = super_kmer_rows(reads, k, seq).repartition(n, "minimizer")
-    each = dealt.select("minimizer", "low", "high", "times", F.explode(F.sequence(F.lit(0), F.col("kmers") - 1)).alias("i"))
-    low = F.expr("CASE WHEN i = 0 THEN low WHEN i < 32 THEN shiftrightunsigned(low, 2 * i) | shiftleft(high, 64 - 2 * i) ELSE shiftrightunsigned(high, 2 * i - 64) END")
-    each = each.select("minimizer", "times", low.bitwiseAND(F.lit((1 << 2 * k) - 1)).alias("forward"))
-    both = _turned_code(each, "forward", k, "reverse")
-    return both.groupBy("minimizer", F.least("forward", "reverse").alias("code")).agg(F.sum("times").alias("n")).select("code", "n")
+    each = dealt.select("minimizer", *(f"w{w}" for w in range(words)), "times", F.explode(F.sequence(F.lit(0), F.col("kmers") - 1)).alias("i"))
+    if k <= codes.MOST_K:
+        each = each.select("minimizer", "times", _bases_at(words, 0).bitwiseAND(F.lit((1 << 2 * k) - 1)).alias("forward"))
+    else:
+        each = each.select("minimizer", "times", _bases_at(words, 0).alias("low"), _bases_at(words, 32).bitwiseAND(F.lit((1 << 2 * (k - 32)) - 1)).alias("high"))
+    return canonical_of(each, k).groupBy("minimizer", "code").agg(F.sum("times").alias("n")).select("code", "n")
 
 
-def _code_table(reads: DataFrame, k: int, seq: str, masks: bool) -> DataFrame:
-    """``code, n, bf``: counts, and with ``masks`` the neighbour bits, of canonical codes."""
+def _code_table(reads: DataFrame, k: int, seq: str) -> DataFrame:
+    """``code, n, bf``: counts and neighbour bits of canonical codes."""
+    found = codes.neighbour_masks if k <= codes.MOST_K else codes.neighbour_pair_masks
 
     def run(source):
         held, size = [], 0
         for b in source:
-            found = codes.neighbour_masks(b.column(0), k) if masks else ((c, None) for _, _, c, _ in codes.canonical_codes(b.column(0), k))
-            for code, mask in found:
-                held.append((code, mask))
-                size += len(code)
+            for columns in found(b.column(0), k):
+                held.append(columns)
+                size += len(columns[0])
                 if size >= HELD_CODES:
                     yield _summed(held)
                     held, size = [], 0
         if size:
             yield _summed(held)
 
-    parts = spread(reads.select(seq)).mapInArrow(run, "code long, n long, bf int")
-    return parts.groupBy("code").agg(F.sum("n").alias("n"), F.bit_or("bf").alias("bf"))
+    schema = T.StructType([T.StructField("code", _code_type(k)), T.StructField("n", T.LongType()), T.StructField("bf", T.IntegerType())])
+    return spread(reads.select(seq)).mapInArrow(run, schema).groupBy("code").agg(F.sum("n").alias("n"), F.bit_or("bf").alias("bf"))
 
 
 def kmer_counts(reads: DataFrame, k: int, least: int = 1, seq: str = "seq") -> DataFrame:
     """``canon, n`` of k-mers seen ``least`` times or more."""
-    if k > codes.MOST_K:
+    if k > codes.MOST_LONG_K:
         table = kmer_rows(reads, k, seq=seq).groupBy(S.canonical(F.col("kmer")).alias("canon")).agg(F.count(F.lit(1)).alias("n"))
         return table.filter(F.col("n") >= least) if least > 1 else table
-    return counted_codes(reads, k, seq).filter(F.col("n") >= least).select(S.unpack(F.col("code"), k).alias("canon"), "n")
+    return counted_codes(reads, k, seq).filter(F.col("n") >= least).select(S.unpacked(F.col("code"), k).alias("canon"), "n")
 
 
 def kmer_totals(table: DataFrame) -> DataFrame:
@@ -193,10 +238,10 @@ def overlap_table(reads: DataFrame, k: int, least: int = 1, seq: str = "seq") ->
 
     With ``least`` above 1, bits of neighbours that did not survive are cleared by a semi-join.
     """
-    if k > codes.MOST_K:
+    if k > codes.MOST_LONG_K:
         table = neighbour_rows(reads, k, seq).groupBy("canon").agg(F.count(F.lit(1)).alias("n"), F.bit_or("mask").alias("bf"))
     else:
-        table = _code_table(reads, k, seq, True).filter(F.col("n") >= least).select(S.unpack(F.col("code"), k).alias("canon"), "n", "bf")
+        table = _code_table(reads, k, seq).filter(F.col("n") >= least).select(S.unpacked(F.col("code"), k).alias("canon"), "n", "bf")
     if least <= 1:
         return table
     kept = table.filter(F.col("n") >= least)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import seq as S
+from ..session import materialise
 from . import suffixes
 from .kmers import canonical_rows
 
@@ -89,17 +92,54 @@ def best_candidates(candidates: DataFrame, key: str = "rec_id", score: str = "sc
     return tied.filter("r = 1").drop("r", "top")
 
 
-def located(points: DataFrame, slots: DataFrame, width: int = 4096) -> DataFrame:
-    """``point`` columns with the slot that holds their position: the last start at or before it.
+def _carried(source):
+    """Sorted rows with the last slot at or before each, within the partition, and the partition's number."""
+    from pyspark import TaskContext
 
-    Both sides are cut into buckets of ``width``; a slot is listed in every bucket it spans, so the
-    range join is an equi-join.
+    part, last = TaskContext.get().partitionId(), None
+    for b in source:
+        where = b.schema.names.index("slot")
+        own = b.column(where)
+        own = pa.concat_arrays([pa.nulls(1, own.type) if last is None else last, own])
+        at = np.maximum.accumulate(np.where(own.is_valid().to_numpy(zero_copy_only=False), np.arange(len(own)), 0))
+        own = own.take(pa.array(at))
+        last = own.slice(len(own) - 1)
+        rows = b.set_column(where, "slot", own.slice(1))
+        yield rows.append_column("part", pa.array(np.full(b.num_rows, part, np.int32)))
+
+
+def located(points: DataFrame, slots: DataFrame) -> DataFrame:
+    """``points`` with the ``node_id, start`` of the slot that holds their ``position``: the last start at or before it.
+
+    An as-of join in one pass: both sides are range-partitioned by position and sorted together,
+    each partition carries its last start along, and the last start of the partitions before (a row
+    for each partition) fills in what comes ahead of a partition's first.  A slot's width costs
+    nothing, and many points at one position spread over partitions.  Points before the first start,
+    at or beyond their slot's ``end`` (if slots have one) or without a position are left out; of slots
+    with one start the last by end and id counts.
     """
-    nxt = F.lead("start").over(Window.orderBy("start")) if "end" not in slots.columns else F.col("end")
-    spans = slots.select("node_id", "start", nxt.alias("end"))
-    listed = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
-    asked = points.withColumn("bucket", F.floor(F.col("position") / width))
-    return asked.join(listed, "bucket").filter("position >= start and position < end").drop("bucket", "end")
+    spark = points.sparkSession
+    ended = "end" in slots.columns
+    slot = F.struct(F.col("start").cast("long").alias("start"), (F.col("end") if ended else F.lit(None)).cast("long").alias("end"), F.col("node_id"))
+    point = F.struct(*points.columns)
+    nothing = lambda c, df: F.lit(None).cast(df.select(c.alias("x")).schema["x"].dataType)
+    both = slots.filter("start is not null").select(F.col("start").cast("long").alias("at"), F.lit(0).alias("kind"), slot.alias("slot"), nothing(point, points).alias("point"))
+    both = both.unionByName(points.filter("position is not null").select(F.col("position").cast("long").alias("at"), F.lit(1).alias("kind"), nothing(slot, slots).alias("slot"), point.alias("point")))
+    order = ["at", "kind", "slot", "spread"]
+    dealt = both.withColumn("spread", F.when(F.col("kind") == 1, F.monotonically_increasing_id()))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*dealt.drop("spread").schema.fields, T.StructField("part", T.IntegerType())])
+    sorted_rows = dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("spread")
+    placed = materialise(sorted_rows.mapInArrow(_carried, schema), "placed")
+    carried, last = [], None
+    for r in placed.groupBy("part").agg(F.max("slot").alias("slot")).orderBy("part").collect():  # a row for each partition
+        carried.append((r["part"], last))
+        last = r["slot"] or last
+    before = F.broadcast(spark.createDataFrame(carried, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("before", both.schema["slot"].dataType)])))
+    found = placed.filter("kind = 1").join(before, "part").withColumn("slot", F.coalesce("slot", "before")).filter("slot is not null")
+    if ended:
+        found = found.filter("at < slot.end")
+    return found.select("point.*", "slot.node_id", "slot.start")
 
 
 def exact_matches(reads: DataFrame, nodes: DataFrame, least: int = MEM_LEAST, key: str = "rec_id", both_strands: bool = True) -> DataFrame:

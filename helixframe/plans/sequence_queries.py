@@ -32,6 +32,20 @@ def pack_kmers(spark, sf):
     return rows.select("item_id", F.col("pos").cast("long").alias("pos"), S.pack(F.col("kmer")).alias("packed")).withColumn("unpacked", S.unpack(F.col("packed"), K))
 
 
+def _code_sql(first: int, last: int) -> str:
+    """Bases ``first`` to ``last`` (from 1) of a k-mer as a whole number."""
+    return f"list_sum(list_transform(range({first}, {last + 1}), lambda i: (instr('ACGT', substr(kmer, i::INTEGER, 1)) - 1)::HUGEINT * (1::HUGEINT << (2 * (i - {first}))::INTEGER)))"
+
+
+@query("f05_long_codes", f"WITH {BENCH}, {Q.kmers('item_id', 63)}, d AS (SELECT DISTINCT kmer FROM km) SELECT kmer, {_code_sql(33, 63)}::BIGINT AS high, ({_code_sql(1, 32)} - 9223372036854775808::HUGEINT)::BIGINT AS low, row_number() OVER (ORDER BY reverse(kmer))::BIGINT AS colex_rank FROM d")
+def long_codes(spark, sf):
+    """Distinct 63-mers as codes of two longs, numbered in the codes' order."""
+    from ..session import numbered
+
+    d = kmers.kmer_rows(sequences(spark, sf, "benchmark", "item_id"), 63).select(S.pack_long(F.col("kmer")).alias("code")).distinct()
+    return numbered(d, ["code"], "colex_rank").select(S.unpack_long(F.col("code"), 63).alias("kmer"), "code.high", "code.low", "colex_rank")
+
+
 @query("f02_revcomp", f"WITH {BENCH} SELECT item_id, {Q.rc('seq')} AS rc FROM s")
 def revcomp(spark, sf):
     return sequences(spark, sf, "benchmark", "item_id").select("item_id", S.revcomp(F.col("seq")).alias("rc"))
@@ -243,6 +257,17 @@ def kmer_table_k31(spark, sf):
     return kmers.kmer_counts(sequences(spark, sf), 31, 3)
 
 
+@query("a01_kmer_table_k63", f"WITH {DOCS}, {Q.kmers('doc_id', 63)} SELECT {Q.canon('kmer')} AS canon, count(*) AS n FROM km GROUP BY 1")
+def kmer_table_k63(spark, sf):
+    """Codes of two longs."""
+    return kmers.kmer_counts(sequences(spark, sf), 63)
+
+
+@query("a03_overlap_mask_k63", f"WITH {DOCS}, {Q.overlaps('doc_id', 63)} SELECT canon, n, bf::INTEGER AS bf FROM ov")
+def overlap_mask_k63(spark, sf):
+    return kmers.overlap_table(sequences(spark, sf), 63).select("canon", "n", F.col("bf").cast("int").alias("bf"))
+
+
 COUNTS = f"{DOCS}, {Q.kmers('doc_id')}, kc AS (SELECT {Q.canon('kmer')} AS canon, count(*) AS n FROM km GROUP BY 1)"
 
 

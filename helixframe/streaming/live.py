@@ -18,11 +18,11 @@ def read_lines(spark: SparkSession, folder: str, files_per_trigger: int = 16) ->
 def running_counts(reads: DataFrame, k: int) -> DataFrame:
     """``canon, n`` as a stateful aggregate; use output mode ``update`` or ``complete``.
 
-    Up to k = 31 the state's keys are codes, and letters are restored in what is put out.
+    Up to k = 63 the state's keys are codes, and letters are restored in what is put out.
     """
-    if k <= codes.MOST_K:
+    if k <= codes.MOST_LONG_K:
         counted = canonical_rows(reads, k).groupBy(F.col("canon").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-        return counted.select(S.unpack(F.col("code"), k).alias("canon"), "n")
+        return counted.select(S.unpacked(F.col("code"), k).alias("canon"), "n")
     return kmer_rows(reads, k).groupBy(S.canonical(F.col("kmer")).alias("canon")).agg(F.count(F.lit(1)).alias("n"))
 
 
