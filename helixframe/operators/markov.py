@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import expected_coverage, log10_poisson_ratio
 from ..session import materialise
+from .seeds import islands, kmer_index, lookup
 
 ORDERS = range(2, 10)
 LEAST_EXPECTED = 10
@@ -111,10 +112,33 @@ def propagate(table: DataFrame, orders=ORDERS, mark: bool = False) -> DataFrame:
     return table
 
 
-def train(chains: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, coverage: float, mean_length: float, orders=ORDERS) -> DataFrame:
-    """The Markov table of a set of node paths."""
+def train(chains: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, coverage: float, mean_length: float, orders=ORDERS, from_seeds: bool = False) -> DataFrame:
+    """The Markov table of a set of node paths (M01, M08); ``from_seeds``: errors thin the expected coverage."""
     branching = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-    return propagate(decide(with_lengths(transitions(chains, orders, True, branching), nodes, k), coverage, mean_length), orders)
+    return propagate(decide(with_lengths(transitions(chains, orders, True, branching), nodes, k), coverage, mean_length, from_seeds), orders)
+
+
+def seed_chains(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, key: str = "rec_id") -> DataFrame:
+    """``key, chain``: the node paths of each read's k-mers, where they are of three nodes or more.
+
+    A path goes on over k-mers that the graph doesn't have if what follows them lies where it would lie
+    without the error.  Reads of less than k + 2 bases give none.
+    """
+    used = reads.select(key, "seq").filter(F.length("seq") >= k + ORDERS[0])
+    hits = lookup(used, kmer_index(nodes, k), k, key)
+    return islands(hits, arcs, key).filter(F.size("chain") > ORDERS[0]).select(key, "chain")
+
+
+def train_from_seeds(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, orders=ORDERS, key: str = "rec_id") -> DataFrame:
+    """The Markov table of reads as they are, without an alignment.
+
+    Coverage and mean length are those of all reads, short ones too; no reads give an empty table.
+    """
+    seen = reads.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("seq")).alias("mean")).first()
+    size = nodes.agg(F.sum("marg_len").alias("size")).first()["size"] or 0
+    mean = seen["mean"] or 0.0
+    chains = materialise(seed_chains(reads, nodes, arcs, k, key), "seed_chains")
+    return train(chains, nodes, arcs, k, estimated_coverage(seen["n"], size, mean), mean, orders, True)
 
 
 def longest_context(paths: DataFrame, table: DataFrame, keys: list[str], orders=ORDERS) -> DataFrame:

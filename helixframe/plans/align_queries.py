@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extend, graph
+from ..operators import extend, graph, markov
 from ..session import materialise
 from . import sqltext as Q
+from .graph_queries import mutated_reads
 from .registry import query
 from .tables import benchmark_graph, sequences
 
@@ -86,3 +87,43 @@ def without_fallback(spark, sf):
     reads = turned_reads(spark, sf)
     found = extend.align_pass1(reads, nodes, arcs, FALLBACK_K, mem=False)
     return found.agg(F.count(F.lit(1)).alias("reads"), F.count_if("aligned").alias("aligned"))
+
+
+ORDERS = (2, 3, 4)
+# reads with turned bases; where each of their k-mers lies; runs that lie where they would without the errors between them
+SEEDS = f"""{Q.graph(k=K)}, cu AS (SELECT item_id * 1000 + a0 // 60 AS rec_id, substr(seq, a0 + 1, 120) AS p FROM (SELECT item_id, seq, unnest(range(0, greatest(length(seq) - 60, 0) + 1, 60)) AS a0 FROM s) x),
+re AS (SELECT rec_id, array_to_string(list_transform(range(1, length(p) + 1), lambda i: CASE WHEN i % 37 = 0 THEN translate(substr(p, i::INTEGER, 1), 'ACGT', 'CGTA') ELSE substr(p, i::INTEGER, 1) END), '') AS r FROM cu),
+nk AS (SELECT node, i AS pos, substr(seq, i + 1, {K}) AS kmer, length(seq) - {K - 1} AS m FROM (SELECT node, seq, unnest(range(0, length(seq) - {K - 1})) AS i FROM sn) x),
+rk AS (SELECT rec_id, i AS rpos, substr(r, i + 1, {K}) AS kmer FROM (SELECT rec_id, r, unnest(range(0, length(r) - {K - 1})) AS i FROM re WHERE length(r) >= {K + 2}) x),
+pl AS (SELECT rec_id, rpos, node, pos, m, lag(node) OVER w AS p_node, lag(pos) OVER w AS p_pos, lag(m) OVER w AS p_m, lag(rpos) OVER w AS p_rpos FROM rk JOIN nk USING (kmer) WINDOW w AS (PARTITION BY rec_id ORDER BY rpos)),
+ad AS (SELECT DISTINCT src, dst FROM ar),
+is0 AS (SELECT pl.*, coalesce((node = p_node AND pos > p_pos AND pos - p_pos = rpos - p_rpos) OR (ad.src IS NOT NULL AND p_m - p_pos + pos = rpos - p_rpos), FALSE) AS goes_on FROM pl LEFT JOIN ad ON ad.src = p_node AND ad.dst = node),
+is1 AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id ORDER BY rpos) AS island FROM is0),
+ch AS (SELECT rec_id, island, array_agg(node ORDER BY rpos) FILTER (WHERE NOT goes_on OR node <> p_node) AS chain FROM is1 GROUP BY 1, 2)"""
+TRAINED = f"""{SEEDS}, {Q.grams(ORDERS)}, br AS (SELECT src FROM ar GROUP BY 1 HAVING count(*) > 1),
+tr AS (SELECT ord, chain, next_node, count(*) AS freq FROM gr WHERE chain[-1] IN (SELECT src FROM br) GROUP BY ALL),
+st AS (SELECT floor(count(*)::DOUBLE / (SELECT sum(length(seq) - {K - 1}) FROM un) * avg(length(r))) AS cover, greatest(floor(avg(length(r))), 1) AS mean FROM re),
+le AS (SELECT ord, chain, next_node, freq, ({K + 1} + (SELECT sum(length(seq) - {K - 1}) FROM (SELECT unnest(chain[2:]) AS n) q JOIN un ON un.node_id = abs(n)))::DOUBLE AS avg_len FROM tr),
+ex AS (SELECT le.*, greatest(0, cover / mean * (mean - avg_len + 1) * pow(1 - 0.005::DOUBLE, avg_len)) AS expected FROM le, st),
+od AS (SELECT *, CASE WHEN expected > 0 THEN (freq * (ln(1.0::DOUBLE) - ln(expected)) - 1 + expected) / ln(10.0::DOUBLE) END AS odds FROM ex),
+de AS (SELECT *, NOT coalesce(expected >= 10 AND odds > 5 AND freq < expected, FALSE) AS accepted FROM od),
+s2 AS (SELECT chain FROM de WHERE ord = 2 AND accepted GROUP BY chain HAVING count(*) = 1),
+p2 AS (SELECT * FROM de WHERE ord = 2 OR chain[-2:] NOT IN (SELECT chain FROM s2)),
+s3 AS (SELECT chain FROM p2 WHERE ord = 3 AND accepted GROUP BY chain HAVING count(*) = 1),
+p3 AS (SELECT * FROM p2 WHERE ord <= 3 OR chain[-3:] NOT IN (SELECT chain FROM s3))"""
+
+
+@query("m02_seed_chains", f"WITH RECURSIVE {SEEDS} SELECT rec_id, {Q.join_text('chain')} AS chain FROM ch WHERE len(chain) >= 3")
+def seed_chains(spark, sf):
+    """Node paths of reads with turned bases, from their k-mers alone."""
+    _, nodes, arcs = benchmark_graph(spark, sf, K)
+    found = markov.seed_chains(mutated_reads(spark, sf), nodes, arcs, K)
+    return found.select("rec_id", F.array_join(F.col("chain").cast("array<string>"), " ").alias("chain"))
+
+
+@query("m02_seed_table", f"WITH RECURSIVE {TRAINED} SELECT ord, {Q.join_text('chain')} AS chain, next_node, freq, avg_len, round(expected, 9) AS expected, accepted FROM p3")
+def seed_table(spark, sf):
+    """The Markov table trained from k-mers: reads to table without an alignment."""
+    _, nodes, arcs = benchmark_graph(spark, sf, K)
+    t = markov.train_from_seeds(mutated_reads(spark, sf), nodes, arcs, K, ORDERS)
+    return t.select("ord", F.array_join(F.col("chain").cast("array<string>"), " ").alias("chain"), "next_node", "freq", "avg_len", F.round("expected", 9).alias("expected"), "accepted")
