@@ -51,16 +51,15 @@ _TOP = -(1 << 63)
 
 def pack_long(kmer: Column) -> Column:
     """``high, low`` of a k-mer of 32 to 63 bases: bases 32 and on, and the first 32 with the top bit turned over; ordered like the codes."""
-    digits = F.translate(kmer, "ACGT", "0123")
-    low = F.conv(F.reverse(F.substring(digits, 1, 32)), 4, -10).cast("long").bitwiseXOR(F.lit(_TOP))
-    high = F.conv(F.concat(F.lit("0"), F.reverse(F.substring(digits, 33, 31))), 4, 10).cast("long")
-    return F.struct(high.alias("high"), low.alias("low"))
+    part = lambda at, n: pack(F.concat(F.substring(kmer, at, n), F.lit("A")))  # noqa: E731  an A more changes nothing
+    low = part(1, 16).bitwiseOR(F.shiftleft(part(17, 16), 32)).bitwiseXOR(F.lit(_TOP))
+    return F.struct(part(33, 31).alias("high"), low.alias("low"))
 
 
 def unpack_long(packed: Column, k: int) -> Column:
-    low = F.lpad(F.conv(packed["low"].bitwiseXOR(F.lit(_TOP)).cast("string"), 10, 4), 32, "0")
-    letters = F.translate(F.reverse(low), "0123", "ACGT")
-    return letters if k == 32 else F.concat(letters, unpack(packed["high"], k - 32))
+    low = packed["low"].bitwiseXOR(F.lit(_TOP))
+    halves = [unpack(low.bitwiseAND(F.lit((1 << 32) - 1)), 16), unpack(F.shiftrightunsigned(low, 32), 16)]  # 64 bits at once would be signed
+    return F.concat(*halves, *([unpack(packed["high"], k - 32)] if k > 32 else []))
 
 
 def unpacked(code: Column, k: int) -> Column:

@@ -118,15 +118,15 @@ def train(chains: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, coverage
     return propagate(decide(with_lengths(transitions(chains, orders, True, branching), nodes, k), coverage, mean_length, from_seeds), orders)
 
 
-def seed_chains(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, key: str = "rec_id") -> DataFrame:
-    """``key, chain``: the node paths of each read's k-mers, where they are of three nodes or more.
+def seed_chains(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, key: str = "rec_id", least: int = ORDERS[0] + 1) -> DataFrame:
+    """``key, chain``: the node paths of each read's k-mers, where they are of ``least`` nodes or more.
 
     A path goes on over k-mers that the graph doesn't have if what follows them lies where it would lie
     without the error.  Reads of less than k + 2 bases give none.
     """
     used = reads.select(key, "seq").filter(F.length("seq") >= k + ORDERS[0])
     hits = lookup(used, kmer_index(nodes, k), k, key)
-    return islands(hits, arcs, key).filter(F.size("chain") > ORDERS[0]).select(key, "chain")
+    return islands(hits, arcs, key).filter(F.size("chain") >= least).select(key, "chain")
 
 
 def train_from_seeds(reads: DataFrame, nodes: DataFrame, arcs: DataFrame, k: int, orders=ORDERS, key: str = "rec_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extend, graph, markov
+from ..operators import extend, graph, markov, reduce
 from ..session import materialise
 from . import sqltext as Q
 from .graph_queries import mutated_reads
@@ -127,3 +127,46 @@ def seed_table(spark, sf):
     _, nodes, arcs = benchmark_graph(spark, sf, K)
     t = markov.train_from_seeds(mutated_reads(spark, sf), nodes, arcs, K, ORDERS)
     return t.select("ord", F.array_join(F.col("chain").cast("array<string>"), " ").alias("chain"), "next_node", "freq", "avg_len", F.round("expected", 9).alias("expected"), "accepted")
+
+
+# paths of reads on both strands from every place on; where all of them agree, and so do those that come back from the end
+REDUCED = f"""{CHAINS}, bo AS (SELECT chain AS s FROM cn UNION ALL SELECT {Q.back('chain')} FROM cn),
+se AS (SELECT s[i] AS a, s[i + 1] AS b, s[i:] AS s FROM (SELECT s, unnest(range(1, len(s))) AS i FROM bo) x),
+si AS (SELECT src AS a, min(dst) AS b FROM ar GROUP BY 1 HAVING count(DISTINCT dst) = 1 AND abs(src) <> abs(min(dst))),
+lv AS (SELECT a, l, count(DISTINCT s[l]) AS c, min(s[l]) AS y, min(s[:l]) AS path FROM (SELECT a, s, unnest(range(3, len(s) + 1)) AS l FROM se JOIN si USING (a, b)) x GROUP BY 1, 2),
+sp AS (SELECT a, min(l) AS stop FROM lv WHERE c > 1 OR abs(y) = abs(a) GROUP BY 1),
+ca AS (SELECT lv.a, l, path FROM lv LEFT JOIN sp USING (a) WHERE (stop IS NULL OR l < stop) AND NOT list_contains(list_transform(path[:l - 1], lambda v: abs(v)), abs(path[l]))),
+ju AS (SELECT ca.a, l, path FROM ca JOIN se ON se.a = -path[-1] AND se.b = -path[-2] GROUP BY 1, 2, 3 HAVING bool_and(s[1:l] = ({Q.back('path')})[1:least(len(s), l)]) AND max(len(s)) >= l),
+rd AS (SELECT a, arg_min(path, l) AS path FROM ju GROUP BY 1),
+re1 AS (SELECT a, path FROM rd WHERE path[-1] IN (SELECT dst FROM ar GROUP BY 1 HAVING count(DISTINCT src) > 1) OR path < {Q.back('path')}),
+us AS (SELECT path, abs(path[1]) AS node, TRUE AS e FROM re1 UNION SELECT path, abs(path[-1]), TRUE FROM re1 UNION SELECT path, abs(unnest(path[2:-2])), FALSE FROM re1),
+le AS (SELECT node, min(path) FILTER (WHERE e) AS le, min(path) FILTER (WHERE NOT e) AS li FROM us GROUP BY 1),
+ch1 AS (SELECT a, path FROM re1 WHERE path NOT IN (SELECT path FROM us JOIN le USING (node) WHERE coalesce(le.le < path, FALSE) OR (e AND coalesce(le.li < path, FALSE))))"""
+
+
+def read_paths(spark, sf):
+    """Graph and node paths of the benchmark's reads, from their k-mers."""
+    _, nodes, arcs = benchmark_graph(spark, sf, K)
+    chains = markov.seed_chains(exact_reads(spark, sf), nodes, arcs, K, least=1).withColumnRenamed("rec_id", "chain_id")
+    return nodes, arcs, materialise(chains, "chains")
+
+
+def _text(c: str):
+    return F.array_join(F.col(c).cast("array<string>"), " ")
+
+
+@query("g12_chain_reductions", f"WITH RECURSIVE {REDUCED} SELECT a, {Q.join_text('path')} AS path FROM re1")
+def chain_reductions(spark, sf):
+    """Paths that reads take without a choice from a node with one way on."""
+    _, arcs, chains = read_paths(spark, sf)
+    return reduce.find_reductions(arcs, chains).select("a", _text("path").alias("path"))
+
+
+@query("g15_reduction_round", f"""WITH RECURSIVE {REDUCED}, en AS (SELECT path[1] AS a, path[2] AS b, path[-2] AS x, path[-1] AS y FROM ch1),
+go AS (SELECT a AS src, b AS dst FROM en UNION SELECT x, y FROM en UNION SELECT -b, -a FROM en UNION SELECT -y, -x FROM en)
+SELECT src, dst FROM ad0 WHERE (src, dst) NOT IN (SELECT (src, dst) FROM go) UNION ALL SELECT a, y FROM en UNION ALL SELECT -y, -a FROM en""".replace("FROM ad0", "FROM (SELECT DISTINCT src, dst FROM ar) ad0"))
+def reduction_round(spark, sf):
+    """Arcs after one round of reductions that don't meet."""
+    nodes, arcs, chains = read_paths(spark, sf)
+    done = reduce.reduce_round(nodes, arcs, chains, K)
+    return (arcs if done is None else done[1]).select("src", "dst").distinct()

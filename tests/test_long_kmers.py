@@ -18,7 +18,7 @@ def plain_counts(seqs, k):
 
 def reads():
     a = genome(400, 3)
-    return [a, turn(a)[30:200], "A" * 150, "T" * 90 + "N" + a[:70], "ACG", "", a[100:170], "AT" * 60]
+    return [a, turn(a)[30:200], "A" * 150, "T" * 90 + "N" + a[:70], "ACG", "", a[100:170], "AT" * 60, "A" * 31 + "GATAGATA" * 8]
 
 
 @pytest.mark.parametrize("k", [31, 32, 33, 47, 62, 63, 64])
@@ -41,7 +41,7 @@ def test_counts_and_masks(spark, k):
 
 @pytest.mark.parametrize("k", [32, 33, 63])
 def test_pack_order_and_letters(spark, k):
-    words = sorted({w for w in plain_counts(reads(), k)} | {b * k for b in "ACGT"} | {"A" * (k - 1) + "T", "T" + "A" * (k - 1), "A" * 31 + "T" + "A" * (k - 32)}, key=lambda w: w[::-1])
+    words = sorted({w for w in plain_counts(reads(), k)} | {b * k for b in "ACGT"} | {"A" * 31 + "G" + "A" * (k - 32), "A" * 31 + "G" + "T" * (k - 32), "A" * (k - 1) + "T", "T" + "A" * (k - 1), "A" * 31 + "T" + "A" * (k - 32)}, key=lambda w: w[::-1])
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i long, w string").withColumn("code", S.pack_long(F.col("w")))
     rows = df.withColumn("back", S.unpack_long(F.col("code"), k)).orderBy("code").collect()
     assert [r["w"] for r in rows] == words
