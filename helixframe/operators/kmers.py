@@ -186,14 +186,15 @@ def counted_codes(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return canonical_of(each, k).groupBy("minimizer", "code").agg(F.sum("times").alias("n")).select("code", "n")
 
 
-def _code_table(reads: DataFrame, k: int, seq: str) -> DataFrame:
-    """``code, n, bf``: counts and neighbour bits of canonical codes."""
+def _code_table(reads: DataFrame, k: int, seq: str, masks: bool) -> DataFrame:
+    """``code, n, bf``: counts, and with ``masks`` the neighbour bits, of canonical codes."""
     found = codes.neighbour_masks if k <= codes.MOST_K else codes.neighbour_pair_masks
 
     def run(source):
         held, size = [], 0
         for b in source:
-            for columns in found(b.column(0), k):
+            for *code, mask in found(b.column(0), k):
+                columns = (*code, mask if masks else np.zeros_like(mask))
                 held.append(columns)
                 size += len(columns[0])
                 if size >= HELD_CODES:
@@ -241,7 +242,7 @@ def overlap_table(reads: DataFrame, k: int, least: int = 1, seq: str = "seq") ->
     if k > codes.MOST_LONG_K:
         table = neighbour_rows(reads, k, seq).groupBy("canon").agg(F.count(F.lit(1)).alias("n"), F.bit_or("mask").alias("bf"))
     else:
-        table = _code_table(reads, k, seq).filter(F.col("n") >= least).select(S.unpacked(F.col("code"), k).alias("canon"), "n", "bf")
+        table = _code_table(reads, k, seq, True).filter(F.col("n") >= least).select(S.unpacked(F.col("code"), k).alias("canon"), "n", "bf")
     if least <= 1:
         return table
     kept = table.filter(F.col("n") >= least)
