@@ -348,3 +348,31 @@ def test_streaming_windows_and_hits(spark, tmp_path):
     q.stop()
     want = sum(len(x) - K + 1 for b in batches for _, x in b)
     assert spark.sql("select count(*) as n from live_hits").first()["n"] == want
+
+
+@pytest.mark.parametrize("k", [3, 11, 21])
+def test_links_by_shared_bases_equal_the_join(spark, k):
+    seqs = [genome(3000, 4), genome(400, 5) + turn(genome(400, 5)), "A" * 50, "ACG" * 20 + "N" + "AT" * 30, "C" * 40 + "GATTACA", "", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "rec_id long, seq string")
+    links = graph.unique_links(kmers.overlap_table(df, k)).collect()
+    want = (len(links), len({x["kmer"] for x in links}), len({x["next"] for x in links}))
+    assert tuple(kmers.link_totals(kmers.middle_links(df, k)).first()) == want and (want[0] > 0 or k == 3)
+
+
+@pytest.mark.parametrize("k", [21, 45])
+def test_masks_by_minimizer_equal_the_plain_form(spark, k):
+    df = table(spark, genome(900, 6), turn(genome(900, 6))[100:500], "N" + "A" * 90, "AC" * 50 + "N" + genome(100, 7))
+    flat = lambda t: sorted(map(str, t.select("code", "n", "bf").collect()))
+    assert flat(kmers.masked_codes(df, k)) == flat(kmers._code_table(df, k, "seq", True))
+    plan = kmers.overlap_table(df, k)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_counting_tasks_grow_with_the_files(spark, tmp_path, monkeypatch):
+    table(spark, *[genome(2000, i) for i in range(40)]).write.parquet(str(tmp_path / "reads"))
+    df = spark.read.parquet(str(tmp_path / "reads"))
+    assert kmers.counting_parts(df) == 8
+    monkeypatch.setattr(kmers, "COUNTED_BYTES", 1000)
+    assert kmers.counting_parts(df) > 20
+    assert kmers.counting_parts(table(spark, genome(300))) == 8
+    assert kmers.kmer_totals(kmers.kmer_counts(df, 31)).first()["total_kmers"] == 40 * 1970
