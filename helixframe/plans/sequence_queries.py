@@ -342,9 +342,9 @@ def range_locate(spark, sf):
 @query("j01_unmatched_reads", f"""WITH {BENCH}, {Q.kmers('item_id')}, {Q.seqs('documents', 'doc_id', 'd')}, {Q.kmers('doc_id', K, 'd', 'dk')}, kc AS (SELECT DISTINCT {Q.canon('kmer')} AS canon FROM dk)
 SELECT item_id, count(*) AS unmatched FROM km WHERE {Q.canon('kmer')} NOT IN (SELECT canon FROM kc) GROUP BY item_id""")
 def unmatched_reads(spark, sf):
-    rows = kmers.kmer_rows(sequences(spark, sf, "benchmark", "item_id"), K, ["item_id"])
-    known = kmers.kmer_counts(sequences(spark, sf), K)
-    return kmers.with_known(rows, known, how="left_anti").groupBy("item_id").agg(F.count(F.lit(1)).alias("unmatched"))
+    rows = kmers.canonical_rows(sequences(spark, sf, "benchmark", "item_id"), K, ["item_id"])
+    known = kmers.known_codes(rows, sequences(spark, sf), K)
+    return rows.join(known, "canon", "left_anti").groupBy("item_id").agg(F.count(F.lit(1)).alias("unmatched"))
 
 
 LOOKUP = f"""{BENCH}, {Q.kmers('item_id')}, {Q.seqs('documents', 'doc_id', 'd')}, {Q.kmers('doc_id', K, 'd', 'dk')},

@@ -376,3 +376,40 @@ def test_counting_tasks_grow_with_the_files(spark, tmp_path, monkeypatch):
     assert kmers.counting_parts(df) > 20
     assert kmers.counting_parts(table(spark, genome(300))) == 8
     assert kmers.kmer_totals(kmers.kmer_counts(df, 31)).first()["total_kmers"] == 40 * 1970
+
+
+def test_reach_takes_few_rounds_whatever_the_nodes_lengths(spark, monkeypatch):
+    import heapq
+
+    r = random.Random(5)
+    arcs = [(i, i + 1) for i in range(1, 150)] + [(r.randrange(1, 150), r.randrange(1, 150)) for _ in range(12)] + [(7, 7)]
+    cost = {i: 90 if i % 50 == 0 else 1 + i % 2 for i in range(1, 151)}
+    want = {}
+    for s in cost:
+        heap = [(cost[b], b) for a, b in arcs if a == s]
+        heapq.heapify(heap)
+        while heap:
+            d, n = heapq.heappop(heap)
+            if d <= 160 and (s, n) not in want:
+                want[s, n] = d
+                for a, b in arcs:
+                    if a == n:
+                        heapq.heappush(heap, (d + cost[b], b))
+    written, own = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name="step": written.append(name) or own(df, name))
+    lengths = spark.createDataFrame(list(cost.items()), "node int, marg_len int")
+    got = graph.reachable(spark.createDataFrame(arcs, "src int, dst int"), lengths, lengths.select("node"), 160)
+    assert {(x["source"], x["node"]): x["dist"] for x in got.collect()} == want
+    assert len(written) < 40
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_known_codes(spark, monkeypatch, few):
+    monkeypatch.setattr(kmers, "FEW_CODES", few)
+    g, h = genome(300, 1), genome(200, 2)
+    asked = kmers.canonical_rows(table(spark, g, h), 21, ["rec_id"])
+    reads = table(spark, turn(g)[40:200], "N" + h[:50], None if few else "")
+    held = {x["canon"] for t in (turn(g)[40:200], h[:50]) for x in kmers.canonical_rows(table(spark, t), 21).collect()}
+    got = kmers.known_codes(asked, reads, 21)
+    assert sorted(x["canon"] for x in got.collect()) == sorted(held)
+    assert not few or "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
