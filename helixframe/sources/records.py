@@ -13,12 +13,17 @@ record ends one.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
+#: Bytes of lines that a task's Python holds as strings at once.
+PIECE_BYTES = 4 << 20
+
 FIELDS = ("head", "read", "plus", "qual")
 
 
@@ -114,10 +119,20 @@ class _Split:
                 yield both[:whole]
 
 
+def _pieces(source):
+    """Slices of batches that hold about ``PIECE_BYTES`` of lines, so that Python's copies don't grow with a batch."""
+    for b in source:
+        sizes = pa.compute.binary_length(b.column(b.schema.get_field_index("value"))).fill_null(0)
+        held = np.cumsum(np.asarray(sizes, np.int64)) // PIECE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), b.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            yield b.slice(low, high - low)
+
+
 def _splits(source, cutter):
-    """(file, start, split, records' lines) for each batch of lines of each split."""
+    """(file, start, split, records' lines) for each piece of lines of each split."""
     now, key = None, None
-    for b in source:
+    for b in _pieces(source):
         files, starts, lines = (b.column(c).to_pylist() for c in ("file", "start", "value"))
         at = 0
         while at < len(lines):
@@ -142,6 +157,19 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
 
 
+def _numbered_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """Records of a line each, numbered without Python: a split's lines are in one task and in order, so its first number and its count place them all."""
+    placed = lines.withColumn("id__", F.monotonically_increasing_id())
+    known = placed.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("id__").alias("first"))
+    offsets, total = [], 0
+    for r in sorted(known.collect(), key=lambda r: (r["file"], r["start"])):  # a row for each split
+        offsets.append((r["file"], r["start"], total - r["first"]))
+        total += r["n"]
+    before = F.broadcast(spark.createDataFrame(offsets, "file string, start long, offset long"))
+    none = F.lit(None).cast("string")
+    return placed.join(before, ["file", "start"]).select((F.col("offset") + F.col("id__")).alias("rec_id"), F.col("value").alias("head"), none.alias("read"), none.alias("plus"), none.alias("qual"))
+
+
 def scan(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """``rec_id, head, read, plus, qual`` of a file's or folder's records, numbered from 0 by file name and place.
 
@@ -150,6 +178,8 @@ def scan(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """
     cutter = CUTTERS[kind]
     lines = _scan(spark, path)
+    if cutter is Lines:
+        return _numbered_lines(spark, lines)
 
     def summarise(source):
         for (file, start), split, whole in _splits(source, cutter):

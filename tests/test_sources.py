@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.sources import reads as R
-from helixframe.sources import sinks
+from helixframe.sources import records, sinks
 
 FASTA = "junk before\n>r1 first\nACGTAC\nGTAC\n>r2\nNNACGT\n"
 FASTQ = "@q1/1 a\nACGT\n+\nIIII\n@q1/2\nTTGCA\n+q1\n@II+>\n@empty\n\n+\n\n"
@@ -157,3 +157,21 @@ def test_empty_files(spark, tmp_path):
     assert rows(R.read_fasta(spark, str(tmp_path / "h.fasta"))) == [(0, ""), (1, "")]
     (tmp_path / "c.fastq").write_text("@a\nAC\n+\nII\n@b\nGG\n")
     assert rows(R.read_fastq(spark, str(tmp_path / "c.fastq"))) == [(0, "AC"), (1, "GG")]
+
+
+def test_lines_are_numbered_without_python(spark, tmp_path):
+    for name in ("raw", "sam"):
+        path = tmp_path / f"many.{name}"
+        path.write_text("".join(f"r{i}\n" if i % 3 else "\n" for i in range(5000)))
+        found = records.scan(spark, str(path), name)
+        assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r["rec_id"]: r["head"] for r in found.filter("head <> ''").collect()} == {i: f"r{i}" for i in range(5000) if i % 3}
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(records, "PIECE_BYTES", 50)
+    b = pa.RecordBatch.from_pydict({"value": ["A" * 20] * 30 + [None, "", "C" * 500], "n": list(range(33))})
+    pieces = list(records._pieces([b, b.slice(0, 0)]))
+    assert [n for p in pieces for n in p.column(1).to_pylist()] == list(range(33)) and max(p.num_rows for p in pieces) < 6
