@@ -403,6 +403,72 @@ def test_reach_takes_few_rounds_whatever_the_nodes_lengths(spark, monkeypatch):
     assert len(written) < 40
 
 
+def reached(arcs, cost, max_len):
+    import heapq
+
+    after, found = {}, {}
+    for a, b in arcs:
+        after.setdefault(a, []).append(b)
+    for s in {a for a, _ in arcs}:
+        heap = [(cost[b], b) for b in after[s]]
+        heapq.heapify(heap)
+        while heap:
+            d, n = heapq.heappop(heap)
+            if d <= max_len and (s, n) not in found:
+                found[s, n] = d
+                for b in after.get(n, ()):
+                    heapq.heappush(heap, (d + cost[b], b))
+    return found
+
+
+@pytest.mark.parametrize("cells", [1, 3000, 1 << 21])
+def test_reach_in_a_dense_graph_joins_no_paths_with_paths(spark, monkeypatch, cells):
+    r = random.Random(cells)
+    cost = {i: r.choice([1, 2, 3, 40, 300]) for i in range(-150, 150)}
+    arcs = list({(r.randrange(-150, 150), r.randrange(-150, 150)) for _ in range(900)}) + [(8, 8)]
+    written, own = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name="step": written.append(name) or own(df, name))
+    blocks = graph.paths.shortest
+
+    def shortest(*args, cells=cells):  # runs in the workers
+        from helixframe.functions import paths
+
+        paths.CELLS = cells
+        return blocks(*args)
+
+    monkeypatch.setattr(graph.paths, "shortest", shortest)
+    lengths = spark.createDataFrame([*cost.items(), (999, 1)], "node int, marg_len int")
+    frame = spark.createDataFrame(arcs + arcs[:9], "src int, dst int")
+    for max_len in (0, 25, 400):
+        got = graph.reachable(frame, lengths, lengths.select("node").unionByName(lengths.select("node")), max_len)
+        assert got.dtypes == [("source", "int"), ("node", "int"), ("dist", "bigint")]
+        rows = got.collect()
+        want = reached(arcs, cost, max_len)
+        assert len(rows) == len(want) and {(x["source"], x["node"]): x["dist"] for x in rows} == want
+    back = graph.reachable(frame, lengths, lengths.select("node"), 25, backward=True).collect()
+    turned = [(b, a) for a, b in arcs]
+    assert {(x["source"], x["node"]): x["dist"] for x in back} == reached(turned, cost, 25)
+    assert set(written) == {"priced"}
+
+
+@pytest.mark.parametrize("steps", [0, 10_000])
+def test_paths_between_pairs_are_the_same_in_tasks_and_by_joins(spark, monkeypatch, steps):
+    monkeypatch.setattr(graph, "BROADCAST_STEPS", steps)
+    r = random.Random(4)
+    cost = {i: r.choice([1, 2, 30]) for i in range(60)}
+    arcs = list({(r.randrange(60), r.randrange(60)) for _ in range(100)})
+    want = reached(arcs, cost, 80)
+    lengths = spark.createDataFrame(list(cost.items()), "node int, marg_len int")
+    frame = spark.createDataFrame(arcs, "src int, dst int")
+    asked = [(a, b) for a in range(0, 60, 3) for b in range(60) if a != b]
+    pairs = spark.createDataFrame([(a, 0, b, 0) for a, b in asked] + [(0, 0, 77, 0)], "src int, src_pos int, dst int, dst_pos int")
+    got = {(x["src"], x["dst"]): x["dist"] for x in graph.find_paths(frame, lengths, pairs, 40).collect()}
+    length = lambda a, b: want[a, b] - cost[b] + cost[a] if (a, b) in want else None
+    assert got == {p: d if (d := length(*p)) is not None and d <= 40 else None for p in asked}
+    rows = graph.reachable(frame, lengths, lengths.select("node"), 80).collect()
+    assert {(x["source"], x["node"]): x["dist"] for x in rows} == want
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_known_codes(spark, monkeypatch, few):
     monkeypatch.setattr(kmers, "FEW_CODES", few)
